@@ -1,4 +1,9 @@
-from recurra.operators.attributes import add_entity_attribute, consistent_attribute, distinct_values
+from recurra.operators.attributes import (
+    add_entity_attribute,
+    add_episode_attribute,
+    consistent_attribute,
+    distinct_values,
+)
 from recurra.operators.clean import (
     clean_episodes,
     columns_first,
@@ -24,6 +29,7 @@ from recurra.operators.skew import join_per_key
 __all__ = [
     "add_case_ids",
     "add_entity_attribute",
+    "add_episode_attribute",
     "add_horizons",
     "build_cohort",
     "category_counts",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recurra.operators.skew import ROWS_IN_KEY, join_per_key
 from recurra.spec import EpisodeSpec
 
 
@@ -43,3 +44,9 @@ def add_entity_attribute(per_entity: DataFrame, attribute: DataFrame, spec: Epis
     other = attribute.withColumnRenamed(spec.entity, "_attribute_of")
     on = F.col(spec.entity).eqNullSafe(F.col("_attribute_of"))
     return per_entity.join(other, on, "left").drop("_attribute_of")
+
+
+def add_episode_attribute(episodes: DataFrame, attribute: DataFrame, spec: EpisodeSpec) -> DataFrame:
+    """The same left join for a table of episodes, balanced for entities with very many of them."""
+    sizes = episodes.groupBy(spec.entity).agg(F.count(F.lit(1)).alias(ROWS_IN_KEY))
+    return join_per_key(episodes, attribute, [spec.entity], sizes, "left", spec.entity_nullable)

@@ -1,13 +1,19 @@
 """Cohorts of entities by the first end date of their episodes.
 
-The first end of an entity is a minimum, so it is found by one aggregation that Spark combines before the shuffle. It
-is then joined back to the episodes (balanced for heavy entities). A window over the entity would save that join
-but would put all episodes of a heavy entity into one task.
+Most questions about a cohort need far less than its episodes. They are answered from *day histories*: episodes are
+first grouped by entity, the wanted attributes and one date. Spark combines these groups before the shuffle and
+spreads even a single entity's groups over all tasks. What is left of an entity has at most one row per calendar day
+and combination of levels, so the second step may look at the entity as a whole in a window, however many episodes it
+has. The table is scanned once and nothing is joined.
+
+Only row-level results (``cohort_episodes``) join the cohort back to the episodes, balanced for heavy entities.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recurra.functions.dates import add_years
@@ -16,27 +22,11 @@ from recurra.spec import HORIZONS, INDEX_ROWS, CohortWindow, EpisodeSpec
 
 TIES = ("all", "weighted", "one")
 
-
-def entity_index(episodes: DataFrame, spec: EpisodeSpec) -> DataFrame:
-    """One row per entity: its first end date and how many episodes it has."""
-    return episodes.groupBy(spec.entity).agg(
-        F.min(spec.end).alias(spec.index_end),
-        F.count(F.lit(1)).alias(ROWS_IN_KEY),
-    )
-
-
-def entity_sizes(index: DataFrame, spec: EpisodeSpec) -> DataFrame:
-    """The part of ``entity_index`` that tells heavy entities apart.
-
-    The null test is always true. It keeps the first end in the plan, so that this use and the cohort below read
-    the same shuffle instead of aggregating twice.
-    """
-    return index.where(F.col(spec.index_end).isNotNull())
+_DAY_END = "_first_end_of_day"
 
 
-def cohort_members(index: DataFrame, spec: EpisodeSpec, window: CohortWindow) -> DataFrame:
-    """Entities whose first end lies in the window. The size test is always true, see ``entity_sizes``."""
-    return index.where(F.col(spec.index_end).between(window.first, window.last) & (F.col(ROWS_IN_KEY) > 0))
+def in_window(spec: EpisodeSpec, window: CohortWindow) -> Column:
+    return F.col(spec.index_end).between(window.first, window.last)
 
 
 def add_horizons(df: DataFrame, spec: EpisodeSpec, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
@@ -44,29 +34,56 @@ def add_horizons(df: DataFrame, spec: EpisodeSpec, horizons: tuple[int, ...] = H
     return df.withColumns({spec.horizon(n): add_years(F.col(spec.index_end), n) for n in horizons})
 
 
-def index_episodes(
-    episodes: DataFrame, members: DataFrame, sizes: DataFrame, spec: EpisodeSpec, window: CohortWindow
+def decisive_episodes(
+    episodes: DataFrame, spec: EpisodeSpec, window: CohortWindow, horizons: tuple[int, ...]
 ) -> DataFrame:
-    """The episodes that end on their entity's first end date: every tied row, copies included.
+    """Episodes that decide who is in the cohort or who returned; the filter reaches the scan.
 
-    The window on the end date is implied by the join. Stated on the episodes it reaches the scan.
+    An episode that ends after the window is nobody's index episode there, and leaving it out can only move the first
+    end of entities whose first end lies after the window anyway.
     """
-    near = episodes.where(F.col(spec.end).between(window.first, window.last))
-    joined = join_per_key(near, members, [spec.entity], sizes, null_safe=spec.entity_nullable)
-    return joined.where(F.col(spec.end) == F.col(spec.index_end))
+    start, end = F.col(spec.start), F.col(spec.end)
+    may_be_index = end <= window.last
+    may_be_return = (start > window.first) & (start <= window.latest_return(horizons))
+    return episodes.where(may_be_index | may_be_return)
 
 
-def index_starts(index_rows: DataFrame, spec: EpisodeSpec) -> DataFrame:
-    """Distinct index start dates per entity with the number of tied rows behind each (``index_rows``)."""
-    grouped = index_rows.groupBy(spec.entity, F.col(spec.start).alias(spec.index_start), spec.index_end)
-    return grouped.agg(F.count(F.lit(1)).alias(INDEX_ROWS))
+def start_history(
+    episodes: DataFrame, spec: EpisodeSpec, window: CohortWindow, dims: Sequence[str] = ()
+) -> DataFrame:
+    """Cohort entities with one row per combination of ``dims`` and start day, and the entity's first end."""
+    days = episodes.groupBy(spec.entity, *dims, spec.start).agg(F.min(spec.end).alias(_DAY_END))
+    first = F.min(_DAY_END).over(Window.partitionBy(spec.entity))
+    return days.withColumn(spec.index_end, first).where(in_window(spec, window))
 
 
-def one_index_start(starts: DataFrame, spec: EpisodeSpec) -> DataFrame:
-    """Keep the earliest index start of each entity."""
-    first = F.min(spec.index_start).alias(spec.index_start)
-    return starts.groupBy(spec.entity, spec.index_end).agg(first).select(
-        spec.entity, spec.index_start, spec.index_end
+def is_index_day(spec: EpisodeSpec) -> Column:
+    """True for the rows of ``start_history`` that hold an index episode."""
+    return F.col(_DAY_END) == F.col(spec.index_end)
+
+
+def index_counts(
+    episodes: DataFrame, spec: EpisodeSpec, window: CohortWindow, dims: Sequence[str] = ()
+) -> DataFrame:
+    """Cohort entities with the number of tied index rows (``index_rows``) per combination of ``dims``."""
+    early = episodes.where(F.col(spec.end) <= window.last)
+    days = early.groupBy(spec.entity, *dims, spec.end).agg(F.count(F.lit(1)).alias(INDEX_ROWS))
+    first = F.min(spec.end).over(Window.partitionBy(spec.entity))
+    days = days.withColumn(spec.index_end, first).where(in_window(spec, window))
+    return days.where(F.col(spec.end) == F.col(spec.index_end)).drop(spec.end)
+
+
+def index_starts(episodes: DataFrame, spec: EpisodeSpec, window: CohortWindow) -> DataFrame:
+    """Cohort entities with their distinct index start dates and the number of tied rows behind each."""
+    early = episodes.where(F.col(spec.end) <= window.last)
+    pairs = early.groupBy(*spec.key).agg(F.count(F.lit(1)).alias("_rows"))
+    days = pairs.groupBy(spec.entity, spec.start).agg(
+        F.min(spec.end).alias(_DAY_END), F.min_by("_rows", spec.end).alias(INDEX_ROWS)
+    )
+    first = F.min(_DAY_END).over(Window.partitionBy(spec.entity))
+    starts = days.withColumn(spec.index_end, first).where(in_window(spec, window) & is_index_day(spec))
+    return starts.select(
+        spec.entity, F.col(spec.start).alias(spec.index_start), spec.index_end, INDEX_ROWS
     )
 
 
@@ -76,11 +93,15 @@ def repeat_tied(df: DataFrame) -> DataFrame:
     return df.withColumn(INDEX_ROWS, F.explode(copies)).drop(INDEX_ROWS)
 
 
-def resolve_ties(starts: DataFrame, spec: EpisodeSpec, ties: str) -> DataFrame:
-    """Apply everything about ``ties`` that can be decided before episodes are joined."""
+def _starts_for(episodes: DataFrame, spec: EpisodeSpec, window: CohortWindow, ties: str) -> DataFrame:
     if ties not in TIES:
         raise ValueError(f"ties must be one of {TIES}")
-    return one_index_start(starts, spec) if ties == "one" else starts
+    starts = index_starts(episodes, spec, window)
+    if ties != "one":
+        return starts
+    first = F.min(spec.index_start).alias(spec.index_start)
+    kept = starts.groupBy(spec.entity, spec.index_end).agg(first)
+    return kept.select(spec.entity, spec.index_start, spec.index_end)
 
 
 def build_cohort(
@@ -95,10 +116,7 @@ def build_cohort(
     Several episodes of an entity may share its first end date. ``ties="all"`` returns one row for each of them,
     ``"weighted"`` one row per distinct start date with their number in ``index_rows``, ``"one"`` the earliest start.
     """
-    index = entity_index(episodes, spec)
-    rows = index_episodes(episodes, cohort_members(index, spec, window), entity_sizes(index, spec), spec, window)
-    starts = resolve_ties(index_starts(rows, spec), spec, ties)
-    cohort = add_horizons(starts, spec, horizons)
+    cohort = add_horizons(_starts_for(episodes, spec, window, ties), spec, horizons)
     return repeat_tied(cohort) if ties == "all" else cohort
 
 
@@ -114,10 +132,8 @@ def cohort_episodes(
     With ``ties="all"`` an entity with *k* tied index rows has each of its episodes *k* times. ``"weighted"`` says
     the same with *k* in ``index_rows`` and is the form to use where entities may have very many tied rows.
     """
-    index = entity_index(episodes, spec)
-    sizes = entity_sizes(index, spec)
-    rows = index_episodes(episodes, cohort_members(index, spec, window), sizes, spec, window)
-    starts = resolve_ties(index_starts(rows, spec), spec, ties)
+    starts = _starts_for(episodes, spec, window, ties)
+    sizes = episodes.groupBy(spec.entity).agg(F.count(F.lit(1)).alias(ROWS_IN_KEY))
     joined = join_per_key(episodes, starts, [spec.entity], sizes, null_safe=spec.entity_nullable)
     cut = add_horizons(joined, spec, horizons)
     return repeat_tied(cut) if ties == "all" else cut

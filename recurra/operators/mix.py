@@ -23,12 +23,11 @@ def category_shares(counts: DataFrame, within: str) -> DataFrame:
     return counts.withColumn("prop", F.col("n") / total)
 
 
-def tie_weights(index_rows: DataFrame, entity: str, *attributes: str) -> DataFrame:
-    """Index rows per entity and attribute levels, each counted once for every tied index row of the entity.
+def weight_by_ties(index_counts: DataFrame, entity: str) -> DataFrame:
+    """Count each index row once for every tied index row of its entity.
 
     An entity with *k* tied index rows appears *k* times in the cohort, so each of its index rows counts *k* times.
     The product is computed from counts; the repeated rows are never made.
     """
-    counted = index_rows.groupBy(entity, *attributes).agg(F.count(F.lit(1)).alias("_rows"))
-    tied = F.sum("_rows").over(Window.partitionBy(entity))
-    return counted.withColumn(INDEX_ROWS, F.col("_rows") * tied).drop("_rows")
+    tied = F.sum(INDEX_ROWS).over(Window.partitionBy(entity))
+    return index_counts.withColumn(INDEX_ROWS, F.col(INDEX_ROWS) * tied)

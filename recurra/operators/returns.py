@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recurra.operators.reshape import columns_between
 from recurra.spec import FLAG_PREFIX, HORIZONS, RETURN_CLASS, EpisodeSpec
 
-_FIRST_CLASS = "_first_class"
+FIRST_CLASS = "_first_class"
 
 
 def return_class(spec: EpisodeSpec, horizons: tuple[int, ...] = HORIZONS) -> Column:
@@ -35,15 +35,15 @@ def classify_return(df: DataFrame, spec: EpisodeSpec, horizons: tuple[int, ...]
 
 def first_class(classified: DataFrame, keys: Sequence[str], value: str = RETURN_CLASS) -> DataFrame:
     """Lowest class per key. "Any episode within n years" is the same as "lowest class at most n"."""
-    return classified.groupBy(*keys).agg(F.min(value).alias(_FIRST_CLASS))
+    return classified.groupBy(*keys).agg(F.min(value).alias(FIRST_CLASS))
 
 
 def flags_from_first_class(first: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """Cumulative 0/1 flags per horizon; no later episode at all gives 0, not null."""
     flags = {
-        f"{FLAG_PREFIX}{n}": F.coalesce(F.col(_FIRST_CLASS) <= n, F.lit(False)).cast("int") for n in horizons
+        f"{FLAG_PREFIX}{n}": F.coalesce(F.col(FIRST_CLASS) <= n, F.lit(False)).cast("int") for n in horizons
     }
-    return first.withColumns(flags).drop(_FIRST_CLASS)
+    return first.withColumns(flags).drop(FIRST_CLASS)
 
 
 def return_flags(
@@ -66,5 +66,5 @@ def stacked_first_class(first: DataFrame, entity: str, dims: Sequence[str]) -> D
     """
     levels = [F.struct(F.lit("all").alias("dim"), F.lit(None).cast("string").alias("level"))]
     levels += [F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("level")) for d in dims]
-    stacked = first.select(entity, _FIRST_CLASS, F.inline(F.array(*levels)))
-    return first_class(stacked, [entity, "dim", "level"], _FIRST_CLASS)
+    stacked = first.select(entity, FIRST_CLASS, F.inline(F.array(*levels)))
+    return first_class(stacked, [entity, "dim", "level"], FIRST_CLASS)

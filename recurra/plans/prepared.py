@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recurra.operators.attributes import add_entity_attribute, consistent_attribute
+from recurra.operators.attributes import add_episode_attribute, consistent_attribute
 from recurra.operators.clean import clean_episodes, columns_first
 from recurra.operators.cohort import cohort_episodes
 from recurra.operators.mix import category_counts, category_shares
@@ -36,12 +36,8 @@ def prepare_attribute(raw: DataFrame, spec: EpisodeSpec, value: str) -> DataFram
 def classify_prepared(
     prepared: DataFrame, attribute: DataFrame, spec: EpisodeSpec, horizons: tuple[int, ...] = HORIZONS
 ) -> DataFrame:
-    """Prepared episodes with the entity attribute and the return class, ready for the rates below.
-
-    Prepared data holds only the cohort. Where single entities have very many episodes, start from
-    ``ReturnStudy``, which joins attributes to entities instead of episodes.
-    """
-    joined = add_entity_attribute(prepared, attribute, spec)
+    """Prepared episodes with the entity attribute and the return class, ready for the rates below."""
+    joined = add_episode_attribute(prepared, attribute, spec)
     return classify_return(joined, spec, horizons)
 
 

@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recurra.functions.dates import average_months
 from recurra.functions.labels import band, band_order
 from recurra.operators import cohort as c
 from recurra.operators.attributes import add_entity_attribute
-from recurra.operators.mix import category_counts, category_shares, tie_weights
+from recurra.operators.mix import category_counts, category_shares, weight_by_ties
 from recurra.operators.returns import (
+    FIRST_CLASS,
     classify_return,
     first_class,
     flags_from_first_class,
     return_rates,
     stacked_first_class,
 )
-from recurra.operators.skew import join_per_key
-from recurra.spec import DURATION_BANDS, HORIZONS, INDEX_ROWS, Bands, CohortWindow, EpisodeSpec
+from recurra.spec import DURATION_BANDS, HORIZONS, INDEX_ROWS, RETURN_CLASS, Bands, CohortWindow, EpisodeSpec
 
 MONTHS = "time_incarcerated"
 BAND = "bin_time_incarcerated"
@@ -32,10 +32,10 @@ class ReturnStudy:
     """One cohort and everything that is asked about it.
 
     ``episodes`` are valid episodes. ``entity_attributes`` maps attribute names to tables with one row per entity
-    (see ``consistent_attribute``). They are joined to the entities of the cohort, never to their episodes.
+    (see ``consistent_attribute``). They are joined to entities of the cohort, never to episodes.
 
-    No report needs the repeated rows that tied index episodes cause in ``cohort_episodes``: flags collapse them and
-    the mix counts them.
+    Every report scans the episodes once and works on day histories (see ``operators.cohort``). None needs the repeated
+    rows that tied index episodes cause in ``cohort_episodes``: flags collapse them and the mix counts them.
     """
 
     episodes: DataFrame
@@ -44,53 +44,35 @@ class ReturnStudy:
     horizons: tuple[int, ...] = HORIZONS
     entity_attributes: Mapping[str, DataFrame] = field(default_factory=dict)
 
-    def __post_init__(self):
-        object.__setattr__(self, "_index", c.entity_index(self.episodes, self.spec))
-        object.__setattr__(self, "_sizes", c.entity_sizes(self._index, self.spec))
-
     # -- shared parts --------------------------------------------------------------------------------------------
 
-    def members(self, *attributes: str) -> DataFrame:
-        """One row per cohort entity with its first end and the named entity attributes."""
-        members = c.cohort_members(self._index, self.spec, self.window)
-        for name in attributes:
-            members = add_entity_attribute(members, self.entity_attributes[name], self.spec)
-        return members
-
-    def index_rows(self, *attributes: str) -> DataFrame:
-        """The tied index episodes of the cohort."""
-        members = self.members(*attributes)
-        return c.index_episodes(self.episodes, members, self._sizes, self.spec, self.window)
+    def _with_attributes(self, per_entity: DataFrame, *names: str) -> DataFrame:
+        for name in names:
+            per_entity = add_entity_attribute(per_entity, self.entity_attributes[name], self.spec)
+        return per_entity
 
-    def _classified(self, episodes: DataFrame, members: DataFrame) -> DataFrame:
-        spec = self.spec
-        joined = join_per_key(episodes, members, [spec.entity], self._sizes, null_safe=spec.entity_nullable)
-        return classify_return(c.add_horizons(joined, spec, self.horizons), spec, self.horizons)
+    def _split(self, *dims: str) -> tuple[list[str], list[str]]:
+        """Attributes of episodes and attributes of entities among ``dims``."""
+        of_entity = [d for d in dims if d in self.entity_attributes]
+        return [d for d in dims if d not in of_entity], of_entity
 
-    def classified_episodes(self, *attributes: str) -> DataFrame:
-        """Every episode of the cohort, once, with its return class and the named entity attributes."""
-        return self._classified(self.episodes, self.members(*attributes))
+    def _decisive(self) -> DataFrame:
+        return c.decisive_episodes(self.episodes, self.spec, self.window, self.horizons)
 
-    def _entity_first_class(self, *attributes: str) -> DataFrame:
-        """Lowest return class per cohort entity.
+    def _classified(self, episodes: DataFrame, *dims: str) -> DataFrame:
+        """Day history of the cohort with return classes."""
+        history = c.start_history(episodes, self.spec, self.window, dims)
+        return classify_return(c.add_horizons(history, self.spec, self.horizons), self.spec, self.horizons)
 
-        Only episodes that can count as a return are read: their start lies after the first day of the window and
-        at most the longest horizon after its last. Entities without one are brought back from the index.
-        """
-        spec, start = self.spec, F.col(self.spec.start)
-        near = self.episodes.where(
-            (start > self.window.first) & (start <= self.window.latest_return(self.horizons))
-        )
-        returns = first_class(self._classified(near, self.members()), [spec.entity])
-        return add_entity_attribute(self.members(*attributes), returns, spec)
+    def _rates(self, first: DataFrame, *dims: str) -> DataFrame:
+        return return_rates(flags_from_first_class(first, self.horizons), dims, self.horizons)
 
     # -- rates ---------------------------------------------------------------------------------------------------
 
     def flags(self, *attributes: str) -> DataFrame:
-        """One row per cohort entity: cumulative return flags."""
-        first = self._entity_first_class(*attributes)
-        flags = flags_from_first_class(first, self.horizons)
-        return flags.drop(c.ROWS_IN_KEY, self.spec.index_end)
+        """One row per cohort entity: cumulative return flags and the named entity attributes."""
+        first = first_class(self._classified(self._decisive()), [self.spec.entity])
+        return flags_from_first_class(self._with_attributes(first, *attributes), self.horizons)
 
     def rates(self, by: str | None = None, attribute_from: str = "episode") -> DataFrame:
         """Return rates over the cohort or per level of ``by``.
@@ -101,26 +83,29 @@ class ReturnStudy:
         """
         if attribute_from not in ("episode", "index"):
             raise ValueError(attribute_from)
-        spec = self.spec
         if by is None:
             return return_rates(self.flags(), (), self.horizons)
         if by in self.entity_attributes:
             return return_rates(self.flags(by), (by,), self.horizons)
+        entity = self.spec.entity
         if attribute_from == "index":
-            pairs = self.index_rows().select(spec.entity, by).distinct()
-            flags = add_entity_attribute(pairs, self.flags(), spec)
-            return return_rates(flags, (by,), self.horizons)
-        first = first_class(self.classified_episodes(), [spec.entity, by])
-        return return_rates(flags_from_first_class(first, self.horizons), (by,), self.horizons)
+            index_days = self._index_days(by).select(entity, by, FIRST_CLASS).distinct()
+            return self._rates(index_days, by)
+        return self._rates(first_class(self._classified(self.episodes, by), [entity, by]), by)
+
+    def _index_days(self, *dims: str) -> DataFrame:
+        """Index days of the cohort beside the lowest return class of the whole entity."""
+        lowest = F.min(RETURN_CLASS).over(Window.partitionBy(self.spec.entity))
+        classified = self._classified(self._decisive(), *dims)
+        return classified.withColumn(FIRST_CLASS, lowest).where(c.is_index_day(self.spec))
 
     def rates_by_duration(self, bands: Bands = DURATION_BANDS) -> DataFrame:
         """Return rates by the length of the index episode in average months."""
-        spec = self.spec
-        starts = c.index_starts(self.index_rows(), spec).drop(INDEX_ROWS, spec.index_end)
-        months = average_months(F.col(spec.index_start), F.col(spec.index_end))
-        first = add_entity_attribute(starts, self._entity_first_class(), spec).withColumn(MONTHS, months)
-        first = first.withColumns({BAND: band(F.col(MONTHS), bands), f"{BAND}_order": band_order(F.col(MONTHS), bands)})
-        return return_rates(flags_from_first_class(first, self.horizons), (BAND, f"{BAND}_order"), self.horizons)
+        months = average_months(F.col(self.spec.start), F.col(self.spec.index_end))
+        days = self._index_days().withColumn(MONTHS, months)
+        order = f"{BAND}_order"
+        days = days.withColumns({BAND: band(F.col(MONTHS), bands), order: band_order(F.col(MONTHS), bands)})
+        return self._rates(days, BAND, order)
 
     def rates_by_each(self, *dims: str) -> DataFrame:
         """Overall rates and the rates by each of ``dims`` as one table (dim, level), from one pass over the data.
@@ -129,10 +114,10 @@ class ReturnStudy:
         levels before the dimensions are told apart.
         """
         entity = self.spec.entity
-        entity_dims = [d for d in dims if d in self.entity_attributes]
-        combined = first_class(self.classified_episodes(*entity_dims), [entity, *dims])
-        stacked = stacked_first_class(combined, entity, dims)
-        return return_rates(flags_from_first_class(stacked, self.horizons), ("dim", "level"), self.horizons)
+        of_episode, of_entity = self._split(*dims)
+        combined = first_class(self._classified(self.episodes, *of_episode), [entity, *of_episode])
+        stacked = stacked_first_class(self._with_attributes(combined, *of_entity), entity, dims)
+        return self._rates(stacked, "dim", "level")
 
     # -- mix -----------------------------------------------------------------------------------------------------
 
@@ -141,8 +126,8 @@ class ReturnStudy:
 
         Counts are rows of the cohort, so an entity with *k* tied index rows counts each of them *k* times.
         """
-        attributes = [a for a in (within, of) if a in self.entity_attributes]
-        rows = self.index_rows(*attributes)
-        rows = rows.where(F.col(within).isNotNull()) if within in attributes else rows
-        weighted = tie_weights(rows, self.spec.entity, within, of).where(F.col(within).isNotNull())
-        return category_shares(category_counts(weighted, within, of, INDEX_ROWS), within)
+        of_episode, of_entity = self._split(within, of)
+        counts = c.index_counts(self.episodes, self.spec, self.window, of_episode)
+        weighted = self._with_attributes(weight_by_ties(counts, self.spec.entity), *of_entity)
+        known = weighted.where(F.col(within).isNotNull())
+        return category_shares(category_counts(known, within, of, INDEX_ROWS), within)
