@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 # Fixed value: mean length of a month in days, 365.25 / 12.
 DAYS_PER_MONTH = 30.4375
 
-_COMPACT = "ddMMMyyyy"
+# English month names, of which three letters are kept.
 _LOOSE = (
-    r"(?i)^\W*(\d{1,2})\W*"
-    r"(?:(jan)(?:uary)?|(feb)(?:ruary)?|(mar)(?:ch)?|(apr)(?:il)?|(may)|(june?)|(july?)|(aug)(?:ust)?"
-    r"|(sep)(?:tember)?|(oct)(?:ober)?|(nov)(?:ember)?|(dec)(?:ember)?)"
-    r"\W*(\d{4})\W*$"
+    r"(?i)^\W*(\d{1,2})\W*(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+    r"(?:(?<=jan)uary|(?<=feb)ruary|(?<=mar)ch|(?<=apr)il|(?<=jun)e|(?<=jul)y|(?<=aug)ust|(?<=sep)tember"
+    r"|(?<=oct)ober|(?<=nov)ember|(?<=dec)ember)?\W*(\d{4})\W*$"
 )
 
 
@@ -23,10 +22,8 @@ def parse_day(text: Column) -> Column:
     The compact form is tried first. Only text it rejects is matched against the looser spelling, which allows
     one-digit days, separators and full month names (``5 January 2010``).
     """
-    compact = F.try_to_date(text, _COMPACT)
-    month = F.substring(F.concat(*[F.regexp_extract(text, _LOOSE, i) for i in range(2, 14)]), 1, 3)
-    day = F.lpad(F.regexp_extract(text, _LOOSE, 1), 2, "0")
-    loose = F.try_to_date(F.concat(day, month, F.regexp_extract(text, _LOOSE, 14)), _COMPACT)
+    compact = F.try_to_date(text, "ddMMMyyyy")
+    loose = F.try_to_date(F.regexp_replace(text, _LOOSE, "$1$2$3"), "dMMMyyyy")
     return F.coalesce(compact, loose)
 
 

@@ -9,32 +9,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recurra.operators.skew import ROWS_IN_KEY, join_per_key
-from recurra.settings import freeze
+from recurra.settings import scratch_table
 from recurra.spec import CASE_ID, EpisodeSpec
 
 # monotonically_increasing_id() puts the partition number above this many bits of row position.
 _POSITION_BITS = 33
+_PLACE = "_place"
 
 
 def number_keys(df: DataFrame, keys: Sequence[str], id_name: str = CASE_ID) -> DataFrame:
     """One row per distinct key with its 1-based rank in ascending key order, nulls last.
 
     Copies of a key are first counted together (partial aggregation), so no key is heavy afterwards. The distinct
-    keys are range-partitioned over the whole composite key, sorted inside each partition and checkpointed, which
-    fixes both partitions and order. A key's id is then its position in its partition plus the number of keys in
-    earlier partitions. Only one count per partition reaches the driver.
+    keys are range-partitioned over the whole composite key and sorted inside each partition. Partition number and
+    position are written with the keys to a table, so they stay the same whatever is computed again later. A key's id
+    is its position plus the number of keys in earlier partitions. One count per partition reaches the driver.
     """
     order = [F.asc_nulls_last(k) for k in keys]
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(ROWS_IN_KEY))
-    placed = freeze(counted.repartitionByRange(*order).sortWithinPartitions(*order))
+    placed = counted.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = scratch_table(placed.withColumn(_PLACE, F.monotonically_increasing_id()))
 
-    counts = placed.groupBy(F.spark_partition_id().alias("part")).count().collect()
+    part = F.shiftright(_PLACE, _POSITION_BITS).cast("int")
+    counts = placed.groupBy(part.alias("part")).count().collect()
     in_part = {r["part"]: r["count"] for r in counts}
     parts = range(max(in_part, default=0) + 1)
     before = accumulate((in_part.get(p, 0) for p in parts), initial=0)
     shifts = [start + 1 - (p << _POSITION_BITS) for p, start in zip(parts, before)]
-    shift = F.get(F.expr(f"array({', '.join(f'{s}L' for s in shifts)})"), F.spark_partition_id())
-    return placed.withColumn(id_name, F.monotonically_increasing_id() + shift)
+    shift = F.get(F.expr(f"array({', '.join(f'{s}L' for s in shifts)})"), part)
+    return placed.withColumn(id_name, F.col(_PLACE) + shift).drop(_PLACE)
 
 
 def add_case_ids(df: DataFrame, spec: EpisodeSpec) -> DataFrame:

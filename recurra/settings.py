@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 ROWS_PER_SLICE = "spark.recurra.rowsPerSlice"
-DEFAULT_ROWS_PER_SLICE = 2_000_000
+DEFAULT_ROWS_PER_SLICE = 1_000_000
 
 
 def rows_per_slice(spark: SparkSession) -> int:
@@ -32,7 +33,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def freeze(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably: its rows, their order and their partitions stay the same from here on."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def scratch_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a new table in the shared folder and read it from there, which fixes every value in it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

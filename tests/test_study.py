@@ -1,0 +1,158 @@
+"""Reports and prepared data against brute force, on random fixtures with and without a heavy entity."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import pytest
+
+from recurra import (
+    CohortWindow,
+    EpisodeSpec,
+    ReturnStudy,
+    build_cohort,
+    classify_prepared,
+    clean_episodes,
+    consistent_attribute,
+    prepare_cohort,
+    prepared_mix,
+    prepared_rates,
+)
+from recurra.settings import ROWS_PER_SLICE
+from tests import brute_force as bf
+
+SPEC = EpisodeSpec()
+YEAR = 2010
+WINDOW = CohortWindow.of_year(YEAR)
+
+
+class Case:
+    def __init__(self, spark, seed, hot):
+        self.rows = bf.random_episodes(seed, hot=hot)
+        records = bf.random_risks(seed)
+        self.risks = bf.clean_risks(records)
+        self.raw = spark.createDataFrame(self.rows, bf.SCHEMA)
+        self.risk = consistent_attribute(spark.createDataFrame(records, "pers_id bigint, risk string"), "pers_id", "risk")
+        self.episodes = clean_episodes(self.raw, SPEC)
+        self.study = ReturnStudy(self.episodes, SPEC, WINDOW, entity_attributes={"risk": self.risk})
+        self.prepared = bf.prepared(self.rows, YEAR, self.risks)
+
+
+@pytest.fixture(params=[(1, 0), (2, 0), (3, 900), (4, 900)], ids=lambda p: f"seed{p[0]}-hot{p[1]}")
+def case(spark, request):
+    spark.conf.set(ROWS_PER_SLICE, "100")
+    yield Case(spark, *request.param)
+    spark.conf.unset(ROWS_PER_SLICE)
+
+
+def by_level(rates, level=None):
+    return {
+        (r[level] if level else None): tuple(r[f"prop_recidivism_year_{n}"] for n in bf.HORIZONS)
+        for r in rates.collect()
+    }
+
+
+def test_fixture_is_not_trivial(case):
+    assert len({p["pers_id"] for p in case.prepared}) > 8
+    assert {p["class"] for p in case.prepared} >= {None, 1, 2, 3, 4}
+
+
+def test_overall(case):
+    assert by_level(case.study.rates()) == bf.rates(case.prepared, ["pers_id"], lambda k: None)
+
+
+@pytest.mark.parametrize("by", ["crime_type", "ed_level", "risk"])
+def test_by_attribute(case, by):
+    expected = bf.rates(case.prepared, ["pers_id", by], lambda k: k[by])
+    assert by_level(case.study.rates(by), by) == expected
+
+
+def test_by_index_attribute(case):
+    flags = {}
+    for p in case.prepared:
+        flags.setdefault(p["pers_id"], set()).add(p["class"])
+    levels = {(p["pers_id"], p["crime_type"]) for p in case.prepared if p["release_date"] == p["index_end"]}
+    joined = [{"pers_id": p, "crime_type": c, "class": k} for p, c in levels for k in flags[p]]
+    expected = bf.rates(joined, ["pers_id", "crime_type"], lambda k: k["crime_type"])
+    assert by_level(case.study.rates("crime_type", "index"), "crime_type") == expected
+
+
+def test_by_duration(case):
+    expected = bf.rates(case.prepared, ["pers_id", "index_start", "index_end"], bf.duration_band)
+    assert by_level(case.study.rates_by_duration(), "bin_time_incarcerated") == expected
+
+
+def test_by_each_equals_single_reports(case):
+    dims = ["crime_type", "ed_level", "risk"]
+    each = case.study.rates_by_each(*dims)
+    assert by_level(each.where("dim = 'all'"), "level") == by_level(case.study.rates())
+    for d in dims:
+        assert by_level(each.where(f"dim = '{d}'"), "level") == by_level(case.study.rates(d), d)
+
+
+@pytest.mark.parametrize("within, of", [("risk", "crime_type"), ("crime_type", "risk"), ("ed_level", "crime_type")])
+def test_mix(case, within, of):
+    found = {(r[within], r[of]): (r["n"], r["prop"]) for r in case.study.mix(within, of).collect()}
+    assert found == bf.mix(case.prepared, within, of)
+
+
+def test_cohort_ties(case):
+    expected = Counter(bf.cohort(case.rows, YEAR))
+    columns = ["pers_id", "original_sentence_date", "original_release_date"]
+    every = build_cohort(case.episodes, SPEC, WINDOW).select(columns).collect()
+    assert Counter(map(tuple, every)) == expected
+    weighted = build_cohort(case.episodes, SPEC, WINDOW, ties="weighted").select(*columns, "index_rows").collect()
+    assert {tuple(r)[:3]: r["index_rows"] for r in weighted} == dict(expected)
+    one = build_cohort(case.episodes, SPEC, WINDOW, ties="one").select(columns).collect()
+    firsts = {}
+    for person, start, end in expected:
+        firsts[person] = min(firsts.get(person, (start, end)), (start, end))
+    assert {r[0]: (r[1], r[2]) for r in one} == firsts and len(one) == len(firsts)
+
+
+def test_prepared_rows_and_ids(case):
+    ids = bf.case_ids(case.rows)
+    expected = Counter(
+        (
+            ids[p["pers_id"], p["sentence_date"], p["release_date"]],
+            *[p[c] for c in SPEC.columns],
+            p["index_start"],
+            p["index_end"],
+            *[bf.plus(p["index_end"], n) for n in bf.HORIZONS],
+        )
+        for p in case.prepared
+    )
+    every = prepare_cohort(case.raw, SPEC, WINDOW)
+    assert Counter(map(tuple, every.collect())) == expected
+    weighted = Counter()
+    for row in prepare_cohort(case.raw, SPEC, WINDOW, ties="weighted").collect():
+        weighted[tuple(row)[:-1]] += row["index_rows"]
+    assert weighted == expected
+
+
+@pytest.mark.parametrize("ties", ["all", "weighted"])
+def test_reports_from_prepared_data(case, ties):
+    prepared = prepare_cohort(case.raw, SPEC, WINDOW, ties=ties)
+    classified = classify_prepared(prepared, case.risk, SPEC)
+    assert by_level(prepared_rates(classified, SPEC, "risk"), "risk") == by_level(case.study.rates("risk"), "risk")
+    found = {(r["risk"], r["crime_type"]): (r["n"], r["prop"]) for r in prepared_mix(classified, SPEC, "risk", "crime_type").collect()}
+    assert found == bf.mix(case.prepared, "risk", "crime_type")
+    if ties == "all":
+        classes = Counter(r[0] for r in classified.select("years_since_original_release").collect())
+        assert classes == Counter(p["class"] for p in case.prepared)
+
+
+def test_order_and_partitions_do_not_matter(case):
+    shuffled = ReturnStudy(
+        case.episodes.repartition(13), SPEC, WINDOW, entity_attributes={"risk": case.risk.repartition(3)}
+    )
+    dims = ["crime_type", "risk"]
+    as_set = lambda study: set(map(tuple, study.rates_by_each(*dims).collect()))
+    assert as_set(shuffled) == as_set(case.study)
+
+
+def test_shares_and_rates_are_consistent(case):
+    for r in case.study.rates_by_each("crime_type", "ed_level", "risk").collect():
+        assert 0 <= r.prop_recidivism_year_1 <= r.prop_recidivism_year_2 <= r.prop_recidivism_year_3 <= 1
+    totals = case.study.mix("risk", "crime_type").groupBy("risk").sum("prop").collect()
+    assert all(r[1] == pytest.approx(1) for r in totals)
