@@ -4,6 +4,8 @@ from recurra.plans.prepared import (
     prepare_cohort,
     prepared_mix,
     prepared_rates,
+    prepared_rates_by_duration,
+    prepared_schema,
 )
 from recurra.plans.reports import ReturnStudy
 
@@ -14,4 +16,6 @@ __all__ = [
     "prepare_cohort",
     "prepared_mix",
     "prepared_rates",
+    "prepared_rates_by_duration",
+    "prepared_schema",
 ]

@@ -4,13 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from recurra.functions.dates import average_months
+from recurra.functions.labels import band, band_order
 from recurra.operators.attributes import add_episode_attribute, consistent_attribute
-from recurra.operators.clean import clean_episodes, columns_first
+from recurra.operators.clean import clean_episodes
 from recurra.operators.cohort import cohort_episodes
 from recurra.operators.mix import category_counts, category_shares
 from recurra.operators.returns import classify_return, return_flags, return_rates
-from recurra.spec import CASE_ID, HORIZONS, INDEX_ROWS, CohortWindow, EpisodeSpec
+from recurra.plans.reports import BAND, BAND_ORDER, MONTHS
+from recurra.spec import CASE_ID, DURATION_BANDS, HORIZONS, INDEX_ROWS, Bands, CohortWindow, EpisodeSpec
+
+
+def _cut_points(spec: EpisodeSpec, horizons: tuple[int, ...]) -> list[str]:
+    return [spec.index_start, spec.index_end, *[spec.horizon(n) for n in horizons]]
+
+
+def prepared_schema(spec: EpisodeSpec, horizons: tuple[int, ...] = HORIZONS, ties: str = "all") -> T.StructType:
+    """Schema of ``prepare_cohort``, needed to read it again from CSV."""
+    days = [spec.start, spec.end, *_cut_points(spec, horizons)]
+    schema = T.StructType().add(CASE_ID, T.LongType()).add(spec.entity, spec.entity_type)
+    for name in [*spec.columns[1:], *days[2:]]:
+        schema = schema.add(name, T.DateType() if name in days else T.StringType())
+    return schema.add(INDEX_ROWS, T.LongType()) if ties == "weighted" else schema
 
 
 def prepare_cohort(
@@ -23,9 +40,8 @@ def prepare_cohort(
     """Raw episodes to the cohort's numbered episodes with index dates and cut points."""
     episodes = clean_episodes(raw, spec, case_ids=True)
     prepared = cohort_episodes(episodes, spec, window, horizons, ties)
-    dates = [spec.index_start, spec.index_end, *[spec.horizon(n) for n in horizons]]
     weight = [INDEX_ROWS] if ties == "weighted" else []
-    return columns_first(prepared, CASE_ID, spec.entity).select(CASE_ID, *spec.columns, *dates, *weight)
+    return prepared.select(CASE_ID, *spec.columns, *_cut_points(spec, horizons), *weight)
 
 
 def prepare_attribute(raw: DataFrame, spec: EpisodeSpec, value: str) -> DataFrame:
@@ -49,6 +65,19 @@ def prepared_rates(
     return return_rates(return_flags(classified, [spec.entity, *dims], horizons), dims, horizons)
 
 
+def prepared_rates_by_duration(
+    classified: DataFrame,
+    spec: EpisodeSpec,
+    bands: Bands = DURATION_BANDS,
+    horizons: tuple[int, ...] = HORIZONS,
+) -> DataFrame:
+    """Rates from prepared data by the length of the index episode in average months."""
+    flags = return_flags(classified, [spec.entity, spec.index_start, spec.index_end], horizons)
+    flags = flags.withColumn(MONTHS, average_months(F.col(spec.index_start), F.col(spec.index_end)))
+    flags = flags.withColumns({BAND: band(F.col(MONTHS), bands), BAND_ORDER: band_order(F.col(MONTHS), bands)})
+    return return_rates(flags, (BAND, BAND_ORDER), horizons)
+
+
 def prepared_mix(classified: DataFrame, spec: EpisodeSpec, within: str, of: str) -> DataFrame:
     """Category mix on the index rows of prepared data."""
     rows = classified.where(F.col(within).isNotNull() & (F.col(spec.end) == F.col(spec.index_end)))

@@ -25,6 +25,7 @@ from recurra.spec import DURATION_BANDS, HORIZONS, INDEX_ROWS, RETURN_CLASS, Ban
 
 MONTHS = "time_incarcerated"
 BAND = "bin_time_incarcerated"
+BAND_ORDER = f"{BAND}_order"
 
 
 @dataclass(frozen=True)
@@ -103,9 +104,8 @@ class ReturnStudy:
         """Return rates by the length of the index episode in average months."""
         months = average_months(F.col(self.spec.start), F.col(self.spec.index_end))
         days = self._index_days().withColumn(MONTHS, months)
-        order = f"{BAND}_order"
-        days = days.withColumns({BAND: band(F.col(MONTHS), bands), order: band_order(F.col(MONTHS), bands)})
-        return self._rates(days, BAND, order)
+        days = days.withColumns({BAND: band(F.col(MONTHS), bands), BAND_ORDER: band_order(F.col(MONTHS), bands)})
+        return self._rates(days, BAND, BAND_ORDER)
 
     def rates_by_each(self, *dims: str) -> DataFrame:
         """Overall rates and the rates by each of ``dims`` as one table (dim, level), from one pass over the data.

@@ -1,0 +1,154 @@
+"""Published data: set COHORT_GOLDEN_DIR to a folder with ``input`` (raw CSV files) and ``output`` (cleaned risk)."""
+
+from __future__ import annotations
+
+import os
+from collections import Counter
+from pathlib import Path
+
+import pytest
+
+from recurra import (
+    CohortWindow,
+    EpisodeSpec,
+    ReturnStudy,
+    build_cohort,
+    chart_table,
+    classify_prepared,
+    clean_episodes,
+    consistent_attribute,
+    parse_date_columns,
+    prepare_cohort,
+    prepared_mix,
+    prepared_rates,
+    prepared_rates_by_duration,
+    read_attribute_file,
+    read_episode_files,
+    rejected_episodes,
+)
+from recurra.spec import EDUCATION_LEVELS
+
+FOLDER = os.environ.get("COHORT_GOLDEN_DIR")
+pytestmark = pytest.mark.skipif(not FOLDER, reason="COHORT_GOLDEN_DIR is not set")
+
+SPEC = EpisodeSpec()
+WINDOW = CohortWindow.of_year(2010)
+
+# Expected values, computed independently of this library.
+OVERALL = (0.142119, 0.416021, 0.514212)
+EDUCATION = {
+    "Less than high school": (0.235955, 0.617978, 0.741573),
+    "High school degree": (0.136054, 0.408163, 0.537415),
+    "Some college": (0.157895, 0.473684, 0.631579),
+    "Associate degree": (0.105882, 0.258824, 0.294118),
+    "Bachelor's degree or higher'": (0.042553, 0.319149, 0.361702),
+}
+CRIME = {
+    "Drug": (0.101010, 0.287879, 0.393939),
+    "Property": (0.072464, 0.260870, 0.405797),
+    "Public": (0.147059, 0.397059, 0.485294),
+    "Violent": (0.093567, 0.280702, 0.345029),
+}
+RISK = {"High": (0.234783, 0.513043, 0.582609), "Med": (0.101504, 0.372180, 0.484962), None: (0.166667, 0.5, 0.5)}
+DURATION = {
+    "Less than a year": (0.142857, 0.401786, 0.491071),
+    "1-2 years": (0.074074, 0.318519, 0.451852),
+    "2-3 years": (0.207143, 0.521429, 0.592857),
+}
+MIX = {
+    ("High", "Drug"): (44, 0.363636),
+    ("High", "Property"): (11, 0.090909),
+    ("High", "Public"): (2, 0.016529),
+    ("High", "Violent"): (64, 0.528926),
+    ("Med", "Drug"): (102, 0.366906),
+    ("Med", "Property"): (79, 0.284173),
+    ("Med", "Public"): (30, 0.107914),
+    ("Med", "Violent"): (67, 0.241007),
+}
+
+
+def one(folder: str, pattern: str) -> str:
+    (path,) = Path(FOLDER, folder).glob(pattern)
+    return str(path)
+
+
+@pytest.fixture(scope="module")
+def raw(spark):
+    return read_episode_files(spark, str(Path(FOLDER, "input")), SPEC).cache()
+
+
+@pytest.fixture(scope="module")
+def risk(spark):
+    return consistent_attribute(read_attribute_file(spark, one("input", "*risk*.csv"), SPEC, "risk"), "pers_id", "risk")
+
+
+@pytest.fixture(scope="module")
+def study(raw, risk):
+    return ReturnStudy(clean_episodes(raw, SPEC), SPEC, WINDOW, entity_attributes={"risk": risk})
+
+
+@pytest.fixture(scope="module")
+def classified(raw, risk):
+    return classify_prepared(prepare_cohort(raw, SPEC, WINDOW), risk, SPEC).cache()
+
+
+def rounded(rates, level):
+    return {r[level]: tuple(round(r[f"prop_recidivism_year_{n}"], 6) for n in (1, 2, 3)) for r in rates.collect()}
+
+
+def test_row_counts(raw, study, classified):
+    assert raw.count() == 2120
+    assert study.episodes.count() == 2049
+    reasons = Counter(r["reason"] for r in rejected_episodes(parse_date_columns(raw), SPEC).collect())
+    assert reasons == {"missing date": 20, "end before start": 32, "zero length": 19}
+    assert study.flags().count() == 387
+    assert build_cohort(study.episodes, SPEC, WINDOW).count() == 394
+    assert classified.count() == 683
+    classes = Counter(r[0] for r in classified.select("years_since_original_release").collect())
+    assert classes == {None: 408, 1: 58, 2: 119, 3: 65, 4: 33}
+
+
+def test_case_ids(raw):
+    numbered = clean_episodes(raw, SPEC, case_ids=True)
+    assert numbered.agg({"case_id": "max"}).first()[0] <= 2074
+    assert numbered.select("case_id").distinct().count() == numbered.select(*SPEC.key).distinct().count()
+
+
+def test_cleaned_risk_is_the_published_file(spark, risk):
+    published = read_attribute_file(spark, one("output", "*risk*.csv"), SPEC, "risk")
+    assert Counter(risk.collect()) == Counter(published.collect())
+    assert risk.count() == 423
+
+
+def test_rates(study):
+    assert tuple(round(x, 6) for x in study.rates().first()) == OVERALL
+    assert rounded(study.rates("ed_level"), "ed_level") == EDUCATION
+    assert rounded(study.rates("crime_type"), "crime_type") == CRIME
+    assert rounded(study.rates("risk"), "risk") == RISK
+    assert rounded(study.rates_by_duration(), "bin_time_incarcerated") == DURATION
+
+
+def test_rates_in_one_pass(study):
+    each = study.rates_by_each("ed_level", "crime_type", "risk").cache()
+    assert rounded(each.where("dim = 'ed_level'"), "level") == EDUCATION
+    assert rounded(each.where("dim = 'crime_type'"), "level") == CRIME
+    assert rounded(each.where("dim = 'risk'"), "level") == RISK
+    assert rounded(each.where("dim = 'all'"), "level") == {None: OVERALL}
+
+
+def test_rates_from_prepared_rows(classified):
+    assert tuple(round(x, 6) for x in prepared_rates(classified, SPEC).first()) == OVERALL
+    assert rounded(prepared_rates(classified, SPEC, "ed_level"), "ed_level") == EDUCATION
+    assert rounded(prepared_rates(classified, SPEC, "crime_type"), "crime_type") == CRIME
+    assert rounded(prepared_rates(classified, SPEC, "risk"), "risk") == RISK
+    assert rounded(prepared_rates_by_duration(classified, SPEC), "bin_time_incarcerated") == DURATION
+
+
+def test_mix(study, classified):
+    for mix in (study.mix("risk", "crime_type"), prepared_mix(classified, SPEC, "risk", "crime_type")):
+        assert {(r["risk"], r["crime_type"]): (r["n"], round(r["prop"], 6)) for r in mix.collect()} == MIX
+
+
+def test_every_education_level_is_known(study):
+    chart = chart_table(study.rates("ed_level"), "ed_level", EDUCATION_LEVELS)
+    assert {(r["ed_level"], r["ed_level_order"]) for r in chart.collect()} == set(zip(EDUCATION_LEVELS, range(1, 6)))
