@@ -23,6 +23,7 @@ from recurra.spec import HORIZONS, INDEX_ROWS, CohortWindow, EpisodeSpec
 TIES = ("all", "weighted", "one")
 
 _DAY_END = "_first_end_of_day"
+_PORTION = 10_000
 
 
 def in_window(spec: EpisodeSpec, window: CohortWindow) -> Column:
@@ -87,10 +88,20 @@ def index_starts(episodes: DataFrame, spec: EpisodeSpec, window: CohortWindow) -
     )
 
 
-def repeat_tied(df: DataFrame) -> DataFrame:
-    """Turn the weight ``index_rows`` into that many equal rows."""
-    copies = F.sequence(F.lit(1).cast("long"), F.col(INDEX_ROWS))
-    return df.withColumn(INDEX_ROWS, F.explode(copies)).drop(INDEX_ROWS)
+def repeat_tied(df: DataFrame, spread: bool = False) -> DataFrame:
+    """Turn the weight ``index_rows`` into that many equal rows.
+
+    Copies are made in portions, so that no array grows with the weight. ``spread`` deals the portions out to all tasks
+    first, for tables in which one row may stand for a large part of all rows.
+    """
+    portion = F.lit(_PORTION).cast("long")
+    last = F.floor((F.col(INDEX_ROWS) - 1) / portion)
+    portions = df.withColumn("_portion", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    if spread:
+        portions = portions.repartition(*portions.columns)
+    copies = F.least(portion, F.col(INDEX_ROWS) - F.col("_portion") * portion)
+    repeated = portions.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    return repeated.drop(INDEX_ROWS, "_portion", "_copy")
 
 
 def _starts_for(episodes: DataFrame, spec: EpisodeSpec, window: CohortWindow, ties: str) -> DataFrame:
@@ -117,7 +128,7 @@ def build_cohort(
     ``"weighted"`` one row per distinct start date with their number in ``index_rows``, ``"one"`` the earliest start.
     """
     cohort = add_horizons(_starts_for(episodes, spec, window, ties), spec, horizons)
-    return repeat_tied(cohort) if ties == "all" else cohort
+    return repeat_tied(cohort, spread=True) if ties == "all" else cohort
 
 
 def cohort_episodes(

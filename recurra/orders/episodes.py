@@ -29,29 +29,38 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def order_episodes(spark: SparkSession, folder: str) -> DataFrame:
-    """All episodes. The priority "4-NOT SPECIFIED" stands for a missing one."""
-    orders = table(spark, folder, "orders").select(
+def _orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The priority "4-NOT SPECIFIED" stands for a missing one."""
+    return table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("orderkey"),
         F.col("o_custkey").alias("custkey"),
         F.to_date("o_orderdate").alias("order_date"),
         F.nullif(F.col("o_orderpriority"), F.lit("4-NOT SPECIFIED")).alias("priority"),
     )
-    lines = table(spark, folder, "lineitem").select(
-        F.col("l_orderkey").alias("orderkey"), F.to_date("l_shipdate").alias("ship_date")
-    )
-    return orders.join(lines, "orderkey").select("custkey", "order_date", "ship_date", "priority")
 
 
-def with_segment(episodes: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
-    customers = table(spark, folder, "customer").select(
-        F.col("c_custkey").alias("custkey"), F.col("c_mktsegment").alias("segment")
-    )
-    return episodes.join(customers, "custkey", "left").select(*SPEC.columns)
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "lineitem")
+    return lines.select(F.col("l_orderkey").alias("orderkey"), F.to_date("l_shipdate").alias("ship_date"))
+
+
+def order_episodes(spark: SparkSession, folder: str) -> DataFrame:
+    """All episodes, without the segment.
+
+    Both joins here are between tables as they are scanned, so adaptive execution sees the sizes of their partitions
+    and splits those of a heavy order or customer by itself.
+    """
+    episodes = _orders(spark, folder).join(_lines(spark, folder), "orderkey")
+    return episodes.select("custkey", "order_date", "ship_date", "priority")
 
 
 def segmented_episodes(spark: SparkSession, folder: str) -> DataFrame:
-    return with_segment(order_episodes(spark, folder), spark, folder)
+    """All episodes with the customer's segment, which is joined to orders before these grow to lines."""
+    customers = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("custkey"), F.col("c_mktsegment").alias("segment")
+    )
+    orders = _orders(spark, folder).join(customers, "custkey", "left")
+    return orders.join(_lines(spark, folder), "orderkey").select(*SPEC.columns)
 
 
 def status_records(spark: SparkSession, folder: str) -> DataFrame:

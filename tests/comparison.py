@@ -11,17 +11,14 @@ import duckdb
 def sql_connection(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for f in sorted(Path(folder).glob("*.parquet")):
-        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM read_parquet('{f}')")
+        files = f / "*.parquet" if f.is_dir() else f
+        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM read_parquet('{files}')")
     return con
 
 
-def _cell(value):
-    return round(value, 12) if isinstance(value, float) else value
-
-
 def as_bag(columns, rows) -> Counter:
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return Counter(tuple(_cell(r[i]) for i in order) for r in rows)
+    return Counter(tuple(r[i] for i in order) for r in rows)
 
 
 SQL_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DATE": "date", "VARCHAR": "string", "DOUBLE": "double"}
