@@ -49,4 +49,5 @@ def add_entity_attribute(per_entity: DataFrame, attribute: DataFrame, spec: Epis
 def add_episode_attribute(episodes: DataFrame, attribute: DataFrame, spec: EpisodeSpec) -> DataFrame:
     """The same left join for a table of episodes, balanced for entities with very many of them."""
     sizes = episodes.groupBy(spec.entity).agg(F.count(F.lit(1)).alias(ROWS_IN_KEY))
-    return join_per_key(episodes, attribute, [spec.entity], sizes, "left", spec.entity_nullable)
+    days = [spec.start, spec.end]
+    return join_per_key(episodes, attribute, [spec.entity], sizes, "left", spec.entity_nullable, days)

@@ -145,6 +145,7 @@ def cohort_episodes(
     """
     starts = _starts_for(episodes, spec, window, ties)
     sizes = episodes.groupBy(spec.entity).agg(F.count(F.lit(1)).alias(ROWS_IN_KEY))
-    joined = join_per_key(episodes, starts, [spec.entity], sizes, null_safe=spec.entity_nullable)
+    days = [spec.start, spec.end]
+    joined = join_per_key(episodes, starts, [spec.entity], sizes, "inner", spec.entity_nullable, days)
     cut = add_horizons(joined, spec, horizons)
     return repeat_tied(cut) if ties == "all" else cut

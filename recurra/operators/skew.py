@@ -34,14 +34,16 @@ def join_per_key(
     sizes: DataFrame,
     how: str = "inner",
     null_safe: bool = True,
+    deal_by: Sequence[str] = (),
 ) -> DataFrame:
     """Join ``rows`` with ``per_key`` on ``keys`` (``how`` is "inner" or "left").
 
     ``sizes`` has one row per key and says in ``_rows_in_key`` how many rows the key has at most. A key above the
-    session's slice size is cut into slices: its ``rows`` are dealt out by a hash of their content and input
-    partition, its ``per_key`` rows are repeated once per slice, and the slice number joins the key. The slice is a
-    pure function of a row and its partition, so a task that runs again deals its rows the same way. All other keys
-    have the one slice 0. Spark remains free to broadcast ``per_key`` instead if it proves small at run time.
+    session's slice size is cut into slices: its ``rows`` are dealt out by a hash of their input partition and the
+    columns ``deal_by``, its ``per_key`` rows are repeated once per slice, and the slice number joins the key. The
+    slice is a pure function of a row and its partition, so a task that runs again deals its rows the same way. Name
+    only columns in ``deal_by`` that are read anyway. All other keys have the one slice 0. Spark remains free to
+    broadcast ``per_key`` instead if it proves small at run time.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
@@ -56,7 +58,7 @@ def join_per_key(
     slices = F.coalesce(F.col(_SLICES), F.lit(1))
     extra = [_SLICES, *["_heavy_" + k for k in keys]]
 
-    dealt = F.pmod(F.xxhash64(F.spark_partition_id(), *rows.columns), slices)
+    dealt = F.pmod(F.xxhash64(F.spark_partition_id(), *deal_by), slices)
     dealt = F.when(F.col(_SLICES).isNull(), 0).otherwise(dealt).cast("int")
     left = rows.join(heavy, _matches(keys, "_heavy_", null_safe), "left").withColumn(_SLICE, dealt).drop(*extra)
 

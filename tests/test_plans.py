@@ -84,3 +84,8 @@ def test_only_the_bounded_list_is_broadcast_by_hint(study):
     text = plan(REPORTS["cohort_episodes"](study))
     for block in text.split("BroadcastExchange")[1:]:
         assert "TakeOrderedAndProject(limit=20000" in block
+
+
+def test_cutting_heavy_entities_reads_no_extra_columns(study):
+    joined = cohort_episodes(study.episodes, SPEC, WINDOW, ties="weighted").select("pers_id", "crime_type")
+    assert "ed_level" not in plan(joined)
