@@ -73,11 +73,13 @@ def clean_status(spark: SparkSession, folder: str) -> DataFrame:
     return consistent_attribute(status_records(spark, folder), "custkey", "status")
 
 
-def study(spark: SparkSession, folder: str, year: int = YEAR, segment: bool = False) -> ReturnStudy:
+def study(
+    spark: SparkSession, folder: str, year: int = YEAR, segment: bool = False, status: bool = False
+) -> ReturnStudy:
     episodes = segmented_episodes(spark, folder) if segment else order_episodes(spark, folder)
     return ReturnStudy(
         valid_episodes(episodes, SPEC),
         SPEC,
         CohortWindow.of_year(year),
-        entity_attributes={"status": clean_status(spark, folder)},
+        entity_attributes={"status": clean_status(spark, folder)} if status else {},
     )

@@ -190,12 +190,12 @@ def rates_by_duration(spark, folder):
 
 
 def rates_by_each(spark, folder):
-    rates = study(spark, folder, segment=True).rates_by_each("segment", "priority", "status")
+    rates = study(spark, folder, segment=True, status=True).rates_by_each("segment", "priority", "status")
     return ops.in_report_order(rates, "dim", "level")
 
 
 def status_priority_mix(spark, folder):
-    mix = study(spark, folder).mix("status", "priority")
+    mix = study(spark, folder, status=True).mix("status", "priority")
     return ops.in_report_order(mix.withColumn("label", percent_label(F.col("prop"))), "status", "priority")
 
 
@@ -237,12 +237,12 @@ QUERIES = {
     "cohort_episodes": cohort_episodes,
     "prepared_cohort": prepared_cohort,
     "classified_episodes": classified_episodes,
-    "return_flags": lambda spark, folder: study(spark, folder).flags("status"),
+    "return_flags": lambda spark, folder: study(spark, folder, status=True).flags("status"),
     "rates_overall": lambda spark, folder: study(spark, folder).rates(),
     "rates_by_segment": rates_by_segment,
     "rates_by_priority": lambda spark, folder: study(spark, folder).rates("priority"),
     "rates_by_index_priority": lambda spark, folder: study(spark, folder).rates("priority", "index"),
-    "rates_by_status": lambda spark, folder: study(spark, folder).rates("status"),
+    "rates_by_status": lambda spark, folder: study(spark, folder, status=True).rates("status"),
     "rates_by_duration": rates_by_duration,
     "rates_by_each": rates_by_each,
     "rates_by_priority_long": lambda spark, folder: ops.rates_long(study(spark, folder).rates("priority")),
@@ -251,7 +251,7 @@ QUERIES = {
         study(spark, folder, segment=True).rates("segment"), "segment", SEGMENTS
     ),
     "chart_by_status": lambda spark, folder: ops.chart_table(
-        study(spark, folder).rates("status"), "status", drop_null_level=True
+        study(spark, folder, status=True).rates("status"), "status", drop_null_level=True
     ),
     "status_priority_mix": status_priority_mix,
     "saved_cohort_rates": saved_cohort_rates,
