@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recurra.functions.dates import add_years
+from recurra.operators.attributes import add_entity_attribute
 from recurra.operators.skew import ROWS_IN_KEY, join_per_key
 from recurra.spec import HORIZONS, INDEX_ROWS, CohortWindow, EpisodeSpec
 
@@ -137,15 +138,18 @@ def cohort_episodes(
     window: CohortWindow,
     horizons: tuple[int, ...] = HORIZONS,
     ties: str = "all",
+    entity_attributes: Sequence[DataFrame] = (),
 ) -> DataFrame:
-    """All episodes of the cohort's entities beside the cohort columns.
+    """All episodes of the cohort's entities beside the cohort columns and the entity attributes.
 
     With ``ties="all"`` an entity with *k* tied index rows has each of its episodes *k* times. ``"weighted"`` says
     the same with *k* in ``index_rows`` and is the form to use where entities may have very many tied rows.
     """
-    starts = _starts_for(episodes, spec, window, ties)
+    facts = _starts_for(episodes, spec, window, ties)
+    for attribute in entity_attributes:
+        facts = add_entity_attribute(facts, attribute, spec)
     sizes = episodes.groupBy(spec.entity).agg(F.count(F.lit(1)).alias(ROWS_IN_KEY))
     days = [spec.start, spec.end]
-    joined = join_per_key(episodes, starts, [spec.entity], sizes, "inner", spec.entity_nullable, days)
+    joined = join_per_key(episodes, facts, [spec.entity], sizes, "inner", spec.entity_nullable, days)
     cut = add_horizons(joined, spec, horizons)
     return repeat_tied(cut) if ties == "all" else cut

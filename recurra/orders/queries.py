@@ -172,11 +172,6 @@ def prepared_cohort(spark, folder):
     return prepare_cohort(segmented_episodes(spark, folder), SPEC, WINDOW, ties="weighted")
 
 
-def classified_episodes(spark, folder):
-    rows = ops.cohort_episodes(_valid(spark, folder), SPEC, WINDOW, ties="weighted")
-    return classify_prepared(rows, clean_status(spark, folder), SPEC)
-
-
 # -- rates and mix ------------------------------------------------------------------------------------------------
 
 
@@ -236,7 +231,7 @@ QUERIES = {
     "cohort_one_start": cohort("one"),
     "cohort_episodes": cohort_episodes,
     "prepared_cohort": prepared_cohort,
-    "classified_episodes": classified_episodes,
+    "classified_episodes": lambda spark, folder: study(spark, folder, status=True).classified_episodes("status"),
     "return_flags": lambda spark, folder: study(spark, folder, status=True).flags("status"),
     "rates_overall": lambda spark, folder: study(spark, folder).rates(),
     "rates_by_segment": rates_by_segment,

@@ -9,10 +9,12 @@ from pyspark.sql import types as T
 from recurra.functions.dates import average_months
 from recurra.functions.labels import band, band_order
 from recurra.operators.attributes import add_episode_attribute, consistent_attribute
-from recurra.operators.clean import clean_episodes
-from recurra.operators.cohort import cohort_episodes
+from recurra.operators.clean import parse_date_columns, valid_episodes
+from recurra.operators.cohort import cohort_episodes, repeat_tied
+from recurra.operators.ids import number_keys
 from recurra.operators.mix import category_counts, category_shares
 from recurra.operators.returns import classify_return, return_flags, return_rates
+from recurra.operators.skew import join_per_key
 from recurra.plans.reports import BAND, BAND_ORDER, MONTHS
 from recurra.spec import CASE_ID, DURATION_BANDS, HORIZONS, INDEX_ROWS, Bands, CohortWindow, EpisodeSpec
 
@@ -37,11 +39,19 @@ def prepare_cohort(
     horizons: tuple[int, ...] = HORIZONS,
     ties: str = "all",
 ) -> DataFrame:
-    """Raw episodes to the cohort's numbered episodes with index dates and cut points."""
-    episodes = clean_episodes(raw, spec, case_ids=True)
-    prepared = cohort_episodes(episodes, spec, window, horizons, ties)
+    """Raw episodes to the cohort's numbered episodes with index dates and cut points.
+
+    Cases are numbered over all raw episodes, but only episodes of the cohort are joined with their numbers, and
+    repeated rows are made last.
+    """
+    parsed = parse_date_columns(raw)
+    numbered = number_keys(parsed, spec.key)
+    kept = "weighted" if ties == "all" else ties
+    rows = cohort_episodes(valid_episodes(parsed, spec), spec, window, horizons, kept)
+    rows = join_per_key(rows, valid_episodes(numbered, spec), spec.key, numbered)
+    rows = repeat_tied(rows) if ties == "all" else rows
     weight = [INDEX_ROWS] if ties == "weighted" else []
-    return prepared.select(CASE_ID, *spec.columns, *_cut_points(spec, horizons), *weight)
+    return rows.select(CASE_ID, *spec.columns, *_cut_points(spec, horizons), *weight)
 
 
 def prepare_attribute(raw: DataFrame, spec: EpisodeSpec, value: str) -> DataFrame:
@@ -52,7 +62,11 @@ def prepare_attribute(raw: DataFrame, spec: EpisodeSpec, value: str) -> DataFram
 def classify_prepared(
     prepared: DataFrame, attribute: DataFrame, spec: EpisodeSpec, horizons: tuple[int, ...] = HORIZONS
 ) -> DataFrame:
-    """Prepared episodes with the entity attribute and the return class, ready for the rates below."""
+    """Saved prepared episodes with the entity attribute and the return class, ready for the rates below.
+
+    Counting the rows of each entity reads one column of the saved table. For a cohort that is still a plan, use
+    ``ReturnStudy.classified_episodes``, which computes it once.
+    """
     joined = add_episode_attribute(prepared, attribute, spec)
     return classify_return(joined, spec, horizons)
 

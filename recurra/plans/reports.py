@@ -68,6 +68,12 @@ class ReturnStudy:
     def _rates(self, first: DataFrame, *dims: str) -> DataFrame:
         return return_rates(flags_from_first_class(first, self.horizons), dims, self.horizons)
 
+    def classified_episodes(self, *attributes: str, ties: str = "weighted") -> DataFrame:
+        """Row-level result: every episode of the cohort with the named entity attributes and its return class."""
+        tables = [self.entity_attributes[a] for a in attributes]
+        rows = c.cohort_episodes(self.episodes, self.spec, self.window, self.horizons, ties, tables)
+        return classify_return(rows, self.spec, self.horizons)
+
     # -- rates ---------------------------------------------------------------------------------------------------
 
     def flags(self, *attributes: str) -> DataFrame:

@@ -156,3 +156,15 @@ def test_shares_and_rates_are_consistent(case):
         assert 0 <= r.prop_recidivism_year_1 <= r.prop_recidivism_year_2 <= r.prop_recidivism_year_3 <= 1
     totals = case.study.mix("risk", "crime_type").groupBy("risk").sum("prop").collect()
     assert all(r[1] == pytest.approx(1) for r in totals)
+
+
+def test_classified_episodes(case):
+    columns = [*SPEC.columns, "original_sentence_date", "original_release_date", "risk", "years_since_original_release"]
+    keys = [*SPEC.columns, "index_start", "index_end", "risk", "class"]
+    expected = Counter(tuple(p[k] for k in keys) for p in case.prepared)
+    rows = case.study.classified_episodes("risk", ties="all")
+    assert Counter(map(tuple, rows.select(columns).collect())) == expected
+    weighted = Counter()
+    for row in case.study.classified_episodes("risk").select(*columns, "index_rows").collect():
+        weighted[tuple(row)[:-1]] += row["index_rows"]
+    assert weighted == expected
