@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import random
 from datetime import date, timedelta
+from decimal import ROUND_HALF_EVEN, Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from recurra.functions import add_years, average_months, band, band_order, level_label, level_order, parse_day, percent_label
 from recurra.spec import DURATION_BANDS, EDUCATION_LEVELS, Bands
+from tests.brute_force import plus
 
 
 def evaluate(spark, values, schema, *columns):
@@ -92,3 +95,23 @@ def test_levels(spark):
         level_order(F.col("v"), EDUCATION_LEVELS),
     )
     assert found == [("Some college", 3), (last, 5), (None, None), (None, None)]
+
+
+def test_many_random_days_agree_with_python(spark):
+    rng = random.Random(5)
+    days = [date(1990, 1, 1) + timedelta(days=rng.randrange(15000)) for _ in range(3000)] + [date(2000, 2, 29)] * 3
+    text = F.date_format("d", "ddMMMyyyy")
+    columns = [add_years(F.col("d"), n) for n in (1, 2, 3, 4)] + [parse_day(F.lower(text)), parse_day(F.upper(text))]
+    found = evaluate(spark, days, "d date", *columns)
+    assert found == [(*[plus(d, n) for n in (1, 2, 3, 4)], d, d) for d in days]
+
+
+def test_many_random_shares_agree_with_python(spark):
+    rng = random.Random(6)
+    shares = [rng.randrange(m + 1) / m for m in (rng.randrange(1, 500) for _ in range(3000))]
+
+    def label(x):
+        return f"{Decimal(repr(x * 100)).quantize(Decimal('0.1'), ROUND_HALF_EVEN)}%"
+
+    found = evaluate(spark, shares, "x double", percent_label(F.col("x")))
+    assert [r[0] for r in found] == [label(x) for x in shares]
