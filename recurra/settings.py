@@ -28,7 +28,6 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="recurra-")
-    if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 

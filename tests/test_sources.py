@@ -102,6 +102,32 @@ def test_shared_folder_is_read_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get(CHECKPOINT_DIR)
 
 
+class FakeSession:
+    """A session on ``master`` with the given setting."""
+
+    def __init__(self, master, named=None, used=None):
+        self.conf, self.sparkContext = self, self
+        self.master, self.named, self.used = master, named, used
+
+    def get(self, key, default):
+        return self.named or default
+
+    def getCheckpointDir(self):
+        return self.used
+
+    def setCheckpointDir(self, folder):
+        self.used = folder
+
+
+def test_a_cluster_needs_a_named_folder():
+    assert shared_folder(FakeSession("yarn", named="hdfs:///shared")) == "hdfs:///shared"
+    assert shared_folder(FakeSession("yarn", used="hdfs:///used")) == "hdfs:///used"
+    with pytest.raises(ValueError, match=CHECKPOINT_DIR):
+        shared_folder(FakeSession("yarn"))
+    local = FakeSession("local[2]")
+    assert shared_folder(local) == shared_folder(local)
+
+
 def test_clean_accepts_dates_that_are_parsed_already(spark):
     df = spark.createDataFrame([(1, date(2010, 1, 1), date(2010, 1, 2), "a", "b")],
                                "pers_id bigint, sentence_date date, release_date date, crime_type string, ed_level string")
