@@ -1,0 +1,46 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import types as T
+
+DATA = "/root/testdata/sf0.001"
+
+DOCUMENTS = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("lang", T.StringType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("n_chars", T.LongType()),
+    ]
+)
+
+
+@pytest.fixture(scope="session")
+def documents(spark):
+    """Makes a documents table from (doc_id, text) or (doc_id, text, lang, source) rows."""
+
+    def make(rows):
+        full = [(*r, *("en", "src0")[: 4 - len(r)]) if len(r) < 4 else tuple(r) for r in rows]
+        full = [(*r[:4], None if r[1] is None else len(r[1])) for r in full]
+        return spark.createDataFrame(full, DOCUMENTS)
+
+    return make
+
+
+@pytest.fixture(scope="session")
+def some_texts():
+    """Texts with copies, near-copies, blanks, nulls, symbols and a long one."""
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(300)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(30, 120))) for _ in range(60)]
+    texts += texts[:5] + texts[:3]
+    for t in texts[:20]:
+        words = t.split()
+        words[rng.randrange(len(words))] = "Changed"
+        texts.append(" ".join(words))
+    texts += ["", None, " \t\n", "One", "one", "two words", "Zwölf Ärger\nüber ñandú — 漢字 🙂", None, ""]
+    texts.append(" ".join(rng.choices(vocabulary, k=30_000)))
+    return texts
