@@ -4,19 +4,70 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from recurra.llm.chunks import repeated_passages
 from recurra.llm.common import table
+from recurra.llm.encode import tokenizer_file
+from recurra.llm.frames import read_tokens, token_index, write_tokens
+from recurra.llm.language import documents_as_rows, fit_text_model, identify, pages_as_rows
+from recurra.llm.packing import pack
+from recurra.llm.shards import balanced_shards
 from recurra.llm.simhash import near_duplicates
+from recurra.llm.tiling import leaks
+from recurra.settings import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    found = leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("text_hash")
+
+
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents and all pages; hosts, suffixes and declared languages count over both."""
+    docs = table(spark, folder, "documents")
+    model = fit_text_model(docs, "text", "lang", "doc_id")
+    rows = documents_as_rows(docs).unionByName(pages_as_rows(table(spark, folder, "pages")))
+    return identify(rows, model)
+
+
+def op4_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return balanced_shards(table(spark, folder, "documents"), shards=8)
+
+
+def op5_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_passages(table(spark, folder, "documents"))
+
+
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = pack(table(spark, folder, "documents"), tokenizer_file(), window=4096, end_id=2)
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).select(*names)
+
+
+def op8_token_frames(spark: SparkSession, folder: str) -> DataFrame:
+    place = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid4().hex}"
+    manifest = write_tokens(table(spark, folder, "documents"), place, tokenizer_file(), end_id=2)
+    read = read_tokens(token_index(manifest))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), shingle=4, distance=4)
 
 
 QUERIES: dict[str, Query] = {
+    "op1_tiling": op1_tiling,
+    "op2_language": op2_language,
+    "op4_shards": op4_shards,
+    "op5_chunks": op5_chunks,
+    "op6_packing": op6_packing,
+    "op8_token_frames": op8_token_frames,
     "op9_simhash": op9_simhash,
 }
 

@@ -1,0 +1,150 @@
+from __future__ import annotations
+
+import io
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+import zstandard
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from recurra.llm.encode import Encoder, tokenizer_file
+from recurra.llm.frames import FrameFile, read_tokens, requested, token_index, write_tokens
+from recurra.llm.packing import pack
+from recurra.llm.queries import op6_packing, op8_token_frames
+from tests.llm.conftest import DATA
+
+ODD = [
+    "it's 'S we'LL don't <|endoftext|> a<|startoftext|>b <|x",
+    "é ́a İstanbul ΣΑΣ Σ ß ŒUVRE x y z a\x1cb\x85c",
+    "a.b, c,, d! 12 3a ...! Äpfel, Öl; ÿ× ÷ª",
+    "   leading and trailing   ",
+    "supercalifragilistic" * 200,
+]
+
+
+def plain_ids(texts):
+    tokenizer = Tokenizer.from_file(tokenizer_file())
+    return [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_encoder_equals_tokenizer(some_texts):
+    import pyarrow as pa
+
+    texts = some_texts + ODD
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        made = Encoder(tokenizer_file(name), 2)
+        tokenizer = Tokenizer.from_file(tokenizer_file(name))
+        for _ in range(2):
+            found = []
+            for first, edges, ids in made.encode(pa.array(texts, pa.string())):
+                assert first == len(found)
+                found += [ids[a:b].tolist() for a, b in zip(edges, edges[1:])]
+            assert found == [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+
+
+def test_frames_round_trip(spark, documents, some_texts, tmp_path):
+    texts = some_texts + ODD
+    rows = [(i if i != 3 else None, t) for i, t in enumerate(texts)] + [(500, "twice"), (500, "twice")]
+    docs = documents(rows).withColumn("start", F.lit("clash"))
+    manifest = write_tokens(docs, str(tmp_path / "out"), tokenizer_file())
+    index = token_index(manifest)
+    found = read_tokens(index).collect()
+    ordered = sorted(rows, key=lambda r: -1 if r[0] is None else r[0])
+    wanted = plain_ids([t for _, t in ordered])
+    starts = np.cumsum([0, *map(len, wanted)]).tolist()
+    expected = [(r[0], s, len(w), np.array(w, "<u4").tobytes()) for r, s, w in zip(ordered, starts, wanted)]
+    assert sorted(map(tuple, found), key=lambda r: r[1]) == expected
+
+    some = read_tokens(requested(index, spark.createDataFrame([(7,), (500,), (12345,)], "doc_id long"))).collect()
+    assert sorted(r.doc_id for r in some) == [7, 500, 500]
+
+    path = manifest.first()["path"]
+    whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(open(path, "rb").read()), read_across_frames=True)
+    assert len(whole.read()) == 4 * manifest.where(F.col("path") == path).first()["n_tokens"]
+
+    file = FrameFile(path)
+    with pytest.raises(ValueError):
+        file.read(int(file.positions[0]), int(file.sizes[0]), int(file.checksums[0]) ^ 1)
+
+
+def test_frames_of_an_empty_table(spark, documents, tmp_path):
+    manifest = write_tokens(documents([]), str(tmp_path / "none"), tokenizer_file())
+    assert manifest.count() == 0
+    assert read_tokens(token_index(manifest)).count() == 0
+
+
+def test_frames_query_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    ids = plain_ids([d.text for d in docs])
+    starts = np.cumsum([0, *map(len, ids)]).tolist()
+    expected = [(d.doc_id, s, len(i), crc(i)) for d, s, i in zip(docs, starts, ids)]
+    assert sorted(map(tuple, op8_token_frames(spark, DATA).collect())) == expected
+
+
+def check_pieces(pieces, ids, window):
+    """Every id lies in one piece, offsets are gapless and only the last sequence is short."""
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        by_doc[p["doc_id"]].append(p)
+        by_sequence[p["sequence_id"]].append(p)
+    assert set(by_doc) == set(ids)
+    for doc, own in by_doc.items():
+        at = 0
+        for p in sorted(own, key=lambda p: p["start"]):
+            assert p["start"] == at and p["length"] > 0 and p["doc_tokens"] == len(ids[doc])
+            assert p["ids_crc32"] == crc(ids[doc][at : at + p["length"]])
+            at += p["length"]
+        assert at == len(ids[doc])
+    for number, own in by_sequence.items():
+        at = 0
+        for p in sorted(own, key=lambda p: p["offset"]):
+            assert p["offset"] == at
+            at += p["length"]
+        assert at == window or (number == max(by_sequence) and at < window)
+    assert sorted(by_sequence) == list(range(len(by_sequence)))
+    return by_sequence
+
+
+def test_packing_query(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    ids = dict(zip([d.doc_id for d in docs], plain_ids([d.text for d in docs])))
+    check_pieces([r.asDict() for r in op6_packing(spark, DATA).collect()], ids, 4096)
+
+
+@pytest.mark.parametrize("targets", [None, {"a": 6.0, "b": 1.0, "c": 3.0}])
+def test_windows_hold_the_mix(spark, documents, some_texts, targets):
+    texts = [t for t in some_texts if t and len(t) < 5000] * 3
+    rows = [(i, t, "en", "abcc"[i % 4]) for i, t in enumerate(texts)]
+    rows += [(9000 + i, "tiny one", "en", f"s{i}") for i in range(40)] + [(9900, None, "en", None), (9901, "", None, "a")]
+    ids = dict(zip([r[0] for r in rows], plain_ids([r[1] for r in rows])))
+    found = pack(documents(rows), tokenizer_file(), window=256, packet=64, targets=targets)
+    pieces = [r.asDict() for r in found.withColumn("ids_crc32", F.crc32("ids")).collect()]
+    sequences = check_pieces(pieces, ids, 256)
+    total = defaultdict(int)
+    for r in rows:
+        total[r[3]] += len(ids[r[0]])
+    whole = sum(total.values())
+    share = {s: (targets or {}).get(s, 0) / 10 or n / whole for s, n in total.items()}
+    done = defaultdict(int)
+    busy = True
+    for number in sorted(sequences):
+        for p in sequences[number]:
+            done[p["source"]] += p["length"]
+        # As long as no queue is empty, every large source is within a packet or so of its share of what has been sent.
+        busy = busy and all(done[s] < total[s] for s in "abc")
+        sent = sum(done.values()) / sum(share.values())
+        for s in "abc" if busy else ():
+            assert abs(done[s] - share[s] * sent) <= 3 * 64
+
+
+def test_packing_of_empty_table_and_repeated_ids(spark, documents):
+    assert pack(documents([]), tokenizer_file()).count() == 0
+    twice = pack(documents([(1, "one two"), (1, "one two"), (None, "x")]), tokenizer_file())
+    assert sorted((r.doc_id or -1, r.length) for r in twice.collect()) == [(-1, 2), (1, 3), (1, 3)]
