@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from recurra.llm.common import Batches, fixed, map_arrow
 
-LEAST, SPACING, MOST = 12, 20, 80
+LEAST, SPACING, MOST = 16, 16, 80
 _WINDOW = 16
 _BLOCK = 4 << 20
 _ROWS = 200_000
