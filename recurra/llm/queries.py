@@ -9,6 +9,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recurra.llm import hnsw
 from recurra.llm.chunks import repeated_passages
 from recurra.llm.common import table
 from recurra.llm.encode import tokenizer_file
@@ -61,6 +62,10 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), shingle=4, distance=4)
 
 
+def op10_hnsw(spark: SparkSession, folder: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, folder, "embeddings"), threshold=0.93)
+
+
 QUERIES: dict[str, Query] = {
     "op1_tiling": op1_tiling,
     "op2_language": op2_language,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op6_packing": op6_packing,
     "op8_token_frames": op8_token_frames,
     "op9_simhash": op9_simhash,
+    "op10_hnsw": op10_hnsw,
 }
 
 ORACLE: dict[str, str] = {}
