@@ -15,6 +15,7 @@ from recurra.llm.common import table
 from recurra.llm.encode import tokenizer_file
 from recurra.llm.frames import read_tokens, token_index, write_tokens
 from recurra.llm.language import documents_as_rows, fit_text_model, identify, pages_as_rows
+from recurra.llm.lines import line_classes
 from recurra.llm.packing import pack
 from recurra.llm.shards import balanced_shards
 from recurra.llm.simhash import near_duplicates
@@ -51,6 +52,10 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).select(*names)
 
 
+def op7_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return line_classes(table(spark, folder, "documents"), edits=2).drop("text_hash")
+
+
 def op8_token_frames(spark: SparkSession, folder: str) -> DataFrame:
     place = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid4().hex}"
     manifest = write_tokens(table(spark, folder, "documents"), place, tokenizer_file(), end_id=2)
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op4_shards": op4_shards,
     "op5_chunks": op5_chunks,
     "op6_packing": op6_packing,
+    "op7_lines": op7_lines,
     "op8_token_frames": op8_token_frames,
     "op9_simhash": op9_simhash,
     "op10_hnsw": op10_hnsw,
