@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recurra.llm import hnsw
+from recurra.llm.brown import scores
 from recurra.llm.chunks import repeated_passages
 from recurra.llm.common import table
 from recurra.llm.encode import tokenizer_file
@@ -38,6 +39,10 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     return identify(rows, model)
 
 
+def op3_brown(spark: SparkSession, folder: str) -> DataFrame:
+    return scores(table(spark, folder, "documents"))
+
+
 def op4_shards(spark: SparkSession, folder: str) -> DataFrame:
     return balanced_shards(table(spark, folder, "documents"), shards=8)
 
@@ -74,6 +79,7 @@ def op10_hnsw(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_tiling": op1_tiling,
     "op2_language": op2_language,
+    "op3_brown": op3_brown,
     "op4_shards": op4_shards,
     "op5_chunks": op5_chunks,
     "op6_packing": op6_packing,
