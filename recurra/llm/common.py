@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from recurra.settings import scratch_table
 
@@ -22,7 +23,7 @@ def fixed(df: DataFrame) -> DataFrame:
     return scratch_table(df)
 
 
-def map_arrow(df: DataFrame, function: Callable[[Batches], Batches], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 

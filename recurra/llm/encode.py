@@ -1,7 +1,8 @@
 """Token ids of whole texts, computed in bulk.
 
-Most words of a batch repeat, and a tokenizer that drops white space gives a word the same ids wherever it stands. Each
-different word of a batch is therefore encoded once; words made of plain letters travel to the tokenizer many at a time.
+Most words repeat, and a tokenizer that drops white space gives a word the same ids wherever it stands. Each different
+word of a few megabytes of text is therefore encoded once; words made of plain letters travel to the tokenizer many at a
+time. Words that repeat there are remembered for the texts that follow, up to a bound.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ import pyarrow.compute as pc
 
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]?)").fullmatch
 _WORDS_AT_ONCE = 500
-_KEPT_WORDS = 400_000
-_SLICE_WORDS = 1_000_000
+_KEPT_WORDS = 200_000
+_SLICE_BYTES = 4 << 20
 _ID = np.dtype("<u4")
 
 
@@ -30,6 +31,12 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _pieces(word: str) -> int:
+    """Into how many pieces the tokenizer splits a word of plain letters and a mark; 0 for other words."""
+    match = _PLAIN(word)
+    return 0 if match is None else 2 if match[1] else 1
+
+
 class Encoder:
     """Ids of texts by a tokenizer file of the ``tokenizers`` library, without special tokens, plus an end id."""
 
@@ -41,9 +48,10 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         suffix = json.loads(self._tokenizer.to_str())["model"].get("end_of_word_suffix")
         self._by_word = bool(suffix)
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        self.size = max(vocabulary.values()) + 1
         if suffix:
-            vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
-            self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self._ends = np.zeros(self.size, bool)
             self._ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self._known: dict[str, bytes] = {"": b""}
 
@@ -67,10 +75,10 @@ class Encoder:
     def _ids_of_words(self, words: list[str], counts: np.ndarray) -> list[bytes]:
         found = list(map(self._known.get, words))
         missing = [i for i, ids in enumerate(found) if ids is None]
-        plain = [_PLAIN(words[i]) for i in missing]
-        simple = list(compress(missing, plain))
-        other = [i for i, m in zip(missing, plain) if not m]
-        pieces = [2 if m[1] else 1 for m in plain if m]
+        ends = [_pieces(words[i]) for i in missing]
+        simple = list(compress(missing, ends))
+        other = [i for i, n in zip(missing, ends) if not n]
+        pieces = [n for n in ends if n]
         for where, made in (
             (simple, self._encode_plain([words[i] for i in simple], pieces)),
             (other, self._encode([words[i] for i in other])),
@@ -85,33 +93,39 @@ class Encoder:
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Yield (first row, edges, ids) for slices of the column; row ``first + i`` has ids[edges[i]:edges[i + 1]]."""
         texts = pc.fill_null(column, "")
-        if not self._by_word:
-            for at in range(0, len(texts), 256):
-                made = self._encode(texts[at : at + 256].to_pylist())
-                made = [ids + np.array([self.end_id], _ID).tobytes() for ids in made]
-                edges = np.concatenate([[0], np.cumsum([len(ids) // 4 for ids in made])])
-                yield at, edges, np.frombuffer(b"".join(made), _ID)
-            return
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            done = sizes[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(sizes, done + _SLICE_BYTES, "right")))
+            some = texts.slice(at, to - at)
+            edges, ids = self._by_words(some) if self._by_word else self._by_texts(some)
+            yield at, edges, ids
+            at = to
+        pa.default_memory_pool().release_unused()
+
+    def _by_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        end = np.array([self.end_id], _ID).tobytes()
+        made = [ids + end for ids in self._encode(texts.to_pylist())]
+        edges = np.concatenate([[0], np.cumsum([len(ids) // 4 for ids in made])])
+        return edges, np.frombuffer(b"".join(made), _ID)
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         row_edges = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
-        which = coded.indices.to_numpy(zero_copy_only=False)
+        word = coded.indices.to_numpy(zero_copy_only=False)
         different = coded.dictionary.to_pylist()
-        found = self._ids_of_words(different, np.bincount(which, minlength=len(different)))
+        found = self._ids_of_words(different, np.bincount(word, minlength=len(different)))
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         begin = np.cumsum(lengths) - lengths
         flat = np.frombuffer(b"".join(found), _ID)
-        at = 0
-        while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(row_edges, row_edges[at] + _SLICE_WORDS, "right")) - 1)
-            word = which[row_edges[at] : row_edges[to]]
-            n = lengths[word]
-            ends = np.cumsum(n)
-            ids = flat[np.repeat(begin[word] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-            edges = np.concatenate([[0], ends])[row_edges[at : to + 1] - row_edges[at]]
-            ids = np.insert(ids, edges[1:], self.end_id)
-            yield at, edges + np.arange(to - at + 1), ids
-            at = to
+        n = lengths[word]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(begin[word] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        edges = np.concatenate([[0], ends])[row_edges]
+        ids = np.insert(ids, edges[1:], self.end_id)
+        return edges + np.arange(len(edges)), ids
 
 
 @lru_cache(maxsize=2)
