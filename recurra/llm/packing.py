@@ -24,34 +24,42 @@ from recurra.llm.common import Batches, fixed, map_arrow
 from recurra.llm.encode import encoder
 
 _ROUNDS = 256
+# The counters of so many queues and batches are broadcast; more are joined by shuffling.
+BROADCAST_COUNTERS = 500_000
 _PACKET = "batch long, source string, doc_id long, start long, before long, n long, doc_tokens long, ids binary"
 
 
-def _packets(docs: DataFrame, tokenizer: str, end_id: int, packet: int) -> DataFrame:
+def _id_type(tokenizer: str, end_id: int) -> np.dtype:
+    """Two bytes per id where the vocabulary allows it: ids are what moves between machines."""
+    return np.dtype("<u2" if max(encoder(tokenizer, end_id).size, end_id + 1) <= 1 << 16 else "<u4")
+
+
+def _packets(docs: DataFrame, tokenizer: str, end_id: int, packet: int, kind: np.dtype) -> DataFrame:
     """Packets with the tokens of the same source before them in the same batch of rows."""
+    width = kind.itemsize
 
     def run(batches: Batches) -> Batches:
         encode = encoder(tokenizer, end_id).encode
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids_of, sources = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            queue: dict[str | None, int] = {}
+            number += 1
             for first, edges, ids in encode(batch.column(1)):
                 rows: list[tuple] = []
-                queue: dict[str | None, int] = {}
-                raw = ids.tobytes()
+                raw = ids.astype(kind).tobytes()
                 edges = edges.tolist()
                 for doc, source, a, b in zip(ids_of[first:], sources[first:], edges, edges[1:]):
                     before = queue.get(source, 0)
                     queue[source] = before + b - a
                     for at in range(a, b, packet):
                         to = min(b, at + packet)
-                        rows.append((source, doc, at - a, before + at - a, to - at, b - a, raw[4 * at : 4 * to]))
+                        rows.append((source, doc, at - a, before + at - a, to - at, b - a, raw[width * at : width * to]))
                 columns = list(zip(*rows))
-                kinds = [pa.string(), *[pa.int64()] * 5, pa.binary()]
-                arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds)]
+                types = [pa.string(), *[pa.int64()] * 5, pa.binary()]
+                arrays = [pa.array(c, t) for c, t in zip(columns, types)]
                 names = ["source", "doc_id", "start", "before", "n", "doc_tokens", "ids"]
                 same = pa.array(np.full(len(rows), number))
-                number += 1
                 yield pa.RecordBatch.from_arrays([same, *arrays], names=["batch", *names])
 
     return map_arrow(docs, run, _PACKET)
@@ -74,6 +82,24 @@ def _quanta(packets: DataFrame, window: int, targets: Mapping[str, float] | None
     return sums.select("source", "batch", "ahead", (share * window).alias("quantum"))
 
 
+def _widen(pieces: DataFrame, kind: np.dtype) -> DataFrame:
+    """Ids with four bytes each."""
+    if kind.itemsize == 4:
+        return pieces
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            ids = batch.column("ids")
+            _, offsets, data = ids.buffers()
+            edges = np.frombuffer(offsets, np.int32)[ids.offset : ids.offset + len(ids) + 1]
+            own = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]].view(kind).astype("<u4") if len(ids) else b""
+            edges = ((edges - edges[0]) * 2).astype(np.int32)
+            wide = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(edges), pa.py_buffer(own)])
+            yield batch.set_column(batch.schema.get_field_index("ids"), "ids", wide)
+
+    return map_arrow(pieces, run, pieces.schema)
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -96,9 +122,12 @@ def pack(
     rows = docs.select(
         F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source")
     )
-    packets = fixed(_packets(rows, tokenizer, end_id, packet))
-    quanta = _quanta(packets, window, targets)
+    kind = _id_type(tokenizer, end_id)
+    packets = fixed(_packets(rows, tokenizer, end_id, packet, kind))
+    quanta = fixed(_quanta(packets, window, targets))
+    few = quanta.count() <= BROADCAST_COUNTERS
     quanta = quanta.withColumnsRenamed({"source": "q_source", "batch": "q_batch"})
+    quanta = F.broadcast(quanta) if few else quanta
     met = packets.join(quanta, (F.col("batch") == F.col("q_batch")) & F.col("source").eqNullSafe(F.col("q_source")))
     credit = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(1 << 20)) / (1 << 20)
     queued = F.col("ahead") + F.col("before")
@@ -122,7 +151,8 @@ def pack(
     begin = F.greatest(F.col("place"), F.col("sequence_id") * size)
     pieces = pieces.withColumn("skip", begin - F.col("place"))
     length = F.least(F.col("n") - F.col("skip"), (F.col("sequence_id") + 1) * size - begin)
-    return pieces.select(
+    width = kind.itemsize
+    pieces = pieces.select(
         "doc_id",
         "source",
         (F.col("start") + F.col("skip")).alias("start"),
@@ -130,5 +160,6 @@ def pack(
         "doc_tokens",
         "sequence_id",
         (begin - F.col("sequence_id") * size).alias("offset"),
-        F.substring("ids", (F.col("skip") * 4 + 1).cast("int"), (length * 4).cast("int")).alias("ids"),
+        F.substring("ids", (F.col("skip") * width + 1).cast("int"), (length * width).cast("int")).alias("ids"),
     )
+    return _widen(pieces, kind)
