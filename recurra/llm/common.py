@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from recurra.settings import scratch_table
+from recurra.settings import scratch_table, use_local_folder
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -19,7 +19,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def fixed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a table in the folder that ``spark.checkpoint.dir`` names; lost executors cannot change it."""
+    """Write ``df`` to a table in the folder that ``spark.checkpoint.dir`` names; lost executors cannot change it.
+
+    Only a local session may name none; it gets a temporary folder.
+    """
+    use_local_folder(df.sparkSession)
     return scratch_table(df)
 
 

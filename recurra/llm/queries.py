@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +19,7 @@ from recurra.llm.packing import pack
 from recurra.llm.shards import balanced_shards
 from recurra.llm.simhash import near_duplicates
 from recurra.llm.tiling import leaks
-from recurra.settings import shared_folder
+from recurra.settings import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,8 +60,8 @@ def op7_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_token_frames(spark: SparkSession, folder: str) -> DataFrame:
-    place = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid4().hex}"
-    manifest = write_tokens(table(spark, folder, "documents"), place, tokenizer_file(), end_id=2)
+    docs = table(spark, folder, "documents")
+    manifest = write_tokens(docs, new_folder(spark, "tokens"), tokenizer_file(), end_id=2)
     read = read_tokens(token_index(manifest))
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
