@@ -9,10 +9,9 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recurra.functions.labels import percent_label
+from recurra.functions.labels import with_automatic_labels
 from recurra.operators import chart_table, in_report_order, in_row_order
 from recurra.operators.cohort import TIES
 from recurra.plans import (
@@ -24,9 +23,9 @@ from recurra.plans import (
     prepared_rates_by_duration,
     prepared_schema,
 )
-from recurra.plans.reports import BAND, BAND_ORDER
+from recurra.settings import remove_tables, use_local_folder
 from recurra.sources import read_attribute_file, read_episode_files, read_table, write_table
-from recurra.spec import CASE_ID, EDUCATION_LEVELS, RETURN_CLASS, CohortWindow, EpisodeSpec
+from recurra.spec import BAND, BAND_ORDER, CASE_ID, EDUCATION_LEVELS, RETURN_CLASS, CohortWindow, EpisodeSpec
 
 SPEC = EpisodeSpec()
 RISK = "risk"
@@ -61,9 +60,7 @@ def reports(rows: DataFrame) -> dict[str, DataFrame]:
         "by_duration": in_report_order(
             chart_table(prepared_rates_by_duration(rows, SPEC), BAND), BAND_ORDER, RETURN_CLASS
         ),
-        "crime_mix_by_risk": in_report_order(
-            mix.withColumn("label", percent_label(F.col("prop"))), RISK, "crime_type"
-        ),
+        "crime_mix_by_risk": in_report_order(with_automatic_labels(mix, "prop"), RISK, "crime_type"),
     }
 
 
@@ -92,9 +89,12 @@ def main(argv: list[str] | None = None) -> None:
     for command in (first, second):
         command.add_argument("--out", required=True)
         command.add_argument("--form", choices=["parquet", "csv"], default="parquet")
-        command.add_argument("--ties", choices=TIES, default="all")
+        command.add_argument("--ties", choices=TIES, default="weighted")
     args = parser.parse_args(argv)
-    args.run(SparkSession.builder.appName("recurra").getOrCreate(), args)
+    spark = SparkSession.builder.appName("recurra").getOrCreate()
+    use_local_folder(spark)
+    args.run(spark, args)
+    remove_tables(spark)
 
 
 if __name__ == "__main__":

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recurra.spec import Bands
@@ -16,6 +16,32 @@ def percent_label(share: Column, decimals: int = 1) -> Column:
     return F.when(share.isNotNull(), text)
 
 
+# Percentages are shown with at most so many decimals.
+MOST_DECIMALS = 4
+
+
+def automatic_percent_label(share: Column, least_gap: Column) -> Column:
+    """``share`` as a percentage with as many decimals as tell the shares of a table apart.
+
+    ``least_gap`` is the smallest difference between two different shares of the table (see ``least_gap``), null if there
+    are none. The rule: the fewest decimals, 0 to 4, with which one unit of the last place is not larger than that gap.
+    """
+    gap = least_gap * 100
+    label = percent_label(share, MOST_DECIMALS)
+    for decimals in reversed(range(MOST_DECIMALS)):
+        enough = least_gap.isNull() | (gap >= F.lit(10.0**-decimals) * (1 - 1e-9))
+        label = F.when(enough, percent_label(share, decimals)).otherwise(label)
+    return label
+
+
+def with_automatic_labels(table: DataFrame, share: str, name: str = "label") -> DataFrame:
+    """Add percent labels to a finished report; its different shares, a row per level at most, are compared in order."""
+    different = table.select(share).where(F.col(share).isNotNull()).distinct()
+    gaps = different.select((F.col(share) - F.lag(share).over(Window.orderBy(share))).alias("gap"))
+    least = gaps.agg(F.min("gap")).scalar()
+    return table.withColumn(name, automatic_percent_label(F.col(share), least))
+
+
 def level_order(value: Column, levels: Sequence[str]) -> Column:
     """1-based position of ``value`` in ``levels``; null for null and for values that are no level."""
     position = F.array_position(F.array(*[F.lit(v) for v in levels]), value)

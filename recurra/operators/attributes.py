@@ -5,32 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recurra.operators.skew import ROWS_IN_KEY, join_per_key
+from recurra.operators.skew import join_per_key
 from recurra.spec import EpisodeSpec
 
 
+def distinct_pairs(df: DataFrame, key: str, value: str) -> DataFrame:
+    return df.select(key, value).distinct()
+
+
 def distinct_values(df: DataFrame, key: str, value: str, name: str = "distinct_values") -> DataFrame:
     """Number of distinct values per key; null counts as a value."""
-    pairs = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_copies"))
-    return pairs.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    return distinct_pairs(df, key, value).groupBy(key).agg(F.count(F.lit(1)).alias(name))
 
 
 def consistent_attribute(df: DataFrame, key: str, value: str) -> DataFrame:
     """One row per key whose records all agree; keys with conflicting records are left out.
 
-    Null is a value of its own: all-null keys stay, a null next to a value is a conflict. A key agrees exactly if
-    its smallest and largest value are equal and nulls are none or all, so one aggregation with a state of constant
-    size per key is enough, whatever the number of records of a key.
+    Null is a value of its own: all-null keys stay, a null next to a value is a conflict. Records are first reduced to the
+    different pairs of key and value, which hashing does before anything is shuffled, however many records a key has. A
+    key with one pair agrees; ``first`` then takes its only value.
     """
-    seen = df.groupBy(key).agg(
-        F.min(value).alias(value),
-        F.max(value).alias("_largest"),
-        F.count(value).alias("_filled"),
-        F.count(F.lit(1)).alias("_all"),
-    )
-    none, every = F.col("_filled") == 0, F.col("_filled") == F.col("_all")
-    agrees = none | (every & (F.col(value) == F.col("_largest")))
-    return seen.where(agrees).select(key, value)
+    pairs = distinct_pairs(df, key, value)
+    seen = pairs.groupBy(key).agg(F.first(value).alias(value), F.count(F.lit(1)).alias("_values"))
+    return seen.where("_values = 1").select(key, value)
 
 
 def add_entity_attribute(per_entity: DataFrame, attribute: DataFrame, spec: EpisodeSpec) -> DataFrame:
@@ -47,7 +44,5 @@ def add_entity_attribute(per_entity: DataFrame, attribute: DataFrame, spec: Epis
 
 
 def add_episode_attribute(episodes: DataFrame, attribute: DataFrame, spec: EpisodeSpec) -> DataFrame:
-    """The same left join for a table of episodes, balanced for entities with very many of them."""
-    sizes = episodes.groupBy(spec.entity).agg(F.count(F.lit(1)).alias(ROWS_IN_KEY))
-    days = [spec.start, spec.end]
-    return join_per_key(episodes, attribute, [spec.entity], sizes, "left", spec.entity_nullable, days)
+    """The same left join for a table of episodes, whose entities may have very many of them."""
+    return join_per_key(episodes, attribute, [spec.entity], "left", spec.entity_nullable)

@@ -6,7 +6,7 @@ spreads even a single entity's groups over all tasks. What is left of an entity
 and combination of levels, so the second step may look at the entity as a whole in a window, however many episodes it
 has. The table is scanned once and nothing is joined.
 
-Only row-level results (``cohort_episodes``) join the cohort back to the episodes, balanced for heavy entities.
+Only row-level results (``cohort_episodes``) join the cohort back to the episodes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from recurra.functions.dates import add_years
 from recurra.operators.attributes import add_entity_attribute
-from recurra.operators.skew import ROWS_IN_KEY, join_per_key
+from recurra.operators.ids import ROWS_IN_KEY
+from recurra.operators.skew import join_per_key
 from recurra.spec import HORIZONS, INDEX_ROWS, CohortWindow, EpisodeSpec
 
 TIES = ("all", "weighted", "one")
@@ -39,15 +40,22 @@ def add_horizons(df: DataFrame, spec: EpisodeSpec, horizons: tuple[int, ...] = H
 def decisive_episodes(
     episodes: DataFrame, spec: EpisodeSpec, window: CohortWindow, horizons: tuple[int, ...]
 ) -> DataFrame:
-    """Episodes that decide who is in the cohort or who returned; the filter reaches the scan.
+    """Valid episodes that decide who is in the cohort or who returned.
 
     An episode that ends after the window is nobody's index episode there, and leaving it out can only move the first
     end of entities whose first end lies after the window anyway.
     """
     start, end = F.col(spec.start), F.col(spec.end)
     may_be_index = end <= window.last
-    may_be_return = (start > window.first) & (start <= window.latest_return(horizons))
-    return episodes.where(may_be_index | may_be_return)
+    may_be_return = start > window.first
+    # A valid episode that ends in the window starts before its last day, so this holds for both. It concerns one column
+    # only and reaches the scan of the table that has it, even where start and end come from different tables.
+    return episodes.where((start <= window.latest_return(horizons)) & (may_be_index | may_be_return))
+
+
+def early_episodes(episodes: DataFrame, spec: EpisodeSpec, window: CohortWindow) -> DataFrame:
+    """Valid episodes that may be index episodes: they start and end before the window is over."""
+    return episodes.where((F.col(spec.end) <= window.last) & (F.col(spec.start) < window.last))
 
 
 def start_history(
@@ -68,7 +76,7 @@ def index_counts(
     episodes: DataFrame, spec: EpisodeSpec, window: CohortWindow, dims: Sequence[str] = ()
 ) -> DataFrame:
     """Cohort entities with the number of tied index rows (``index_rows``) per combination of ``dims``."""
-    early = episodes.where(F.col(spec.end) <= window.last)
+    early = early_episodes(episodes, spec, window)
     days = early.groupBy(spec.entity, *dims, spec.end).agg(F.count(F.lit(1)).alias(INDEX_ROWS))
     first = F.min(spec.end).over(Window.partitionBy(spec.entity))
     days = days.withColumn(spec.index_end, first).where(in_window(spec, window))
@@ -77,10 +85,15 @@ def index_counts(
 
 def index_starts(episodes: DataFrame, spec: EpisodeSpec, window: CohortWindow) -> DataFrame:
     """Cohort entities with their distinct index start dates and the number of tied rows behind each."""
-    early = episodes.where(F.col(spec.end) <= window.last)
-    pairs = early.groupBy(*spec.key).agg(F.count(F.lit(1)).alias("_rows"))
-    days = pairs.groupBy(spec.entity, spec.start).agg(
-        F.min(spec.end).alias(_DAY_END), F.min_by("_rows", spec.end).alias(INDEX_ROWS)
+    pairs = early_episodes(episodes, spec, window).groupBy(*spec.key).agg(F.count(F.lit(1)).alias(ROWS_IN_KEY))
+    return index_starts_of_cases(pairs, spec, window)
+
+
+def index_starts_of_cases(cases: DataFrame, spec: EpisodeSpec, window: CohortWindow) -> DataFrame:
+    """The same from cases: one row per entity, start and end with the number of its rows in ``_rows_in_key``."""
+    cases = early_episodes(cases, spec, window)
+    days = cases.groupBy(spec.entity, spec.start).agg(
+        F.min(spec.end).alias(_DAY_END), F.min_by(ROWS_IN_KEY, spec.end).alias(INDEX_ROWS)
     )
     first = F.min(_DAY_END).over(Window.partitionBy(spec.entity))
     starts = days.withColumn(spec.index_end, first).where(in_window(spec, window) & is_index_day(spec))
@@ -89,26 +102,27 @@ def index_starts(episodes: DataFrame, spec: EpisodeSpec, window: CohortWindow) -
     )
 
 
-def repeat_tied(df: DataFrame, spread: bool = False) -> DataFrame:
+def repeat_tied(df: DataFrame) -> DataFrame:
     """Turn the weight ``index_rows`` into that many equal rows.
 
-    Copies are made in portions, so that no array grows with the weight. ``spread`` deals the portions out to all tasks
-    first, for tables in which one row may stand for a large part of all rows.
+    Equal rows are counted together first. Their copies are made in portions, so that no array grows with the weight, and
+    the portions are dealt out to all tasks by a hash of row and portion: one row may stand for a large part of all rows.
     """
     portion = F.lit(_PORTION).cast("long")
+    others = [c for c in df.columns if c != INDEX_ROWS]
+    counted = df.groupBy(*others).agg(F.sum(INDEX_ROWS).alias(INDEX_ROWS))
     last = F.floor((F.col(INDEX_ROWS) - 1) / portion)
-    portions = df.withColumn("_portion", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    if spread:
-        portions = portions.repartition(*portions.columns)
+    portions = counted.withColumn("_portion", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    portions = portions.repartition(*portions.columns)
     copies = F.least(portion, F.col(INDEX_ROWS) - F.col("_portion") * portion)
     repeated = portions.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    return repeated.drop(INDEX_ROWS, "_portion", "_copy")
+    return repeated.select(*others)
 
 
-def _starts_for(episodes: DataFrame, spec: EpisodeSpec, window: CohortWindow, ties: str) -> DataFrame:
+def starts_for(starts: DataFrame, spec: EpisodeSpec, ties: str) -> DataFrame:
+    """What ``ties`` leaves of the index starts."""
     if ties not in TIES:
         raise ValueError(f"ties must be one of {TIES}")
-    starts = index_starts(episodes, spec, window)
     if ties != "one":
         return starts
     first = F.min(spec.index_start).alias(spec.index_start)
@@ -128,8 +142,9 @@ def build_cohort(
     Several episodes of an entity may share its first end date. ``ties="all"`` returns one row for each of them,
     ``"weighted"`` one row per distinct start date with their number in ``index_rows``, ``"one"`` the earliest start.
     """
-    cohort = add_horizons(_starts_for(episodes, spec, window, ties), spec, horizons)
-    return repeat_tied(cohort, spread=True) if ties == "all" else cohort
+    starts = starts_for(index_starts(episodes, spec, window), spec, ties)
+    cohort = add_horizons(starts, spec, horizons)
+    return repeat_tied(cohort) if ties == "all" else cohort
 
 
 def cohort_episodes(
@@ -137,19 +152,17 @@ def cohort_episodes(
     spec: EpisodeSpec,
     window: CohortWindow,
     horizons: tuple[int, ...] = HORIZONS,
-    ties: str = "all",
+    ties: str = "weighted",
     entity_attributes: Sequence[DataFrame] = (),
 ) -> DataFrame:
     """All episodes of the cohort's entities beside the cohort columns and the entity attributes.
 
-    With ``ties="all"`` an entity with *k* tied index rows has each of its episodes *k* times. ``"weighted"`` says
-    the same with *k* in ``index_rows`` and is the form to use where entities may have very many tied rows.
+    An entity may have *k* tied index rows; ``ties="weighted"`` says so with *k* in ``index_rows``. ``"all"`` returns each of
+    its episodes *k* times, the product of two row counts; ask for it only where that is wanted.
     """
-    facts = _starts_for(episodes, spec, window, ties)
+    facts = starts_for(index_starts(episodes, spec, window), spec, ties)
     for attribute in entity_attributes:
         facts = add_entity_attribute(facts, attribute, spec)
-    sizes = episodes.groupBy(spec.entity).agg(F.count(F.lit(1)).alias(ROWS_IN_KEY))
-    days = [spec.start, spec.end]
-    joined = join_per_key(episodes, facts, [spec.entity], sizes, "inner", spec.entity_nullable, days)
+    joined = join_per_key(episodes, facts, [spec.entity], "inner", spec.entity_nullable)
     cut = add_horizons(joined, spec, horizons)
     return repeat_tied(cut) if ties == "all" else cut

@@ -54,9 +54,9 @@ def in_report_order(report: DataFrame, *columns: str) -> DataFrame:
 def in_row_order(df: DataFrame, *columns: str) -> DataFrame:
     """Sort a large table, nulls last, before it is written.
 
-    A hash of the whole row and its input partition breaks ties, so that rows which agree in ``columns`` can still be
-    divided between range partitions.
+    A hash of the whole row breaks ties, so that rows which agree in ``columns`` can still be divided between range
+    partitions; copies of one row stay together.
     """
-    tie = F.xxhash64(F.spark_partition_id(), *df.columns)
+    tie = F.xxhash64(*df.columns)
     order = [F.asc_nulls_last(c) for c in columns]
     return df.withColumn("_tie", tie).orderBy(*order, "_tie").drop("_tie")

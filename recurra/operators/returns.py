@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recurra.operators.reshape import columns_between
-from recurra.spec import FLAG_PREFIX, HORIZONS, RETURN_CLASS, EpisodeSpec
+from recurra.spec import FLAG_PREFIX, HORIZONS, RETURN_CLASS, EpisodeSpec, check_horizons
 
 FIRST_CLASS = "_first_class"
 
@@ -19,6 +19,7 @@ def return_class(spec: EpisodeSpec, horizons: tuple[int, ...] = HORIZONS) -> Col
     Each horizon excludes the one before and includes its own last day. Starts beyond the last horizon, or for
     which the cut points are null, get the number after the last horizon.
     """
+    check_horizons(horizons)
     start, lower = F.col(spec.start), F.col(spec.index_end)
     chosen = F.when(start <= lower, F.lit(None).cast("int"))
     for n in horizons:

@@ -1,73 +1,28 @@
-"""Equi-join of many rows with a table of facts per key that stays balanced when a few keys hold most rows."""
+"""Equi-join of many rows with a table of facts per key, left to adaptive execution where a few keys hold most rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recurra.settings import rows_per_slice
-
-ROWS_IN_KEY = "_rows_in_key"
-
-# The broadcast list of heavy keys never has more rows than this. A key that does not make the list holds less
-# than 1/20,000 of all rows; it is joined like any other key, so results do not depend on the list.
-MAX_HEAVY_KEYS = 20_000
-
-_SLICE, _SLICES = "_slice", "_slices"
-
-
-def _matches(names: Sequence[str], prefix: str, null_safe: bool) -> list[Column]:
-    pairs = [(F.col(n), F.col(prefix + n)) for n in names]
-    return [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs]
-
-
-def _prefixed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
-    return df.withColumnsRenamed({k: prefix + k for k in keys})
+_RIGHT = "_right_"
 
 
 def join_per_key(
-    rows: DataFrame,
-    per_key: DataFrame,
-    keys: Sequence[str],
-    sizes: DataFrame,
-    how: str = "inner",
-    null_safe: bool = True,
-    deal_by: Sequence[str] = (),
+    rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner", null_safe: bool = True
 ) -> DataFrame:
     """Join ``rows`` with ``per_key`` on ``keys`` (``how`` is "inner" or "left").
 
-    ``sizes`` has one row per key and says in ``_rows_in_key`` how many rows the key has at most. A key above the
-    session's slice size is cut into slices: its ``rows`` are dealt out by a hash of their input partition and the
-    columns ``deal_by``, its ``per_key`` rows are repeated once per slice, and the slice number joins the key. The
-    slice is a pure function of a row and its partition, so a task that runs again deals its rows the same way. Name
-    only columns in ``deal_by`` that are read anyway. All other keys have the one slice 0. Spark remains free to
-    broadcast ``per_key`` instead if it proves small at run time.
+    Adaptive execution splits the rows of a heavy key over several tasks, but only if both sides of the join are fresh
+    shuffles. The facts often are partitioned by the key already, which would rule that out, so they are rebalanced first:
+    one more shuffle of the small side. What follows the join must not need the rows of a key together without a shuffle
+    of its own, or they are not split.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
-    limit = rows_per_slice(rows.sparkSession)
-    heavy = (
-        sizes.where(F.col(ROWS_IN_KEY) > limit)
-        .select(*keys, F.ceil(F.col(ROWS_IN_KEY) / limit).cast("int").alias(_SLICES))
-        .orderBy(F.desc(_SLICES))
-        .limit(MAX_HEAVY_KEYS)
-    )
-    heavy = F.broadcast(_prefixed(heavy, keys, "_heavy_"))
-    slices = F.coalesce(F.col(_SLICES), F.lit(1))
-    extra = [_SLICES, *["_heavy_" + k for k in keys]]
-
-    dealt = F.pmod(F.xxhash64(F.spark_partition_id(), *deal_by), slices)
-    dealt = F.when(F.col(_SLICES).isNull(), 0).otherwise(dealt).cast("int")
-    left = rows.join(heavy, _matches(keys, "_heavy_", null_safe), "left").withColumn(_SLICE, dealt).drop(*extra)
-
-    right = (
-        per_key.drop(ROWS_IN_KEY)
-        .join(heavy, _matches(keys, "_heavy_", null_safe), "left")
-        .withColumn("_right_" + _SLICE, F.explode(F.sequence(F.lit(0), slices - 1)))
-        .drop(*extra)
-    )
-    right = _prefixed(right, keys, "_right_")
-    on = [*_matches(keys, "_right_", null_safe), F.col(_SLICE) == F.col("_right_" + _SLICE)]
-    return left.join(right, on, how).drop(_SLICE, "_right_" + _SLICE, *["_right_" + k for k in keys])
+    right = per_key.withColumnsRenamed({k: _RIGHT + k for k in keys}).hint("rebalance")
+    pairs = [(F.col(k), F.col(_RIGHT + k)) for k in keys]
+    on = [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs]
+    return rows.join(right, on, how).drop(*[_RIGHT + k for k in keys])

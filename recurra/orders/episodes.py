@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +20,7 @@ SPEC = EpisodeSpec(
 YEAR = 1996
 # The cohort year in which index episodes reach every duration band.
 DURATION_YEAR = 1998
-SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD")
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,19 +52,29 @@ def order_episodes(spark: SparkSession, folder: str) -> DataFrame:
     return episodes.select("custkey", "order_date", "ship_date", "priority")
 
 
+def segments(spark: SparkSession, folder: str) -> DataFrame:
+    """The segment of every customer, an attribute of entities."""
+    customers = table(spark, folder, "customer")
+    return customers.select(F.col("c_custkey").alias("custkey"), F.col("c_mktsegment").alias("segment"))
+
+
 def segmented_episodes(spark: SparkSession, folder: str) -> DataFrame:
-    """All episodes with the customer's segment, which is joined to orders before these grow to lines."""
-    customers = table(spark, folder, "customer").select(
-        F.col("c_custkey").alias("custkey"), F.col("c_mktsegment").alias("segment")
-    )
-    orders = _orders(spark, folder).join(customers, "custkey", "left")
+    """All episodes with the customer's segment in every row, for row-level results that show it."""
+    orders = _orders(spark, folder).join(segments(spark, folder), "custkey", "left")
     return orders.join(_lines(spark, folder), "orderkey").select(*SPEC.columns)
 
 
 def status_records(spark: SparkSession, folder: str) -> DataFrame:
-    """The attribute that is recorded once per order and may conflict: order status before the cohort year."""
-    orders = table(spark, folder, "orders").where(F.to_date("o_orderdate") < date(YEAR, 1, 1))
-    return orders.select(F.col("o_custkey").alias("custkey"), F.col("o_orderstatus").alias("status"))
+    """An attribute that is recorded with every order and may conflict: what the customer's balance says, missing below
+    zero, but WATCH where an urgent order is large.
+    """
+    orders = table(spark, folder, "orders")
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
+    balance = F.when(F.col("c_acctbal") >= 5000, "HIGH").when(F.col("c_acctbal") >= 0, "LOW")
+    large = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 400_000)
+    status = F.when(large, "WATCH").otherwise(balance)
+    joined = orders.join(customers, "o_custkey", "left")
+    return joined.select(F.col("o_custkey").alias("custkey"), status.alias("status"))
 
 
 def clean_status(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,10 +84,8 @@ def clean_status(spark: SparkSession, folder: str) -> DataFrame:
 def study(
     spark: SparkSession, folder: str, year: int = YEAR, segment: bool = False, status: bool = False
 ) -> ReturnStudy:
-    episodes = segmented_episodes(spark, folder) if segment else order_episodes(spark, folder)
-    return ReturnStudy(
-        valid_episodes(episodes, SPEC),
-        SPEC,
-        CohortWindow.of_year(year),
-        entity_attributes={"status": clean_status(spark, folder)} if status else {},
-    )
+    attributes = {"status": clean_status(spark, folder)} if status else {}
+    if segment:
+        attributes["segment"] = segments(spark, folder)
+    episodes = valid_episodes(order_episodes(spark, folder), SPEC)
+    return ReturnStudy(episodes, SPEC, CohortWindow.of_year(year), entity_attributes=attributes)

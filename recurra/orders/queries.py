@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recurra import operators as ops
-from recurra.functions import add_years, average_months, band, band_order, percent_label
+from recurra.functions import add_years, average_months, band, band_order, with_automatic_labels
 from recurra.orders.episodes import (
     DURATION_YEAR,
     SEGMENTS,
@@ -22,17 +20,20 @@ from recurra.orders.episodes import (
     table,
 )
 from recurra.plans import classify_prepared, prepare_cohort, prepared_mix, prepared_rates
-from recurra.settings import shared_folder
-from recurra.sources import read_attribute_file, read_episode_files, read_table, write_table
-from recurra.spec import DURATION_BANDS, HORIZONS, CohortWindow
+from recurra.settings import new_folder
+from recurra.sources import (
+    attribute_schema,
+    read_attribute_file,
+    read_episode_files,
+    read_rejects,
+    read_table,
+    write_table,
+)
+from recurra.spec import BAND_ORDER, DURATION_BANDS, HORIZONS, CohortWindow
 
 WINDOW = CohortWindow.of_year(YEAR)
 
 
-def _scratch(spark: SparkSession) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/tables-{uuid4().hex}"
-
-
 def _text_day(column: str, pattern: str = "ddMMMyyyy"):
     return F.date_format(column, pattern)
 
@@ -59,7 +60,7 @@ def csv_episode_files(spark, folder):
 
     A missing priority is written as the token NA.
     """
-    base = _scratch(spark)
+    base = new_folder(spark, "tables")
     text = _text_episodes(spark, folder).withColumn("priority", F.coalesce("priority", F.lit("NA")))
     late = F.substring("ship_date", 6, 4) >= str(YEAR)
     text.where(~late).write.csv(f"{base}/releases_early.csv", header=True)
@@ -69,20 +70,66 @@ def csv_episode_files(spark, folder):
 
 
 def csv_attribute_file(spark, folder):
-    path = _scratch(spark)
+    path = new_folder(spark, "tables")
     write_table(status_records(spark, folder), path, "csv")
     return read_attribute_file(spark, path, SPEC, "status")
 
 
 def csv_table(spark, folder):
-    path = _scratch(spark)
+    path = new_folder(spark, "tables")
     episodes = segmented_episodes(spark, folder)
     write_table(episodes, path, "csv")
     return read_table(spark, path, episodes.schema, "csv")
 
 
+def csv_quoted_text(spark, folder):
+    """Whole document texts with padding, quotes, commas and line breaks, written and read again."""
+    path = new_folder(spark, "tables")
+    text = F.concat(F.lit('  "'), F.col("text"), F.lit('",\n\t'))
+    documents = table(spark, folder, "documents").select("doc_id", text.alias("text"), "source")
+    write_table(documents, path, "csv")
+    return read_table(spark, path, documents.schema, "csv")
+
+
+def csv_rejects(spark, folder):
+    """Order records as raw lines of text, some of them broken; what cannot be read comes back with the reason."""
+    path = new_folder(spark, "tables")
+    orders = table(spark, folder, "orders")
+    key, kind = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 50
+    line = (
+        F.when(kind == 1, F.concat(key, F.lit(",P,extra")))
+        .when(kind == 2, key)
+        .when(kind == 3, F.concat(F.lit("c"), key, F.lit(",P")))
+        .when(kind == 4, F.concat(key, F.lit(',"a ""quoted"", word"')))
+        .otherwise(F.concat(key, F.lit(","), F.col("o_orderstatus")))
+    )
+    # Every part needs the header, which the CSV writer puts there; its text goes out unquoted as it is.
+    lines = orders.select(line.alias("custkey,status"))
+    lines.write.csv(path, header=True, quote="", sep="\x01")
+    return read_rejects(spark, path, attribute_schema(SPEC, "status"))
+
+
+def sorted_rows(spark, folder):
+    """Episodes written in row order; rows read and places where the order descends, in and between the files."""
+    path = new_folder(spark, "tables")
+    write_table(ops.in_row_order(order_episodes(spark, folder), *SPEC.key), path)
+    key = F.struct(*SPEC.key)
+    place = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")]
+    rows = spark.read.parquet(path).select(key.alias("key"), *place)
+    before = F.lag("key").over(Window.partitionBy("file").orderBy("at"))
+    inside = rows.withColumn("down", (F.col("key") < before).cast("long")).groupBy("file")
+    files = inside.agg(
+        F.count(F.lit(1)).alias("n"), F.sum("down").alias("down"), F.min("key").alias("low"), F.max("key").alias("high")
+    )
+    # One row per file meets in this window.
+    last = F.max("high").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.withColumn("between", (F.col("low") < last).cast("long"))
+    descents = F.coalesce(F.sum("down"), F.lit(0)) + F.coalesce(F.sum("between"), F.lit(0))
+    return files.agg(F.sum("n").alias("n"), descents.cast("long").alias("descents"))
+
+
 def parquet_table(spark, folder):
-    path = _scratch(spark)
+    path = new_folder(spark, "tables")
     write_table(_valid(spark, folder), path)
     return read_table(spark, path)
 
@@ -168,6 +215,20 @@ def cohort_episodes(spark, folder):
     return ops.cohort_episodes(_valid_segmented(spark, folder), SPEC, WINDOW, ties="weighted")
 
 
+def _monthly(spark, folder):
+    """Valid episodes that end with the month of their ship date, so that many of a customer tie."""
+    ends = segmented_episodes(spark, folder).withColumn("ship_date", F.last_day("ship_date"))
+    return ops.valid_episodes(ends, SPEC)
+
+
+def monthly_cohort(spark, folder):
+    return ops.build_cohort(_monthly(spark, folder), SPEC, WINDOW, ties="weighted")
+
+
+def monthly_cohort_episodes(spark, folder):
+    return ops.cohort_episodes(_monthly(spark, folder), SPEC, WINDOW, ties="weighted")
+
+
 def prepared_cohort(spark, folder):
     return prepare_cohort(segmented_episodes(spark, folder), SPEC, WINDOW, ties="weighted")
 
@@ -181,7 +242,7 @@ def rates_by_segment(spark, folder):
 
 def rates_by_duration(spark, folder):
     rates = study(spark, folder, DURATION_YEAR).rates_by_duration()
-    return ops.in_report_order(rates, "bin_time_incarcerated_order")
+    return ops.in_report_order(rates, BAND_ORDER)
 
 
 def rates_by_each(spark, folder):
@@ -191,12 +252,12 @@ def rates_by_each(spark, folder):
 
 def status_priority_mix(spark, folder):
     mix = study(spark, folder, status=True).mix("status", "priority")
-    return ops.in_report_order(mix.withColumn("label", percent_label(F.col("prop"))), "status", "priority")
+    return ops.in_report_order(with_automatic_labels(mix, "prop"), "status", "priority")
 
 
 def saved_cohort_rates(spark, folder):
     """The two-step way: write the cohort and the attribute, read them again, report."""
-    base = _scratch(spark)
+    base = new_folder(spark, "tables")
     write_table(ops.cohort_episodes(_valid(spark, folder), SPEC, WINDOW, ties="weighted"), f"{base}/cohort")
     write_table(clean_status(spark, folder), f"{base}/status")
     saved = classify_prepared(read_table(spark, f"{base}/cohort"), read_table(spark, f"{base}/status"), SPEC)
@@ -204,7 +265,7 @@ def saved_cohort_rates(spark, folder):
 
 
 def saved_cohort_mix(spark, folder):
-    base = _scratch(spark)
+    base = new_folder(spark, "tables")
     write_table(ops.cohort_episodes(_valid(spark, folder), SPEC, WINDOW, ties="weighted"), f"{base}/cohort")
     saved = classify_prepared(read_table(spark, f"{base}/cohort"), clean_status(spark, folder), SPEC)
     return prepared_mix(saved, SPEC, "status", "priority")
@@ -214,6 +275,9 @@ QUERIES = {
     "csv_episode_files": csv_episode_files,
     "csv_attribute_file": csv_attribute_file,
     "csv_table": csv_table,
+    "csv_quoted_text": csv_quoted_text,
+    "csv_rejects": csv_rejects,
+    "sorted_rows": sorted_rows,
     "parquet_table": parquet_table,
     "parsed_text_dates": parsed_text_dates,
     "valid_episodes": _valid_segmented,
@@ -230,6 +294,8 @@ QUERIES = {
     "cohort_weighted": cohort("weighted"),
     "cohort_one_start": cohort("one"),
     "cohort_episodes": cohort_episodes,
+    "monthly_cohort": monthly_cohort,
+    "monthly_cohort_episodes": monthly_cohort_episodes,
     "prepared_cohort": prepared_cohort,
     "classified_episodes": lambda spark, folder: study(spark, folder, status=True).classified_episodes("status"),
     "return_flags": lambda spark, folder: study(spark, folder, status=True).flags("status"),

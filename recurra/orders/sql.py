@@ -21,12 +21,19 @@ episodes AS (
 _VALID = _EPISODES + """,
 valid AS (SELECT * FROM episodes WHERE ship_date > order_date)"""
 
-_RECORDS = f"""
+_RECORDS = """
 records AS (
-  SELECT o_custkey AS custkey, o_orderstatus AS status FROM orders
-  WHERE CAST(o_orderdate AS DATE) < DATE '{YEAR}-01-01'
+  SELECT o_custkey AS custkey,
+         CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice > 400000 THEN 'WATCH'
+              WHEN c_acctbal >= 5000 THEN 'HIGH' WHEN c_acctbal >= 0 THEN 'LOW' END AS status
+  FROM orders LEFT JOIN customer ON c_custkey = o_custkey
 )"""
 
+# Episodes that end with the month of their ship date.
+_MONTHLY = _EPISODES + """,
+valid AS (SELECT custkey, order_date, last_day(ship_date) AS ship_date, priority, segment FROM episodes
+          WHERE last_day(ship_date) > order_date)"""
+
 _STATUS = _RECORDS + """,
 clean_status AS (
   SELECT custkey, min(status) AS status FROM records
@@ -39,9 +46,9 @@ def _plus(day: str, n: int) -> str:
     return f"CASE WHEN day({later}) = day({day}) THEN CAST({later} AS DATE) END"
 
 
-def _cohort(year: int) -> str:
+def _cohort(year: int, valid: str = _VALID) -> str:
     plus = ",\n         ".join(f"{_plus('f.od', n)} AS original_ship_date_plus_{n}" for n in HORIZONS)
-    return f"""{_VALID},
+    return f"""{valid},
 firsts AS (SELECT custkey, min(ship_date) AS od FROM valid GROUP BY custkey),
 cohort AS (
   SELECT v.custkey, v.order_date AS original_order_date, f.od AS original_ship_date,
@@ -106,6 +113,7 @@ _LEVELS = ", ".join(f"'{s}'" for s in SEGMENTS)
 _LEVEL = f"CASE WHEN {{0}} IN ({_LEVELS}) THEN {{0}} END"
 _LEVEL_ORDER = "CAST(CASE {0} " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(SEGMENTS, 1)) + " END AS INTEGER)"
 
+# Mean length of a month in days, labels and upper ends of the bands.
 _MONTHS = "date_diff('day', {0}, {1}) / CAST(30.4375 AS DOUBLE)"
 _BAND = "CASE WHEN {0} < 0 THEN NULL WHEN {0} <= 12 THEN 'Less than a year' WHEN {0} <= 24 THEN '1-2 years' WHEN {0} <= 36 THEN '2-3 years' END"
 _BAND_ORDER = "CASE WHEN {0} < 0 THEN NULL WHEN {0} <= 12 THEN 1 WHEN {0} <= 24 THEN 2 WHEN {0} <= 36 THEN 3 END"
@@ -143,10 +151,25 @@ def _each(*dims: str) -> str:
     return " UNION ALL ".join(parts)
 
 
+_GAP = "(SELECT 100 * min(gap) FROM (SELECT prop - lag(prop) OVER (ORDER BY prop) AS gap FROM (SELECT DISTINCT prop FROM mix)))"
+_AUTOMATIC = "CASE " + " ".join(
+    f"WHEN {_GAP} IS NULL OR {_GAP} >= {10.0**-d} * (1 - 1e-9) THEN printf('%.{d}f%%', round_even(prop * 100, {d}))"
+    for d in range(4)
+) + " ELSE printf('%.4f%%', round_even(prop * 100, 4)) END AS label"
+
+
 ORACLE = {
     "csv_episode_files": f"WITH {_EPISODES} SELECT * FROM episodes",
     "csv_attribute_file": f"WITH {_RECORDS} SELECT * FROM records",
     "csv_table": f"WITH {_EPISODES} SELECT * FROM episodes",
+    "csv_quoted_text": """
+SELECT doc_id, '  "' || text || '",' || chr(10) || chr(9) AS text, source FROM documents""",
+    "csv_rejects": """
+SELECT CASE o_orderkey % 50 WHEN 1 THEN o_custkey || ',P,extra' WHEN 2 THEN CAST(o_custkey AS VARCHAR)
+            ELSE 'c' || o_custkey || ',P' END AS record,
+       CASE o_orderkey % 50 WHEN 3 THEN 'custkey is no bigint' ELSE 'wrong number of fields' END AS reason
+FROM orders WHERE o_orderkey % 50 IN (1, 2, 3)""",
+    "sorted_rows": f"WITH {_EPISODES} SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS descents FROM episodes",
     "parquet_table": f"WITH {_VALID} SELECT custkey, order_date, ship_date, priority FROM valid",
     "parsed_text_dates": """
 SELECT l_orderkey, l_linenumber,
@@ -185,6 +208,9 @@ FROM episodes GROUP BY custkey""",
     "cohort_one_start": f"""WITH {_cohort(YEAR)}
 SELECT * FROM cohort QUALIFY row_number() OVER (PARTITION BY custkey ORDER BY original_order_date) = 1""",
     "cohort_episodes": f"""WITH {_cohort(YEAR)}
+SELECT v.*, w.* EXCLUDE (custkey) FROM valid v JOIN ({_WEIGHTED}) w ON w.custkey = v.custkey""",
+    "monthly_cohort": f"WITH {_cohort(YEAR, _MONTHLY)} {_WEIGHTED}",
+    "monthly_cohort_episodes": f"""WITH {_cohort(YEAR, _MONTHLY)}
 SELECT v.*, w.* EXCLUDE (custkey) FROM valid v JOIN ({_WEIGHTED}) w ON w.custkey = v.custkey""",
     "prepared_cohort": f"""WITH {_cohort(YEAR)}, numbered AS ({_CASE_IDS.format('priority, segment')})
 SELECT v.*, w.* EXCLUDE (custkey) FROM numbered v JOIN ({_WEIGHTED}) w ON w.custkey = v.custkey
@@ -208,8 +234,7 @@ SELECT * REPLACE ({_LEVEL.format('segment')} AS segment), {_LEVEL_ORDER.format('
 FROM ({_long('rates', 'segment', _LABEL)})""",
     "chart_by_status": f"""{_with_rates('status')}
 SELECT * FROM ({_long('rates', 'status', _LABEL)}) WHERE status IS NOT NULL""",
-    "status_priority_mix": f"""WITH {_classified()}
-SELECT *, printf('%.1f%%', round_even(prop * 100, 1)) AS label FROM ({_MIX})""",
+    "status_priority_mix": f"WITH {_classified()}, mix AS ({_MIX}) SELECT *, {_AUTOMATIC} FROM mix",
     "saved_cohort_rates": f"WITH {_classified()} {_rates('priority')}",
     "saved_cohort_mix": f"WITH {_classified()} {_MIX}",
 }

@@ -10,20 +10,30 @@ from recurra.functions.dates import average_months
 from recurra.functions.labels import band, band_order
 from recurra.operators.attributes import add_episode_attribute, consistent_attribute
 from recurra.operators.clean import parse_date_columns, valid_episodes
-from recurra.operators.cohort import cohort_episodes, repeat_tied
-from recurra.operators.ids import number_keys
+from recurra.operators.cohort import add_horizons, index_starts_of_cases, repeat_tied, starts_for
+from recurra.operators.ids import ROWS_IN_KEY, number_keys
 from recurra.operators.mix import category_counts, category_shares
 from recurra.operators.returns import classify_return, return_flags, return_rates
 from recurra.operators.skew import join_per_key
-from recurra.plans.reports import BAND, BAND_ORDER, MONTHS
-from recurra.spec import CASE_ID, DURATION_BANDS, HORIZONS, INDEX_ROWS, Bands, CohortWindow, EpisodeSpec
+from recurra.spec import (
+    BAND,
+    BAND_ORDER,
+    CASE_ID,
+    DURATION_BANDS,
+    HORIZONS,
+    INDEX_ROWS,
+    MONTHS,
+    Bands,
+    CohortWindow,
+    EpisodeSpec,
+)
 
 
 def _cut_points(spec: EpisodeSpec, horizons: tuple[int, ...]) -> list[str]:
     return [spec.index_start, spec.index_end, *[spec.horizon(n) for n in horizons]]
 
 
-def prepared_schema(spec: EpisodeSpec, horizons: tuple[int, ...] = HORIZONS, ties: str = "all") -> T.StructType:
+def prepared_schema(spec: EpisodeSpec, horizons: tuple[int, ...] = HORIZONS, ties: str = "weighted") -> T.StructType:
     """Schema of ``prepare_cohort``, needed to read it again from CSV."""
     days = [spec.start, spec.end, *_cut_points(spec, horizons)]
     schema = T.StructType().add(CASE_ID, T.LongType()).add(spec.entity, spec.entity_type)
@@ -37,18 +47,19 @@ def prepare_cohort(
     spec: EpisodeSpec,
     window: CohortWindow,
     horizons: tuple[int, ...] = HORIZONS,
-    ties: str = "all",
+    ties: str = "weighted",
 ) -> DataFrame:
     """Raw episodes to the cohort's numbered episodes with index dates and cut points.
 
-    Cases are numbered over all raw episodes, but only episodes of the cohort are joined with their numbers, and
-    repeated rows are made last.
+    Cases are numbered over all raw episodes. A case is an entity with a start and an end, so the numbered cases also tell
+    the index episodes, and only they meet the cohort by entity; the episodes are joined once, by case.
     """
     parsed = parse_date_columns(raw)
-    numbered = number_keys(parsed, spec.key)
-    kept = "weighted" if ties == "all" else ties
-    rows = cohort_episodes(valid_episodes(parsed, spec), spec, window, horizons, kept)
-    rows = join_per_key(rows, valid_episodes(numbered, spec), spec.key, numbered)
+    cases = valid_episodes(number_keys(parsed, spec.key), spec)
+    starts = starts_for(index_starts_of_cases(cases, spec, window), spec, ties)
+    facts = join_per_key(cases.drop(ROWS_IN_KEY), starts, [spec.entity], "inner", spec.entity_nullable)
+    rows = join_per_key(valid_episodes(parsed, spec), facts, spec.key, "inner", spec.entity_nullable)
+    rows = add_horizons(rows, spec, horizons)
     rows = repeat_tied(rows) if ties == "all" else rows
     weight = [INDEX_ROWS] if ties == "weighted" else []
     return rows.select(CASE_ID, *spec.columns, *_cut_points(spec, horizons), *weight)
@@ -64,8 +75,8 @@ def classify_prepared(
 ) -> DataFrame:
     """Saved prepared episodes with the entity attribute and the return class, ready for the rates below.
 
-    Counting the rows of each entity reads one column of the saved table. For a cohort that is still a plan, use
-    ``ReturnStudy.classified_episodes``, which computes it once.
+    The attribute is joined to every saved row. For a cohort that is still a plan, ``ReturnStudy.classified_episodes`` joins
+    it to the cohort's entities before.
     """
     joined = add_episode_attribute(prepared, attribute, spec)
     return classify_return(joined, spec, horizons)

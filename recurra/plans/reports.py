@@ -21,11 +21,19 @@ from recurra.operators.returns import (
     return_rates,
     stacked_first_class,
 )
-from recurra.spec import DURATION_BANDS, HORIZONS, INDEX_ROWS, RETURN_CLASS, Bands, CohortWindow, EpisodeSpec
-
-MONTHS = "time_incarcerated"
-BAND = "bin_time_incarcerated"
-BAND_ORDER = f"{BAND}_order"
+from recurra.spec import (
+    BAND,
+    BAND_ORDER,
+    DURATION_BANDS,
+    HORIZONS,
+    INDEX_ROWS,
+    MONTHS,
+    RETURN_CLASS,
+    Bands,
+    CohortWindow,
+    EpisodeSpec,
+    check_horizons,
+)
 
 
 @dataclass(frozen=True)
@@ -45,6 +53,9 @@ class ReturnStudy:
     horizons: tuple[int, ...] = HORIZONS
     entity_attributes: Mapping[str, DataFrame] = field(default_factory=dict)
 
+    def __post_init__(self):
+        check_horizons(self.horizons)
+
     # -- shared parts --------------------------------------------------------------------------------------------
 
     def _with_attributes(self, per_entity: DataFrame, *names: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,47 +14,129 @@ EPISODE_FILES = "*releases*.csv"
 MISSING = "NA"
 CSV_DAY = "yyyy-MM-dd'T'00:00:00'Z'"
 
+RECORD, REASON = "record", "reason"
+_DAY_TEXT = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}Z)?$"
 
-def _read_csv(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
-    raw = spark.read.schema(schema).csv(
+
+def _read_text(
+    spark: SparkSession, path: str, names: list[str], multi_line: bool, trim: bool, files: str | None
+) -> DataFrame:
+    """Every field as text, and the whole record where its number of fields is wrong.
+
+    All columns are parsed, or a wrong number of fields would pass unseen where only some are wanted. ``trim`` is for raw
+    files, in which an empty field in quotes is missing as well.
+    """
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, RECORD]])
+    reader = spark.read.schema(schema).option("columnPruning", False)
+    raw = reader.csv(
         path,
         header=True,
         enforceSchema=False,
-        ignoreLeadingWhiteSpace=True,
-        ignoreTrailingWhiteSpace=True,
-        **options,
+        columnNameOfCorruptRecord=RECORD,
+        quote='"',
+        escape='"',
+        multiLine=multi_line,
+        ignoreLeadingWhiteSpace=trim,
+        ignoreTrailingWhiteSpace=trim,
+        nullValue=MISSING,
+        pathGlobFilter=files,
     )
-    texts = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
-    return raw.withColumns({c: F.nullif(F.col(c), F.lit(MISSING)) for c in texts})
+    return raw.withColumns({n: F.nullif(F.col(n), F.lit("")) for n in names}) if trim else raw
+
+
+def _typed(field: T.StructField) -> Column:
+    """The value of a text field, null where it is none."""
+    text = F.col(field.name)
+    if isinstance(field.dataType, T.StringType):
+        return text
+    if isinstance(field.dataType, T.DateType):
+        return F.when(text.rlike(_DAY_TEXT), F.try_to_date(F.substring(text, 1, 10)))
+    return text.try_cast(field.dataType)
+
+
+def _reason(schema: T.StructType) -> Column:
+    """Why a record is rejected, null for good ones."""
+    reason = F.when(F.col(RECORD).isNotNull(), "wrong number of fields")
+    for field in schema.fields:
+        if not isinstance(field.dataType, T.StringType):
+            wrong = F.col(field.name).isNotNull() & _typed(field).isNull()
+            reason = reason.when(wrong, f"{field.name} is no {field.dataType.simpleString()}")
+    return reason
+
+
+def _read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    multi_line: bool = True,
+    trim: bool = True,
+    files: str | None = None,
+) -> DataFrame:
+    raw = _read_text(spark, path, schema.names, multi_line, trim, files)
+    return raw.where(_reason(schema).isNull()).select(*[_typed(f).alias(f.name) for f in schema.fields])
+
+
+def read_rejects(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    multi_line: bool = True,
+    trim: bool = True,
+    files: str | None = None,
+) -> DataFrame:
+    """(record, reason) for every record of CSV files that the readers below leave out.
+
+    A record is left out if its number of fields differs from the schema's or a field that is no text cannot be read; it
+    never turns into a row with nulls in place of what stood there.
+    """
+    raw = _read_text(spark, path, schema.names, multi_line, trim, files).withColumn(REASON, _reason(schema))
+    record = F.coalesce(F.rtrim(F.col(RECORD), F.lit("\r\n")), F.to_csv(F.struct(*schema.names)))
+    return raw.where(F.col(REASON).isNotNull()).select(record.alias(RECORD), REASON)
+
+
+def attribute_schema(spec: EpisodeSpec, value: str) -> T.StructType:
+    return T.StructType([T.StructField(spec.entity, spec.entity_type), T.StructField(value, T.StringType())])
 
 
 def read_episode_files(
-    spark: SparkSession, folder: str, spec: EpisodeSpec, files: str = EPISODE_FILES
+    spark: SparkSession, folder: str, spec: EpisodeSpec, files: str = EPISODE_FILES, multi_line: bool = True
 ) -> DataFrame:
     """All CSV files of a folder whose name matches ``files``, as one table; dates are still text.
 
-    The schema is declared, so nothing is scanned to guess types, and headers are checked against it.
+    The schema is declared, so nothing is scanned to guess types, and headers are checked against it. Fields may hold
+    doubled quotes and line breaks in quotes (CRLF there is read as a line feed if lines end with CRLF). A file with such breaks cannot be split, so each file is one task; pass
+    ``multi_line=False`` for large files known to hold none. Records that cannot be read are in ``read_rejects``.
     """
-    return _read_csv(spark, folder, spec.text_schema(), pathGlobFilter=files)
+    return _read_csv(spark, folder, spec.text_schema(), multi_line, files=files)
 
 
-def read_attribute_file(spark: SparkSession, path: str, spec: EpisodeSpec, value: str) -> DataFrame:
+def read_attribute_file(
+    spark: SparkSession, path: str, spec: EpisodeSpec, value: str, multi_line: bool = True
+) -> DataFrame:
     """A CSV file (or folder) of (entity, value) records."""
-    fields = [T.StructField(spec.entity, spec.entity_type), T.StructField(value, T.StringType())]
-    return _read_csv(spark, path, T.StructType(fields))
+    return _read_csv(spark, path, attribute_schema(spec, value), multi_line)
 
 
 def write_table(df: DataFrame, path: str, form: str = "parquet", mode: str = "errorifexists") -> None:
     """Write a dataset as a folder of Parquet or CSV parts.
 
-    CSV parts have a header; dates are written as UTC date-times and nulls as ``NA``.
+    CSV parts have a header; dates are written as UTC date-times and nulls as ``NA``, which is also what the text "NA" is
+    read as. Other text comes back from ``read_table`` as it was, with quotes, line breaks and padding.
     """
     if form == "parquet":
         df.write.mode(mode).parquet(path)
     elif form == "csv":
         days = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DateType)]
         text = df.withColumns({c: F.date_format(c, CSV_DAY) for c in days})
-        text.write.mode(mode).csv(path, header=True, nullValue=MISSING)
+        text.write.mode(mode).csv(
+            path,
+            header=True,
+            nullValue=MISSING,
+            quote='"',
+            escape='"',
+            ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False,
+        )
     else:
         raise ValueError(f"unknown form {form!r}")
 
@@ -65,6 +147,4 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         return spark.read.parquet(path)
     if form != "csv" or schema is None:
         raise ValueError("CSV tables need a schema" if form == "csv" else f"unknown form {form!r}")
-    days = [f.name for f in schema.fields if isinstance(f.dataType, T.DateType)]
-    text = T.StructType([T.StructField(f.name, T.StringType() if f.name in days else f.dataType) for f in schema.fields])
-    return _read_csv(spark, path, text).withColumns({c: F.to_date(F.substring(c, 1, 10)) for c in days})
+    return _read_csv(spark, path, schema, trim=False)

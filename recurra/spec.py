@@ -17,6 +17,9 @@ FLAG_PREFIX = "recidivism_year_"
 RATE_PREFIX = "prop_" + FLAG_PREFIX
 RATE_VALUE = "prop_recidivism"
 INDEX_ROWS = "index_rows"
+MONTHS = "time_incarcerated"
+BAND = "bin_time_incarcerated"
+BAND_ORDER = f"{BAND}_order"
 
 # Display order of the education levels. The apostrophe that ends the last one is part of the data.
 EDUCATION_LEVELS = (
@@ -28,6 +31,12 @@ EDUCATION_LEVELS = (
 )
 
 
+def check_horizons(horizons: tuple[int, ...]) -> None:
+    """Classes are only right for growing numbers of years."""
+    if not horizons or horizons[0] <= 0 or list(horizons) != sorted(set(horizons)):
+        raise ValueError("horizons must be strictly increasing positive numbers")
+
+
 @dataclass(frozen=True)
 class EpisodeSpec:
     """Which columns of a table hold the entity, the interval and the attributes of an episode.

@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from recurra.settings import remove_tables, shared_folder  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -24,4 +26,7 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    remove_tables(session)
+    left = [p for p in Path(shared_folder(session)).rglob("*") if p.is_file()]
     session.stop()
+    assert not left

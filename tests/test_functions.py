@@ -7,7 +7,17 @@ from decimal import ROUND_HALF_EVEN, Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from recurra.functions import add_years, average_months, band, band_order, level_label, level_order, parse_day, percent_label
+from recurra.functions import (
+    add_years,
+    average_months,
+    band,
+    band_order,
+    level_label,
+    level_order,
+    parse_day,
+    percent_label,
+    with_automatic_labels,
+)
 from recurra.spec import DURATION_BANDS, EDUCATION_LEVELS, Bands
 from tests.brute_force import plus
 
@@ -115,3 +125,20 @@ def test_many_random_shares_agree_with_python(spark):
 
     found = evaluate(spark, shares, "x double", percent_label(F.col("x")))
     assert [r[0] for r in found] == [label(x) for x in shares]
+
+
+@pytest.mark.parametrize(
+    "shares, labels",
+    [
+        ([0.25, 0.5], ["25%", "50%"]),
+        ([0.255, 0.25, None], ["25.5%", "25.0%", None]),
+        ([0.12345678, 0.123461], ["12.3457%", "12.3461%"]),
+        ([1 / 3], ["33%"]),
+        ([0.1, 0.1], ["10%", "10%"]),
+        ([0.1, 0.1000001], ["10.0000%", "10.0000%"]),
+        ([None], [None]),
+    ],
+)
+def test_automatic_labels_have_the_fewest_decimals_that_tell_shares_apart(spark, shares, labels):
+    df = spark.createDataFrame(list(enumerate(shares)), "k int, prop double")
+    assert [r["label"] for r in with_automatic_labels(df, "prop").orderBy("k").collect()] == labels

@@ -103,8 +103,8 @@ def test_tied_index_rows_repeat_every_episode(spark):
     rows = [(1, date(2009, 1, 1), D)] * 2 + [(1, date(2011, 1, 1), date(2011, 5, 1))]
     df, window = episodes(spark, rows), CohortWindow.of_year(2010)
     assert build_cohort(df, SPEC, window).count() == 2
-    assert cohort_episodes(df, SPEC, window).count() == 6
-    assert cohort_episodes(df, SPEC, window, ties="weighted").count() == 3
+    assert cohort_episodes(df, SPEC, window, ties="all").count() == 6
+    assert cohort_episodes(df, SPEC, window).count() == 3
     assert cohort_episodes(df, SPEC, window, ties="one").count() == 3
     assert tuple(ReturnStudy(df, SPEC, window).rates().first()) == (1.0, 1.0, 1.0)
     assert ReturnStudy(df, SPEC, window).mix("ed_level", "crime_type").first()["n"] == 4
@@ -112,6 +112,28 @@ def test_tied_index_rows_repeat_every_episode(spark):
         build_cohort(df, SPEC, window, ties="some")
 
 
+def test_equal_rows_are_dealt_out_before_they_are_repeated(spark):
+    """1,500 equal rows make 2,250,000 rows if they are asked for, over all tasks."""
+    rows = spark.createDataFrame([(1, date(2009, 1, 1), D, "Drug", "A")], bf.SCHEMA)
+    many = rows.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(1500)))).drop("n").repartition(4)
+    made = cohort_episodes(many, SPEC, CohortWindow.of_year(2010), ties="all")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        per_task = [r["n"] for r in made.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(per_task) == 1500 * 1500 and len(per_task) >= 6 and max(per_task) < sum(per_task) / 2
+
+
+def test_horizons_must_grow(spark):
+    df = episodes(spark, [(1, date(2009, 1, 1), D)])
+    for wrong in ((), (2, 1), (1, 1), (0, 1)):
+        with pytest.raises(ValueError):
+            ReturnStudy(df, SPEC, CohortWindow.of_year(2010), horizons=wrong)
+        with pytest.raises(ValueError):
+            classify_return(df, SPEC, wrong)
+
+
 def test_an_invalid_first_episode_does_not_count(spark):
     rows = [(1, date(2009, 6, 1), date(2009, 1, 1)), (1, date(2009, 2, 1), date(2009, 2, 1)), (1, date(2009, 3, 1), D)]
     cohort = build_cohort(valid_episodes(episodes(spark, rows), SPEC), SPEC, CohortWindow.of_year(2010))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 from datetime import date
+from pathlib import Path
 
 import pytest
 
 from recurra import CohortWindow, EpisodeSpec, ReturnStudy, build_cohort, cohort_episodes, consistent_attribute, valid_episodes
+from recurra.orders.queries import QUERIES
 from tests import brute_force as bf
 
 SPEC = EpisodeSpec(entity_nullable=False)
@@ -68,24 +70,43 @@ def test_grouping_by_day_comes_before_the_entity_meets(study):
 
 
 def test_entity_attributes_join_without_moving_the_cohort_again(study):
-    """Two shuffles of episodes, one of attribute records, one of the report."""
-    assert plan(study.rates("risk")).count("Exchange hashpartitioning") == 4
+    """Two shuffles of episodes, two of attribute records (pairs, then keys), one of the report."""
+    assert plan(study.rates("risk")).count("Exchange hashpartitioning") == 5
 
 
 def test_columns_are_pruned_and_filters_reach_the_scan(study):
     scan = next(line for line in plan(study.rates()).splitlines() if "FileScan" in line)
     assert "crime_type" not in scan and "ed_level" not in scan
-    assert re.search(r"Or\(LessThanOrEqual\(release_date,2010-12-31\)", scan) or "PushedFilters: [Or(" in scan
+    assert "LessThanOrEqual(sentence_date,2014-01-02), Or" in scan
     scan = next(line for line in plan(study.mix("ed_level", "crime_type")).splitlines() if "FileScan" in line)
     assert "LessThanOrEqual(release_date,2010-12-31)" in scan
 
 
-def test_only_the_bounded_list_is_broadcast_by_hint(study):
+def test_the_cohort_join_broadcasts_nothing_and_reads_no_extra_columns(study):
     text = plan(REPORTS["cohort_episodes"](study))
-    for block in text.split("BroadcastExchange")[1:]:
-        assert "TakeOrderedAndProject(limit=20000" in block
-
-
-def test_cutting_heavy_entities_reads_no_extra_columns(study):
+    assert "BroadcastExchange" not in text and len(re.findall(EPISODE_SCAN, text)) == 2
     joined = cohort_episodes(study.episodes, SPEC, WINDOW, ties="weighted").select("pers_id", "crime_type")
     assert "ed_level" not in plan(joined)
+
+
+def test_consistent_values_are_hashed_not_sorted(study):
+    text = plan(study.entity_attributes["risk"])
+    below = text[text.rindex("Exchange") :]
+    assert "Sort" not in below and "HashAggregate" in below
+
+
+ORDERS = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not Path(ORDERS).exists(), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["rates_overall", "cohort_weighted", "status_priority_mix"])
+def test_the_date_bound_reaches_the_scan_of_orders(spark, study, name):
+    scans = [line for line in plan(QUERIES[name](spark, ORDERS)).splitlines() if "FileScan" in line]
+    assert any("o_orderdate" in s and "LessThan" in s.split("PushedFilters")[1] for s in scans)
+
+
+@pytest.mark.skipif(not Path(ORDERS).exists(), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["cohort_episodes", "prepared_cohort"])
+def test_row_level_results_scan_the_lines_twice_at_most(spark, study, name):
+    text = plan(QUERIES[name](spark, ORDERS))
+    assert text.count("l_shipdate") and len(re.findall(r"FileScan parquet \[[^\]]*l_orderkey", text)) <= 2

@@ -1,4 +1,4 @@
-"""The balanced join, and where the rows of one heavy key end up."""
+"""The join with facts per key, and where the rows of one heavy key end up."""
 
 from __future__ import annotations
 
@@ -7,18 +7,23 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from recurra import CohortWindow, EpisodeSpec, ReturnStudy, add_case_ids, cohort_episodes, join_per_key
-from recurra.operators import skew
-from recurra.settings import ROWS_PER_SLICE
+from recurra import join_per_key
+
+SETTINGS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+}
 
 
 @pytest.fixture(autouse=True)
-def small_slices(spark):
-    spark.conf.set(ROWS_PER_SLICE, "50")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def small_partitions(spark):
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     yield
-    spark.conf.unset(ROWS_PER_SLICE)
-    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for k in SETTINGS:
+        spark.conf.unset(k)
 
 
 def rows_and_facts(spark, n=3000):
@@ -32,12 +37,9 @@ def rows_and_facts(spark, n=3000):
 
 @pytest.mark.parametrize("how", ["inner", "left"])
 @pytest.mark.parametrize("null_safe", [True, False])
-@pytest.mark.parametrize("listed", [0, 1, 20_000])
-def test_join_equals_plain_join(spark, monkeypatch, how, null_safe, listed):
-    monkeypatch.setattr(skew, "MAX_HEAVY_KEYS", listed)
+def test_join_equals_plain_join(spark, how, null_safe):
     rows, facts = rows_and_facts(spark)
-    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias(skew.ROWS_IN_KEY))
-    found = join_per_key(rows, facts, ["k"], sizes, how, null_safe, deal_by=["v"] if listed == 1 else [])
+    found = join_per_key(rows, facts, ["k"], how, null_safe)
     other = facts.withColumnRenamed("k", "j")
     on = F.col("k").eqNullSafe(F.col("j")) if null_safe else F.col("k") == F.col("j")
     expected = rows.join(other, on, how).drop("j")
@@ -48,47 +50,13 @@ def test_join_equals_plain_join(spark, monkeypatch, how, null_safe, listed):
 def test_other_kinds_of_join_are_refused(spark):
     rows, facts = rows_and_facts(spark, 10)
     with pytest.raises(ValueError):
-        join_per_key(rows, facts, ["k"], rows, "full")
-
-
-def test_a_heavy_key_is_dealt_to_many_slices(spark):
-    rows, facts = rows_and_facts(spark)
-    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias(skew.ROWS_IN_KEY))
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        joined = join_per_key(rows, facts, ["k"], sizes, deal_by=["v"]).where("k = 1 and f = 'f1'")
-        per_task = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
-    heavy = sum(r["count"] for r in per_task)
-    assert heavy > 1000 and len(per_task) == 8
-    assert max(r["count"] for r in per_task) < heavy / 2
-
-
-def test_one_entity_with_a_third_of_all_rows(spark):
-    """Same answers with and without slices, and the cohort's rows are whole."""
-    spec = EpisodeSpec()
-    i = F.col("id")
-    episodes = spark.range(6000).select(
-        F.when(i % 3 == 0, 7).otherwise(i % 500).alias("pers_id"),
-        F.date_add(F.lit("2008-01-01"), (i * 37 % 2000).cast("int")).alias("sentence_date"),
-        F.date_add(F.lit("2010-01-05"), (i * 53 % 2000).cast("int")).alias("release_date"),
-        F.when(i % 4 > 0, F.concat(F.lit("c"), i % 4)).alias("crime_type"),
-        F.lit("A").alias("ed_level"),
-    ).where("release_date > sentence_date").repartition(5)
-    window = CohortWindow.of_year(2010)
+        join_per_key(rows, facts, ["k"], "full")
 
-    def answers():
-        study = ReturnStudy(episodes, spec, window)
-        rows = cohort_episodes(episodes, spec, window, ties="weighted")
-        return (
-            Counter(map(tuple, rows.collect())),
-            set(map(tuple, study.rates_by_each("crime_type").collect())),
-            set(map(tuple, study.mix("ed_level", "crime_type").collect())),
-            Counter(map(tuple, add_case_ids(episodes, spec).collect())),
-        )
 
-    sliced = answers()
-    assert sum(n for r, n in sliced[0].items() if r[0] == 7) > 1000
-    spark.conf.set(ROWS_PER_SLICE, "1000000")
-    assert answers() == sliced
+def test_a_heavy_key_is_split_even_if_the_facts_are_partitioned_by_it(spark):
+    rows, facts = rows_and_facts(spark, 30_000)
+    facts = facts.groupBy("k").agg(F.max("f").alias("f"))
+    joined = join_per_key(rows, facts, ["k"]).where("k = 1").withColumn("p", F.spark_partition_id())
+    per_task = Counter(r["p"] for r in joined.collect())
+    assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    assert per_task.total() > 10_000 and max(per_task.values()) < per_task.total() / 2

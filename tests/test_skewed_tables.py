@@ -7,9 +7,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
 from recurra.orders.episodes import order_episodes, segmented_episodes
-from recurra.settings import ROWS_PER_SLICE
+from recurra.orders.queries import QUERIES
+from recurra.orders.sql import ORACLE
 from tests.comparison import assert_same, sql_connection
 
 SOURCE = Path("/root/testdata/sf0.001")
@@ -33,10 +33,9 @@ def skewed(spark, tmp_path_factory):
     moved = lines.withColumn("l_orderkey", F.when(one_order, hot).otherwise(F.col("l_orderkey")))
     copied = lines.where(F.col("l_orderkey") == hot).limit(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(1500))))
     save(moved.unionByName(copied.drop("n")), "lineitem")
-    save(spark.read.parquet(f"{SOURCE}/customer.parquet"), "customer")
-    spark.conf.set(ROWS_PER_SLICE, "150")
-    yield str(folder)
-    spark.conf.unset(ROWS_PER_SLICE)
+    for name in ("customer", "documents"):
+        save(spark.read.parquet(f"{SOURCE}/{name}.parquet"), name)
+    return str(folder)
 
 
 def test_tables_are_skewed(spark, skewed):
@@ -47,14 +46,17 @@ def test_tables_are_skewed(spark, skewed):
     assert per_customer["count"] > total / 3 and per_row["count"] >= 1500
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, skewed, name):
     with sql_connection(skewed) as con:
-        assert_same(contract.queries()[name](spark, skewed), con, contract.oracle_sql()[name])
+        assert_same(QUERIES[name](spark, skewed), con, ORACLE[name])
 
 
-@pytest.mark.parametrize("build", [order_episodes, segmented_episodes])
-def test_adaptive_execution_splits_the_heavy_order(spark, skewed, build):
+ROW_LEVEL = ["cohort_episodes", "prepared_cohort", "classified_episodes", "case_ids"]
+
+
+@pytest.mark.parametrize("build", [order_episodes, segmented_episodes, *[QUERIES[n] for n in ROW_LEVEL]])
+def test_adaptive_execution_splits_heavy_keys(spark, skewed, build):
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",

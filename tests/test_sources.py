@@ -4,9 +4,18 @@ from datetime import date
 
 import pytest
 
-from recurra import EpisodeSpec, clean_episodes, read_attribute_file, read_episode_files, read_table, write_table
+from recurra import (
+    EpisodeSpec,
+    attribute_schema,
+    clean_episodes,
+    read_attribute_file,
+    read_episode_files,
+    read_rejects,
+    read_table,
+    write_table,
+)
 from recurra.__main__ import main
-from recurra.settings import CHECKPOINT_DIR, shared_folder
+from recurra.settings import CHECKPOINT_DIR, shared_folder, use_local_folder
 
 SPEC = EpisodeSpec()
 HEADER = "pers_id,sentence_date,release_date,crime_type,ed_level"
@@ -94,7 +103,7 @@ def test_commands(spark, raw_folder, tmp_path, form, ties):
     assert overall == {"1": "0.0%", "2": "50.0%", "3": "50.0%"}
     assert rows("by_education").count() == 6
     mix = {(r["risk"], r["label"]) for r in rows("crime_mix_by_risk").collect()}
-    assert mix == {("High", "50.0%"), ("Med", "100.0%")}
+    assert mix == {("High", "50%"), ("Med", "100%")}
     assert rows("by_duration").select("label").count() == 3
 
 
@@ -119,13 +128,57 @@ class FakeSession:
         self.used = folder
 
 
-def test_a_cluster_needs_a_named_folder():
+def test_a_session_needs_a_named_folder():
     assert shared_folder(FakeSession("yarn", named="hdfs:///shared")) == "hdfs:///shared"
     assert shared_folder(FakeSession("yarn", used="hdfs:///used")) == "hdfs:///used"
-    with pytest.raises(ValueError, match=CHECKPOINT_DIR):
-        shared_folder(FakeSession("yarn"))
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        cluster = FakeSession(master)
+        use_local_folder(cluster)
+        with pytest.raises(ValueError, match=CHECKPOINT_DIR):
+            shared_folder(cluster)
     local = FakeSession("local[2]")
-    assert shared_folder(local) == shared_folder(local)
+    with pytest.raises(ValueError, match=CHECKPOINT_DIR):
+        shared_folder(local)
+    use_local_folder(local)
+    assert shared_folder(local) == local.used
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_quotes_are_kept_and_bad_records_come_back_with_the_reason(spark, tmp_path, multi_line):
+    lines = ["pers_id,risk", '1,"say ""hi"", x"', "4,Med,extra", "5", "abc,Med", ' 7 , " padded " ', "NA,Low", "8,"]
+    (tmp_path / "r.csv").write_text("\n".join(lines) + "\n")
+    schema = attribute_schema(SPEC, "risk")
+    good = read_attribute_file(spark, str(tmp_path / "r.csv"), SPEC, "risk", multi_line)
+    assert set(map(tuple, good.collect())) == {(1, 'say "hi", x'), (7, " padded "), (None, "Low"), (8, None)}
+    bad = read_rejects(spark, str(tmp_path / "r.csv"), schema, multi_line)
+    assert set(map(tuple, bad.collect())) == {
+        ("4,Med,extra", "wrong number of fields"),
+        ("5", "wrong number of fields"),
+        ("abc,Med", "pers_id is no bigint"),
+    }
+    assert good.select("pers_id").count() == 4
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    (tmp_path / "r.csv").write_bytes(b'pers_id,risk\r\n6,"two\nlines"\r\n7,"a\r\nb"\r\n')
+    rows = read_attribute_file(spark, str(tmp_path / "r.csv"), SPEC, "risk").collect()
+    assert sorted(map(tuple, rows)) == [(6, "two\nlines"), (7, "a\nb")]
+
+
+def test_text_comes_back_as_it_was(spark, tmp_path):
+    texts = ["  padded\t", 'say "hi"', '"', ",", "two\nlines", "\n", "a\r\nb", "back\\slash", "", None, 'end\\"', "é漢🙂"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    write_table(df, str(tmp_path / "t"), "csv")
+    assert set(read_table(spark, str(tmp_path / "t"), df.schema, "csv").collect()) == set(df.collect())
+
+
+def test_dates_that_are_none_are_rejected(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("k,day\n1,2010-01-02T00:00:00Z\n2,2010-02-31T00:00:00Z\n3,soon\n4,NA\n")
+    schema = spark.createDataFrame([], "k int, day date").schema
+    rows = read_table(spark, str(tmp_path / "t.csv"), schema, "csv").collect()
+    assert sorted(map(tuple, rows)) == [(1, date(2010, 1, 2)), (4, None)]
+    bad = read_rejects(spark, str(tmp_path / "t.csv"), schema, trim=False)
+    assert {r["reason"] for r in bad.collect()} == {"day is no date"} and bad.count() == 2
 
 
 def test_clean_accepts_dates_that_are_parsed_already(spark):

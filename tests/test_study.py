@@ -18,7 +18,6 @@ from recurra import (
     prepared_mix,
     prepared_rates,
 )
-from recurra.settings import ROWS_PER_SLICE
 from tests import brute_force as bf
 
 SPEC = EpisodeSpec()
@@ -41,9 +40,7 @@ class Case:
 
 @pytest.fixture(scope="module", params=[(1, 0), (3, 900)], ids=lambda p: f"seed{p[0]}-hot{p[1]}")
 def case(spark, request):
-    spark.conf.set(ROWS_PER_SLICE, "100")
-    yield Case(spark, *request.param)
-    spark.conf.unset(ROWS_PER_SLICE)
+    return Case(spark, *request.param)
 
 
 def by_level(rates, level=None):
