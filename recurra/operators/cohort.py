@@ -2,9 +2,9 @@
 
 Most questions about a cohort need far less than its episodes. They are answered from *day histories*: episodes are
 first grouped by entity, the wanted attributes and one date. Spark combines these groups before the shuffle and
-spreads even a single entity's groups over all tasks. What is left of an entity has at most one row per calendar day
-and combination of levels, so the second step may look at the entity as a whole in a window, however many episodes it
-has. The table is scanned once and nothing is joined.
+spreads even a single entity's groups over all tasks. What is left of an entity has at most one row per calendar day,
+so the second step may look at the entity as a whole in a window, however many episodes it has. With attributes it has as
+many rows per day as it has levels; these meet the entity's first end in a join that splits heavy entities.
 
 Only row-level results (``cohort_episodes``) join the cohort back to the episodes.
 """
@@ -23,6 +23,9 @@ from recurra.operators.skew import join_per_key
 from recurra.spec import HORIZONS, INDEX_ROWS, CohortWindow, EpisodeSpec
 
 TIES = ("all", "weighted", "one")
+ALL = "all"
+
+TIED_ROWS = "tied_rows"
 
 _DAY_END = "_first_end_of_day"
 _PORTION = 10_000
@@ -58,13 +61,42 @@ def early_episodes(episodes: DataFrame, spec: EpisodeSpec, window: CohortWindow)
     return episodes.where((F.col(spec.end) <= window.last) & (F.col(spec.start) < window.last))
 
 
+def _with_first_end(days: DataFrame, spec: EpisodeSpec, window: CohortWindow, dims: Sequence[str]) -> DataFrame:
+    """Days of the cohort's entities beside the entity's first end.
+
+    Without ``dims`` an entity has at most one row per day, which a window may hold. Levels of ``dims`` are not bounded, so
+    their rows are joined with the first ends instead, and a heavy entity's rows are split. Both sides of the join come
+    from one shuffle of the days, which Spark computes once.
+    """
+    if not dims:
+        first = F.min(_DAY_END).over(Window.partitionBy(spec.entity))
+        return days.withColumn(spec.index_end, first).where(in_window(spec, window))
+    firsts = days.groupBy(spec.entity).agg(F.min(_DAY_END).alias(spec.index_end)).where(in_window(spec, window))
+    joined = join_per_key(days, firsts, [spec.entity], "inner", spec.entity_nullable)
+    # True for every row, but it keeps the day's end on this side too: both sides then are one shuffle, computed once.
+    return joined.where(F.col(_DAY_END) >= F.col(spec.index_end))
+
+
 def start_history(
     episodes: DataFrame, spec: EpisodeSpec, window: CohortWindow, dims: Sequence[str] = ()
 ) -> DataFrame:
     """Cohort entities with one row per combination of ``dims`` and start day, and the entity's first end."""
     days = episodes.groupBy(spec.entity, *dims, spec.start).agg(F.min(spec.end).alias(_DAY_END))
-    first = F.min(_DAY_END).over(Window.partitionBy(spec.entity))
-    return days.withColumn(spec.index_end, first).where(in_window(spec, window))
+    return _with_first_end(days, spec, window, dims)
+
+
+def stacked_start_history(
+    episodes: DataFrame, spec: EpisodeSpec, window: CohortWindow, dims: Sequence[str]
+) -> DataFrame:
+    """The same with the dimensions apart, as (dim, level): rows grow with the sum of levels, not with their product.
+
+    The dimension "all" has the single level null and at most one row per entity and day.
+    """
+    levels = [F.struct(F.lit(ALL).alias("dim"), F.lit(None).cast("string").alias("level"))]
+    levels += [F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("level")) for d in dims]
+    stacked = episodes.select(spec.entity, spec.start, spec.end, F.inline(F.array(*levels)))
+    days = stacked.groupBy(spec.entity, "dim", "level", spec.start).agg(F.min(spec.end).alias(_DAY_END))
+    return _with_first_end(days, spec, window, dims)
 
 
 def is_index_day(spec: EpisodeSpec) -> Column:
@@ -75,12 +107,19 @@ def is_index_day(spec: EpisodeSpec) -> Column:
 def index_counts(
     episodes: DataFrame, spec: EpisodeSpec, window: CohortWindow, dims: Sequence[str] = ()
 ) -> DataFrame:
-    """Cohort entities with the number of tied index rows (``index_rows``) per combination of ``dims``."""
+    """Cohort entities with the number of index rows (``index_rows``) per combination of ``dims``, and with the number of
+    tied index rows of the whole entity (``tied_rows``).
+    """
     early = early_episodes(episodes, spec, window)
     days = early.groupBy(spec.entity, *dims, spec.end).agg(F.count(F.lit(1)).alias(INDEX_ROWS))
-    first = F.min(spec.end).over(Window.partitionBy(spec.entity))
-    days = days.withColumn(spec.index_end, first).where(in_window(spec, window))
-    return days.where(F.col(spec.end) == F.col(spec.index_end)).drop(spec.end)
+    ends = days.groupBy(spec.entity, spec.end).agg(F.sum(INDEX_ROWS).alias(TIED_ROWS))
+    firsts = ends.groupBy(spec.entity).agg(
+        F.min(spec.end).alias(spec.index_end), F.min_by(TIED_ROWS, spec.end).alias(TIED_ROWS)
+    )
+    joined = join_per_key(days, firsts.where(in_window(spec, window)), [spec.entity], "inner", spec.entity_nullable)
+    # No end is earlier than the first. Said as an equality, the window's dates would be inferred for one side alone, and
+    # the days would be computed twice.
+    return joined.where(F.col(spec.end) <= F.col(spec.index_end)).drop(spec.end)
 
 
 def index_starts(episodes: DataFrame, spec: EpisodeSpec, window: CohortWindow) -> DataFrame:

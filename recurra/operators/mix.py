@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recurra.spec import INDEX_ROWS
-
 
 def category_counts(df: DataFrame, within: str, of: str, weight: str | None = None) -> DataFrame:
     """Rows (or the sum of their weights) per pair of levels, null levels included."""
@@ -21,13 +19,3 @@ def category_shares(counts: DataFrame, within: str) -> DataFrame:
     """
     total = F.sum("n").over(Window.partitionBy(within))
     return counts.withColumn("prop", F.col("n") / total)
-
-
-def weight_by_ties(index_counts: DataFrame, entity: str) -> DataFrame:
-    """Count each index row once for every tied index row of its entity.
-
-    An entity with *k* tied index rows appears *k* times in the cohort, so each of its index rows counts *k* times.
-    The product is computed from counts; the repeated rows are never made.
-    """
-    tied = F.sum(INDEX_ROWS).over(Window.partitionBy(entity))
-    return index_counts.withColumn(INDEX_ROWS, F.col(INDEX_ROWS) * tied)

@@ -60,12 +60,10 @@ def return_rates(flags: DataFrame, dims: Sequence[str] = (), horizons: tuple[int
     return flags.groupBy(*dims).agg(*[F.avg(c).alias(f"prop_{c}") for c in names])
 
 
-def stacked_first_class(first: DataFrame, entity: str, dims: Sequence[str]) -> DataFrame:
-    """Lowest class per entity, dimension and level, from lowest classes per entity and combination of levels.
-
-    All dimensions share one pass. The dimension "all" has the single level null.
-    """
-    levels = [F.struct(F.lit("all").alias("dim"), F.lit(None).cast("string").alias("level"))]
-    levels += [F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("level")) for d in dims]
-    stacked = first.select(entity, FIRST_CLASS, F.inline(F.array(*levels)))
-    return first_class(stacked, [entity, "dim", "level"], FIRST_CLASS)
+def stack_attributes(first: DataFrame, attributes: Sequence[str], whole: str) -> DataFrame:
+    """Turn entity attributes into dimensions: the row of the dimension ``whole`` is repeated under each of them."""
+    own = F.struct("dim", "level")
+    more = [F.struct(F.lit(a).alias("dim"), F.col(a).cast("string").alias("level")) for a in attributes]
+    rows = F.when(F.col("dim") == whole, F.array(own, *more)).otherwise(F.array(own))
+    rest = [c for c in first.columns if c not in ("dim", "level", *attributes)]
+    return first.select(*rest, F.inline(rows))

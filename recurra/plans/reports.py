@@ -12,15 +12,16 @@ from recurra.functions.dates import average_months
 from recurra.functions.labels import band, band_order
 from recurra.operators import cohort as c
 from recurra.operators.attributes import add_entity_attribute
-from recurra.operators.mix import category_counts, category_shares, weight_by_ties
+from recurra.operators.mix import category_counts, category_shares
 from recurra.operators.returns import (
     FIRST_CLASS,
     classify_return,
     first_class,
     flags_from_first_class,
     return_rates,
-    stacked_first_class,
+    stack_attributes,
 )
+from recurra.operators.skew import join_per_key
 from recurra.spec import (
     BAND,
     BAND_ORDER,
@@ -113,9 +114,14 @@ class ReturnStudy:
 
     def _index_days(self, *dims: str) -> DataFrame:
         """Index days of the cohort beside the lowest return class of the whole entity."""
-        lowest = F.min(RETURN_CLASS).over(Window.partitionBy(self.spec.entity))
+        entity = self.spec.entity
         classified = self._classified(self._decisive(), *dims)
-        return classified.withColumn(FIRST_CLASS, lowest).where(c.is_index_day(self.spec))
+        index_day = c.is_index_day(self.spec)
+        if not dims:
+            lowest = F.min(RETURN_CLASS).over(Window.partitionBy(entity))
+            return classified.withColumn(FIRST_CLASS, lowest).where(index_day)
+        days = classified.where(index_day)
+        return join_per_key(days, first_class(classified, [entity]), [entity], "inner", self.spec.entity_nullable)
 
     def rates_by_duration(self, bands: Bands = DURATION_BANDS) -> DataFrame:
         """Return rates by the length of the index episode in average months."""
@@ -127,14 +133,18 @@ class ReturnStudy:
     def rates_by_each(self, *dims: str) -> DataFrame:
         """Overall rates and the rates by each of ``dims`` as one table (dim, level), from one pass over the data.
 
-        Equal to ``rates()`` and ``rates(by)``: episodes are reduced to one row per entity and combination of
-        levels before the dimensions are told apart.
+        Equal to ``rates()`` and ``rates(by)``. Dimensions are told apart before an entity's rows meet; attributes of
+        entities are added to the row that stands for the whole entity.
         """
         entity = self.spec.entity
         of_episode, of_entity = self._split(*dims)
-        combined = first_class(self._classified(self.episodes, *of_episode), [entity, *of_episode])
-        stacked = stacked_first_class(self._with_attributes(combined, *of_entity), entity, dims)
-        return self._rates(stacked, "dim", "level")
+        history = c.stacked_start_history(self.episodes, self.spec, self.window, of_episode)
+        classified = classify_return(c.add_horizons(history, self.spec, self.horizons), self.spec, self.horizons)
+        first = first_class(classified, [entity, "dim", "level"])
+        for name in of_entity:
+            table = self.entity_attributes[name]
+            first = join_per_key(first, table, [entity], "left", self.spec.entity_nullable)
+        return self._rates(stack_attributes(first, of_entity, c.ALL), "dim", "level")
 
     # -- mix -----------------------------------------------------------------------------------------------------
 
@@ -145,6 +155,7 @@ class ReturnStudy:
         """
         of_episode, of_entity = self._split(within, of)
         counts = c.index_counts(self.episodes, self.spec, self.window, of_episode)
-        weighted = self._with_attributes(weight_by_ties(counts, self.spec.entity), *of_entity)
+        weight = F.col(INDEX_ROWS) * F.col(c.TIED_ROWS)
+        weighted = self._with_attributes(counts.withColumn(INDEX_ROWS, weight), *of_entity)
         known = weighted.where(F.col(within).isNotNull())
         return category_shares(category_counts(known, within, of, INDEX_ROWS), within)
