@@ -1,3 +1,10 @@
-from recurra.sources.tables import attribute_schema, read_attribute_file, read_episode_files, read_rejects, read_table, write_table
+from recurra.sources.tables import (
+    attribute_schema,
+    read_attribute_file,
+    read_episode_files,
+    read_rejects,
+    read_table,
+    write_table,
+)
 
 __all__ = ["attribute_schema", "read_attribute_file", "read_episode_files", "read_rejects", "read_table", "write_table"]

@@ -104,8 +104,9 @@ def read_episode_files(
     """All CSV files of a folder whose name matches ``files``, as one table; dates are still text.
 
     The schema is declared, so nothing is scanned to guess types, and headers are checked against it. Fields may hold
-    doubled quotes and line breaks in quotes (CRLF there is read as a line feed if lines end with CRLF). A file with such breaks cannot be split, so each file is one task; pass
-    ``multi_line=False`` for large files known to hold none. Records that cannot be read are in ``read_rejects``.
+    doubled quotes and line breaks in quotes (CRLF there is read as a line feed if lines end with CRLF). A file with such
+    breaks cannot be split, so each file is one task; pass ``multi_line=False`` for large files known to hold none.
+    Records that cannot be read are in ``read_rejects``.
     """
     return _read_csv(spark, folder, spec.text_schema(), multi_line, files=files)
 
