@@ -59,7 +59,7 @@ def test_query_equals_brute_force(spark):
 
 def test_anchors_find_every_link(spark):
     rng = random.Random(1)
-    for distance in (0, 1, 3, 4, 6):
+    for distance in (1, 4):
         prints = [rng.getrandbits(64) for _ in range(40)]
         for p in prints[:30]:
             flipped = p
