@@ -35,12 +35,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates."""
-    groups = near_duplicates(docs, shingle=4, distance=4)
+    """Keep the document with the smallest id of each group of near-duplicates; of equal rows one stays."""
+    groups = fixed(near_duplicates(docs, shingle=4, distance=4))
     gone = groups.where("doc_id != component_id or (doc_id is null and component_id is not null)")
     gone = fixed(gone.select(F.col("doc_id").alias("_doc")).distinct())
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_anti")
-    return kept
+    same = F.col("doc_id").eqNullSafe(F.col("_doc"))
+    kept = docs.join(gone, same, "left_anti")
+    again = groups.groupBy(F.col("doc_id").alias("_doc"), "fingerprint").count().where("count > 1")
+    again = fixed(again.select("_doc").distinct())
+    if again.isEmpty():
+        return kept
+    twice = kept.join(again, same, "left_semi").withColumn("_text", F.xxhash64("text"))
+    return kept.join(again, same, "left_anti").unionByName(twice.dropDuplicates(["doc_id", "_text"]).drop("_text"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
