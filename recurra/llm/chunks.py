@@ -9,6 +9,8 @@ phrase is not. A run needs many equal digests side by side, so 64-bit digests ar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -21,7 +23,7 @@ from recurra.llm.common import Batches, fixed, map_arrow
 LEAST, SPACING, MOST = 16, 16, 80
 _WINDOW = 16
 _BLOCK = 4 << 20
-_ROWS = 200_000
+_SLICE = 2 << 20
 _GEAR = np.array([xxhash.xxh64_intdigest(bytes([b])) & 0xFFFF for b in range(256)], np.uint16)
 _BOUND = np.uint16(65536 // SPACING)
 _SPACE = np.zeros(256, bool)
@@ -85,50 +87,54 @@ def cut_points(data: np.ndarray, edges: np.ndarray) -> list[list[int]]:
     return made
 
 
+def _text_slices(texts: pa.Array) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """(first text, bytes, edges) for about ``_SLICE`` bytes of texts at a time."""
+    _, offsets, buffer = texts.buffers()
+    edges = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + _SLICE, "right")) - 1)
+        size = int(edges[to] - edges[at])
+        raw = buffer.slice(int(edges[at]), size).to_pybytes() if size else b""
+        yield at, raw, edges[at : to + 1] - edges[at]
+        at = to
+
+
 def _chunk_rows(batches: Batches) -> Batches:
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
-        texts = batch.column(1)
         if not batch.num_rows:
             continue
-        _, offsets, buffer = texts.buffers()
-        edges = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        raw = buffer.to_pybytes()[edges[0] : edges[-1]] if buffer else b""
-        edges = edges - edges[0]
-        data = np.frombuffer(raw, np.uint8)
-        space = _SPACE[data]
-        starts = ~space
-        starts[1:] &= space[:-1]
-        starts[edges[:-1][edges[:-1] < len(data)]] |= ~space[edges[:-1][edges[:-1] < len(data)]]
-        word_starts = np.flatnonzero(starts)
-        docs = batch.column(0).to_numpy()
-        cuts = cut_points(data, edges)
-        at = 0
-        while at < len(docs):
-            to, n = at, 0
-            while to < len(docs) and n < _ROWS:
-                n += len(cuts[to])
-                to += 1
-            counts = np.array([len(c) for c in cuts[at:to]])
-            ends = np.fromiter((e for c in cuts[at:to] for e in c), np.int64, n)
+        ids = batch.column(0).to_numpy()
+        for at, raw, edges in _text_slices(batch.column(1)):
+            data = np.frombuffer(raw, np.uint8)
+            space = _SPACE[data]
+            starts = ~space
+            starts[1:] &= space[:-1]
+            first_byte = edges[:-1][np.diff(edges) > 0]
+            starts[first_byte] = ~space[first_byte]
+            word_starts = np.flatnonzero(starts)
+            cuts = cut_points(data, edges)
+            counts = np.array([len(c) for c in cuts])
+            n = int(counts.sum())
+            ends = np.fromiter((e for c in cuts for e in c), np.int64, n)
             first = np.cumsum(counts) - counts
-            ordinal = np.arange(n) - np.repeat(first, counts)
             begins = np.empty(n, np.int64)
             begins[1:] = ends[:-1]
-            begins[first[counts > 0]] = edges[at:to][counts > 0]
+            begins[first[counts > 0]] = edges[:-1][counts > 0]
             made = [digest(raw[a:b]) for a, b in zip(begins.tolist(), ends.tolist())]
             words = np.searchsorted(word_starts, ends) - np.searchsorted(word_starts, begins)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": np.repeat(docs[at:to], counts),
-                    "ordinal": ordinal.astype(np.int32),
-                    "start": (begins - np.repeat(edges[at:to], counts)).astype(np.int32),
+                    "doc_id": np.repeat(ids[at : at + len(cuts)], counts),
+                    "ordinal": (np.arange(n) - np.repeat(first, counts)).astype(np.int32),
+                    "start": (begins - np.repeat(edges[:-1], counts)).astype(np.int32),
                     "size": (ends - begins).astype(np.int32),
                     "words": words.astype(np.int32),
                     "digest": np.array(made, np.uint64).view(np.int64),
                 }
             )
-            at = to
+        pa.default_memory_pool().release_unused()
 
 
 def chunks(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
