@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from recurra.llm.common import Batches, fixed, map_arrow
 
@@ -107,7 +108,9 @@ def fit_text_model(
 
 
 def _score(rows: DataFrame, model: TextModel) -> DataFrame:
-    """Replace ``text`` by ``n`` (trigrams with a letter) and ``t0, t1, ...`` (weighted log likelihoods)."""
+    """Replace ``text`` by ``n`` (trigrams with a letter), ``t0, t1, ...`` (weighted log likelihoods) and ``p0, p1, ...``
+    (what the text alone says).
+    """
     kept = [f for f in rows.schema.fields if f.name != "text"]
     width = model.table.shape[1]
     table = model.table.astype(np.float32)
@@ -128,18 +131,15 @@ def _score(rows: DataFrame, model: TextModel) -> DataFrame:
                 counts[first : last + 1] += np.add.reduceat((codes != 0).astype(np.int64), begin)
             weight = TEXT_WEIGHT * np.minimum(1, MOST_TRIGRAMS / np.maximum(counts, 1))
             arrays = [batch.column(f.name) for f in kept] + [pa.array(counts)]
-            arrays += [pa.array(sums[:, i] * weight) for i in range(width)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + ["n"] + [f"t{i}" for i in range(width)])
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["n long"])
-    return map_arrow(rows, run, schema + "".join(f", t{i} double" for i in range(width)))
-
+            logs = sums * weight[:, None]
+            powers = np.exp(logs - logs.max(axis=1, keepdims=True))
+            shares = powers / powers.sum(axis=1, keepdims=True)
+            arrays += [pa.array(x) for x in [*logs.T, *shares.T]]
+            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in [*kept, *added]])
 
-def _softmax(logs: list[Column]) -> list[Column]:
-    most = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    powers = [F.exp(x - most) for x in logs]
-    total = reduce(lambda a, b: a + b, powers)
-    return [p / total for p in powers]
+    added = [StructField("n", LongType())]
+    added += [StructField(f"{name}{i}", DoubleType()) for name in "tp" for i in range(width)]
+    return map_arrow(rows, run, StructType([*kept, *added]))
 
 
 def host_priors(rows: DataFrame, width: int) -> tuple[list[float], DataFrame]:
@@ -181,7 +181,8 @@ def with_places(rows: DataFrame) -> DataFrame:
 def identify(rows: DataFrame, model: TextModel, keep: float = KEEP) -> DataFrame:
     """Add lang, probability, text_lang and kept to ``rows``, without their text.
 
-    ``rows`` has text, declared and host beside any columns that name a row; those come back unchanged. A row is rejected
+    ``rows`` has text, declared and host; all columns but the text come back unchanged, whatever their names, except that the
+    four new ones replace old ones of the same name. A row is rejected
     (kept is false) if it has no letters, if no language is more likely than the background, or if the most likely one is
     below ``keep``. Null and empty texts are rejected with language ``und`` and probability 1. Null hosts have the prior of
     all rows, null or odd declarations say what such declarations say elsewhere. Ties go to the language first in order.
@@ -189,9 +190,10 @@ def identify(rows: DataFrame, model: TextModel, keep: float = KEEP) -> DataFrame
     """
     width = len(model.languages) + 1
     names = [*model.languages, UNKNOWN]
-    scored = fixed(_score(with_places(rows.withColumn("declared", language_code("declared"))), model))
-    texts = _softmax([F.col(f"t{i}") for i in range(width)])
-    scored = scored.withColumns({f"p{i}": t for i, t in enumerate(texts)})
+    added = ["lang", "probability", "text_lang", "kept"]
+    own = F.struct(*[c for c in rows.columns if c not in ("text", *added)])
+    evidence = rows.select(own.alias("own"), "text", language_code("declared").alias("declared"), "host")
+    scored = fixed(_score(with_places(evidence), model))
     voting = scored.where("n > 0")
     shares, hosts = host_priors(voting, width)
 
@@ -223,24 +225,24 @@ def identify(rows: DataFrame, model: TextModel, keep: float = KEEP) -> DataFrame
         for i in range(width)
     ]
     met = met.withColumns({f"q{i}": F.log(prior[i]) + says[i] + F.col(f"t{i}") for i in range(width)})
-    met = met.withColumns({f"r{i}": r for i, r in enumerate(_softmax([F.col(f"q{i}") for i in range(width)]))})
+    logs = F.array(*[F.col(f"q{i}") for i in range(width)])
+    powers = F.transform("logs", lambda x: F.exp(x - F.array_max("logs")))
+    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
 
     def best(prefix: str) -> Column:
         order = F.array(*[F.struct(-F.col(f"{prefix}{i}"), F.lit(i).alias("i")) for i in range(width)])
         return F.get(F.array(*[F.lit(n) for n in names]), F.array_min(order)["i"])
 
     empty = F.col("n") == 0
-    most = F.greatest(*[F.col(f"r{i}") for i in range(width)]) if width > 1 else F.col("r0")
-    result = met.withColumns(
+    result = met.withColumn("logs", logs).withColumns(
         {
-            "lang": F.when(empty, UNKNOWN).otherwise(best("r")),
-            "probability": F.when(empty, 1.0).otherwise(most),
+            "lang": F.when(empty, UNKNOWN).otherwise(best("q")),
+            "probability": F.when(empty, 1.0).otherwise(1 / total),
             "text_lang": F.when(empty, UNKNOWN).otherwise(best("p")),
         }
     )
     result = result.withColumn("kept", (F.col("lang") != UNKNOWN) & (F.col("probability") >= keep))
-    own = [c for c in rows.columns if c != "text"]
-    return result.select(*own, "lang", "probability", "text_lang", "kept")
+    return result.select("own.*", *added)
 
 
 def documents_as_rows(docs: DataFrame) -> DataFrame:

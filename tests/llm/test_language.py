@@ -60,7 +60,9 @@ def test_evidence_other_than_text_decides_where_text_does_not(spark, labelled):
     rows += [(100 + i, prose(rng, "fr"), "FR-fr", "www.example.fr") for i in range(60)]
     rows += [(500, "ok", None, "h1.example.de"), (501, "ok", None, "new.example.fr"), (502, "ok", "de", None)]
     rows += [(600, None, "de", "x.de"), (601, "", None, None), (602, " 123 — !!", "fr", "www.example.fr"), (600, None, "de", "x.de")]
-    found = identify(rows_of(spark, rows).withColumn("n", F.lit("clash")).drop("n"), model).collect()
+    clashes = {name: F.lit("clash") for name in ("n", "own", "suffix", "p0", "t1", "c0", "_host", "kept")}
+    found = identify(rows_of(spark, rows).withColumns(clashes), model).collect()
+    assert {(r.n, r.own, r.p0) for r in found} == {("clash",) * 3}
     by = {r.id: r for r in found}
     assert len(found) == len(rows)
     assert [by[i].lang for i in (500, 501, 502)] == ["de", "fr", "de"]
