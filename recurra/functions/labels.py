@@ -23,8 +23,8 @@ MOST_DECIMALS = 4
 def automatic_percent_label(share: Column, least_gap: Column) -> Column:
     """``share`` as a percentage with as many decimals as tell the shares of a table apart.
 
-    ``least_gap`` is the smallest difference between two different shares of the table (see ``least_gap``), null if there
-    are none. The rule: the fewest decimals, 0 to 4, with which one unit of the last place is not larger than that gap.
+    ``least_gap`` is the smallest difference between two different shares of the table, null if there are none. The rule:
+    the fewest decimals, 0 to 4, with which one unit of the last place is not larger than that gap.
     """
     gap = least_gap * 100
     label = percent_label(share, MOST_DECIMALS)
@@ -35,11 +35,11 @@ def automatic_percent_label(share: Column, least_gap: Column) -> Column:
 
 
 def with_automatic_labels(table: DataFrame, share: str, name: str = "label") -> DataFrame:
-    """Add percent labels to a finished report; its different shares, a row per level at most, are compared in order."""
-    different = table.select(share).where(F.col(share).isNotNull()).distinct()
-    gaps = different.select((F.col(share) - F.lag(share).over(Window.orderBy(share))).alias("gap"))
-    least = gaps.agg(F.min("gap")).scalar()
-    return table.withColumn(name, automatic_percent_label(F.col(share), least))
+    """Add percent labels to a finished report. Its rows, one per level at most, meet in one window for that."""
+    gap = F.col(share) - F.lag(share).over(Window.orderBy(share))
+    spaced = table.withColumn("_gap", F.when(gap > 0, gap))
+    least = F.min("_gap").over(Window.partitionBy())
+    return spaced.withColumn("_gap", least).withColumn(name, automatic_percent_label(F.col(share), F.col("_gap"))).drop("_gap")
 
 
 def level_order(value: Column, levels: Sequence[str]) -> Column:
