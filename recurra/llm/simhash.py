@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recurra.llm.common import Batches, fixed, map_arrow, spanning_forest, whole_groups, words
@@ -125,40 +125,50 @@ def _replicas(prints: DataFrame, distance: int) -> DataFrame:
 
 
 def _blocks(replicas: DataFrame, block_rows: int) -> DataFrame:
-    """Add ``block``: anchors with many rows are cut into blocks, and each pair of their blocks meets once."""
+    """Add ``block``, ``left`` and ``right``: within a block every left row is compared with every right row.
+
+    Anchors with many rows are cut: in block (i, j) the rows at home of cut i are left and the rows of cut j are right. Of
+    two rows at home in different cuts the later is right once, so that they meet once.
+    """
+    light = F.struct(F.col("anchor").alias("block"), F.col("home").alias("left"), F.lit(True).alias("right"))
     heavy = replicas.groupBy("anchor").count().where(F.col("count") > block_rows)
     heavy = fixed(heavy.select("anchor", F.ceil(F.col("count") / block_rows).cast("int").alias("cuts")))
     n = heavy.count()
     if not n:
-        return replicas.withColumn("block", F.col("anchor"))
+        return replicas.select("anchor", "fingerprint", light.alias("met")).select("anchor", "fingerprint", "met.*")
     heavy = F.broadcast(heavy) if n <= BROADCAST_ANCHORS else heavy
-    own = F.pmod(F.xxhash64("fingerprint"), F.col("cuts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("cuts"), F.lit(1)) - 1))
-    cut = replicas.join(heavy, "anchor", "left").withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", other)
-    pair = F.when(F.col("home"), F.struct("own", F.col("other").alias("x"))).otherwise(
-        F.struct(F.col("other").alias("own"), F.col("own").alias("x"))
-    )
-    block = F.when(F.col("cuts").isNull(), F.col("anchor")).otherwise(F.xxhash64("anchor", pair))
-    return cut.select("anchor", "fingerprint", "home", block.alias("block"))
+    cut = replicas.join(heavy, "anchor", "left")
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("fingerprint"), F.col("cuts")).cast("int"))
+
+    def met(i: Column, j: Column, left: bool) -> Column:
+        block = F.xxhash64("anchor", i, j)
+        return F.struct(block.alias("block"), F.lit(left).alias("left"), F.lit(not left).alias("right"))
+
+    last = F.col("cuts") - 1
+    lefts = F.transform(F.sequence(F.lit(0), last), lambda j: met(F.col("own"), j, True))
+    until = F.when(F.col("home"), F.col("own")).otherwise(last)
+    rights = F.transform(F.sequence(F.lit(0), until), lambda i: met(i, F.col("own"), False))
+    roles = F.when(F.col("cuts").isNull(), F.array(light)).when(F.col("home"), F.concat(lefts, rights)).otherwise(rights)
+    return cut.select("anchor", "fingerprint", F.explode(roles).alias("met")).select("anchor", "fingerprint", "met.*")
 
 
 def _compare(distance: int):
     def links(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         block, anchor = group.column("block").to_numpy(), group.column("anchor").to_numpy()
         prints = group.column("fingerprint").to_numpy()
-        home = group.column("home").to_numpy(zero_copy_only=False)
+        lefts, rights = (group.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
         first = np.ones(len(block), bool)
         first[1:] = (block[1:] != block[:-1]) | (anchor[1:] != anchor[:-1])
         start = np.flatnonzero(first)
         number = np.cumsum(first) - 1
-        at_home = np.add.reduceat(home.astype(np.int64), start)[number]
-        pairs = np.cumsum(at_home)
+        meets = np.add.reduceat(lefts.astype(np.int64), start)[number] * rights
+        pairs = np.cumsum(meets)
         left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         at = 0
         while at < len(block):
             done = pairs[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(pairs, done + 4 * _AT_ONCE, "right")))
-            n = at_home[at:to]
+            n = meets[at:to]
             row = np.repeat(np.arange(at, to), n)
             within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             x, y = prints[start[number[row]] + within], prints[row]
@@ -183,7 +193,7 @@ def link_fingerprints(prints: DataFrame, distance: int, block_rows: int = BLOCK_
     Each anchor returns a spanning forest of its links, so a large group of near-copies does not grow quadratically.
     """
     replicas = _blocks(_replicas(prints, distance), block_rows)
-    met = replicas.repartition("block").sortWithinPartitions("block", "anchor", F.desc("home"))
+    met = replicas.repartition("block").sortWithinPartitions("block", "anchor", F.desc("left"))
     return map_arrow(met, _compare(distance), "a long, b long")
 
 

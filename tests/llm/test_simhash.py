@@ -80,6 +80,21 @@ def test_anchors_find_every_link(spark):
             assert sorted(map(sorted, ours.values())) == sorted(map(sorted, groups.values()))
 
 
+def test_blocks_of_a_heavy_anchor_lose_no_link(spark):
+    """Prints that share a part are all at home with one anchor; a link of 0, 2 and 2 bits in the parts has no other."""
+    rng = random.Random(2)
+    hub = rng.getrandbits(64)
+    prints = {hub}
+    while len(prints) < 80:
+        bits = rng.sample(range(21, 42), 2) + rng.sample(range(42, 64), 2)
+        prints.add(hub ^ sum(1 << b for b in bits))
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(s,) for s in signed], "fingerprint long")
+    for block_rows in (5, 20_000):
+        found = {r.node: r.component for r in components(link_fingerprints(df, 4, block_rows)).collect()}
+        assert found.keys() == set(signed) and len(set(found.values())) == 1
+
+
 def test_null_ids_repeated_rows_and_empty_tables(spark, documents):
     docs = documents([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (9, None), (7, "")])
     found = sorted((r.doc_id or -1, r.component_id) for r in near_duplicates(docs).collect())
