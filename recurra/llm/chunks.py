@@ -2,9 +2,10 @@
 
 A chunk ends where the gear hash of the last 16 bytes falls below a bound, so cuts follow the content: an insertion changes
 the chunks around it and no others. Chunks have a least and a greatest size and never split a character. Chunks are
-deduplicated by digest with one aggregation (smallest and largest document of each digest). A passage is a run of chunks
-in a row that all repeat and share the first document they occur in; a run of enough words is reported, so a single common
-phrase is not. A run needs many equal digests side by side, so 64-bit digests are enough.
+deduplicated by digest with one aggregation (smallest and largest document of each digest). A run is made of chunks in a
+row that all repeat, whatever the first document of each; a run of enough words is reported, so a single common phrase is
+not. Parts of a run that share the first document are told apart if they have enough words, other parts are joined. A run
+needs many equal digests side by side, so 64-bit digests are enough.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recurra.llm.common import Batches, fixed, map_arrow
@@ -151,8 +152,12 @@ def repeated_passages(
 ) -> DataFrame:
     """One row (doc_id, start, end, words, first_doc_id) per passage that other documents hold too.
 
-    start and end are UTF-8 byte positions; first_doc_id is the smallest document that holds the passage, which may be the
-    document itself. A passage of n words is seen without the few words up to the first and after the last cut in it.
+    start and end are UTF-8 byte positions. Every run of repeated chunks with ``min_words`` has a row. Parts of it that share
+    their first document and have ``min_words`` are rows with that document as first_doc_id, which may be the document itself.
+    Chunks beside them are joined whatever their first documents: those that earlier documents hold to rows with the
+    smallest of these as first_doc_id, then what remains to rows that name the document itself, as no earlier document holds
+    ``min_words`` in a row of it. Less than ``min_words`` beside a row of the same run is left out.
+    A passage of n words is seen without the few words up to the first and after the last cut in it.
     Documents that repeat nothing have no row. Rows with equal ids are one document and repeat nothing from each other;
     rows without id, null and empty texts have no passage. Other columns are ignored; an empty table gives no rows.
     """
@@ -161,12 +166,29 @@ def repeated_passages(
     repeated = ends.where("first_doc_id != last_doc_id").select(F.col("digest").alias("known"), "first_doc_id")
     found = rows.join(fixed(repeated), F.col("digest") == F.col("known"))
     found = found.select("doc_id", "ordinal", "start", "size", "words", "first_doc_id")
-    rank = F.dense_rank().over(Window.partitionBy("doc_id", "first_doc_id").orderBy("ordinal"))
-    runs = found.withColumn("run", F.col("ordinal") - rank).groupBy("doc_id", "first_doc_id", "run")
-    passages = runs.agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("words").alias("words")
+
+    def island(*keys: str) -> Column:
+        return F.col("ordinal") - F.dense_rank().over(Window.partitionBy("doc_id", *keys).orderBy("ordinal"))
+
+    def enough(*keys: str) -> Column:
+        return F.sum("words").over(Window.partitionBy("doc_id", *keys)) >= min_words
+
+    runs = found.withColumn("run", island()).withColumn("long", enough("run")).where("long")
+    parts = runs.withColumn("part", island("first_doc_id")).withColumn("one", enough("first_doc_id", "part"))
+    parts = parts.withColumn("early", F.col("first_doc_id") < F.col("doc_id"))
+    parts = parts.withColumn("stretch", island("one", "early"))
+    parts = parts.withColumn("joined", ~F.col("one") & F.col("early") & enough("one", "early", "stretch"))
+    parts = parts.withColumn("kind", F.when(F.col("one"), F.col("first_doc_id")))
+    pieces = parts.withColumn("piece", island("one", "joined", "kind")).groupBy("doc_id", "one", "joined", "kind", "piece")
+    passages = pieces.agg(
+        F.min("start").alias("start"),
+        F.max(F.col("start") + F.col("size")).alias("end"),
+        F.sum("words").alias("words"),
+        F.min("first_doc_id").alias("first"),
     )
-    return passages.where(F.col("words") >= min_words).select("doc_id", "start", "end", "words", "first_doc_id")
+    first = F.when(F.col("one") | F.col("joined"), F.col("first")).otherwise(F.col("doc_id"))
+    passages = passages.where(F.col("words") >= min_words)
+    return passages.select("doc_id", "start", "end", "words", first.alias("first_doc_id"))
 
 
 def without_repeats(

@@ -104,6 +104,27 @@ def test_passages_are_found_wherever_they_stand(spark, documents):
     assert all(len(kept[i]) < len(t) - len(passage) / 2 for i, t in rows[1:])
 
 
+def test_chunks_known_from_other_documents_do_not_split_a_passage(spark, documents):
+    rng = random.Random(6)
+
+    def prose(n):
+        return " ".join("".join(rng.choices("abcdefghijklm", k=rng.randint(4, 9))) for _ in range(n))
+
+    halves = [prose(26), prose(26)]
+    passage = " ".join(halves)
+    rows = [(i, f"{prose(60)} {half} {prose(60)}") for i, half in enumerate(halves)]
+    rows += [(i, f"{prose(60)} {passage} {prose(60)}") for i in range(5, 9)]
+    docs = documents(rows)
+    found = repeated_passages(docs)
+    spans = {r.doc_id: r for r in found.collect()}
+    assert found.count() == 4 and {i: r.first_doc_id for i, r in spans.items()} == {5: 5, 6: 0, 7: 0, 8: 0}
+    assert all(r.words > 40 for r in spans.values())
+    kept = {r.doc_id: r.text for r in without_repeats(docs, found).collect()}
+    for i, text in rows:
+        cut = text[: spans[i].start] + text[spans[i].end :] if i > 5 else text
+        assert kept[i] == cut
+
+
 def test_query_equals_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
     found = sorted(map(tuple, op5_chunks(spark, DATA).collect()))
