@@ -24,9 +24,10 @@ from recurra.llm.common import Batches, fixed, map_arrow
 
 UNKNOWN = "und"
 CODES = 1 << 16
-# Texts of each language that the model is fitted on, in expectation; labels with a smaller share are no language.
+# Texts of each language that the model is fitted on, in expectation. A label is fitted if it has so many labelled texts, or
+# in small tables this share of them.
 SAMPLE_ROWS = 2_000
-LEAST_SHARE = 0.01
+LEAST_ROWS, LEAST_SHARE = 200, 0.01
 # A trigram counts for this share of an independent one, and at most so many count in one text.
 TEXT_WEIGHT, MOST_TRIGRAMS = 0.3, 1_000
 # Strength of the level above, in rows.
@@ -74,13 +75,14 @@ def fit_text_model(
 ) -> TextModel:
     """Trigram counts per label over about ``sample_rows`` texts of each, drawn by a hash of the id.
 
-    Labels are those with a share of LEAST_SHARE or more, so at most 100. Counts reach the driver: 65,536 per label at most.
+    Labels are those with LEAST_ROWS texts or a share of LEAST_SHARE. Counts reach the driver: 65,536 per label at most.
     """
     rows = labelled.select(F.col(id_column).alias("id"), F.col(text).alias("text"), language_code(label).alias("label"))
     rows = rows.where("text is not null and label is not null")
     counts = rows.groupBy("label").count()
     total = counts.agg(F.sum("count")).first()[0] or 0
-    shares = {r["label"]: r["count"] for r in counts.where(F.col("count") >= LEAST_SHARE * total).collect()}
+    least = min(LEAST_ROWS, LEAST_SHARE * total)
+    shares = {r["label"]: r["count"] for r in counts.where(F.col("count") >= least).collect()}
     languages = sorted(shares)
     if not languages:
         return TextModel([], np.zeros((CODES, 1)))
@@ -157,8 +159,8 @@ def host_priors(rows: DataFrame, width: int) -> tuple[list[float], DataFrame]:
 
     def smoothed(df: DataFrame, above: list[Column], name: str) -> DataFrame:
         total = reduce(lambda a, b: a + b, [F.col(f"c{i}") for i in range(width)])
-        made = {f"{name}{i}": (F.col(f"c{i}") + PRIOR_ROWS * above[i]) / (total + PRIOR_ROWS) for i in range(width)}
-        return df.withColumns(made)
+        made = {f"{name}{i}": (F.col(f"c{i}") + PRIOR_ROWS * above[i]) / (F.col("_total") + PRIOR_ROWS) for i in range(width)}
+        return df.withColumn("_total", total).withColumns(made)
 
     keep = lambda name: [F.col(f"{name}{i}") for i in range(width)]
     suffixes = smoothed(per_suffix, [F.lit(s) for s in shares], "s").select(F.col("suffix").alias("_s"), *keep("s"))
@@ -184,7 +186,8 @@ def identify(rows: DataFrame, model: TextModel, keep: float = KEEP) -> DataFrame
     ``rows`` has text, declared and host; all columns but the text come back unchanged, whatever their names, except that the
     four new ones replace old ones of the same name. A row is rejected
     (kept is false) if it has no letters, if no language is more likely than the background, or if the most likely one is
-    below ``keep``. Null and empty texts are rejected with language ``und`` and probability 1. Null hosts have the prior of
+    below ``keep``; but if some language was fitted and the row declares one that was not, only for want of letters, as the model
+    knows nothing of that language: its lang may then be ``und``. Null and empty texts are rejected with language ``und`` and probability 1. Null hosts have the prior of
     all rows, null or odd declarations say what such declarations say elsewhere. Ties go to the language first in order.
     Without any labelled text all rows are ``und``. Repeated rows get equal results; an empty table gives no rows.
     """
@@ -203,28 +206,21 @@ def identify(rows: DataFrame, model: TextModel, keep: float = KEEP) -> DataFrame
     counted = {r[0]: r[1:] for r in sums}
     totals = [sum(c[i] for c in counted.values()) for i in range(width)]
     kinds = [*model.languages, "(none)", "(other)"]
-    says = [
-        F.element_at(
-            F.create_map(
-                *[
-                    x
-                    for k in kinds
-                    for x in (F.lit(k), F.lit(float(np.log((counted.get(k, [0.0] * width)[i] + 1) / (totals[i] + len(kinds))))))
-                ]
-            ),
-            seen,
-        )
-        for i in range(width)
+    logs_of = [
+        (k, [float(np.log((counted.get(k, [0.0] * width)[i] + 1) / (totals[i] + len(kinds)))) for i in range(width)])
+        for k in kinds
     ]
+    says = rows.sparkSession.createDataFrame(logs_of, "_seen string, says array<double>")
     met = scored.join(hosts, F.col("host") == F.col("_host"), "left")
     others = reduce(lambda a, b: a + b, [F.col(f"c{i}") - F.col(f"p{i}") for i in range(width)])
+    met = met.join(F.broadcast(says), seen == F.col("_seen"), "left").withColumn("_others", others)
     prior = [
         F.when(F.col("_host").isNull() | (F.col("n") == 0), F.lit(shares[i])).otherwise(
-            (F.greatest(F.col(f"c{i}") - F.col(f"p{i}"), F.lit(0.0)) + PRIOR_ROWS * F.col(f"b{i}")) / (others + PRIOR_ROWS)
+            (F.greatest(F.col(f"c{i}") - F.col(f"p{i}"), F.lit(0.0)) + PRIOR_ROWS * F.col(f"b{i}")) / (F.col("_others") + PRIOR_ROWS)
         )
         for i in range(width)
     ]
-    met = met.withColumns({f"q{i}": F.log(prior[i]) + says[i] + F.col(f"t{i}") for i in range(width)})
+    met = met.withColumns({f"q{i}": F.log(prior[i]) + F.col("says")[i] + F.col(f"t{i}") for i in range(width)})
     logs = F.array(*[F.col(f"q{i}") for i in range(width)])
     powers = F.transform("logs", lambda x: F.exp(x - F.array_max("logs")))
     total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
@@ -241,7 +237,10 @@ def identify(rows: DataFrame, model: TextModel, keep: float = KEEP) -> DataFrame
             "text_lang": F.when(empty, UNKNOWN).otherwise(best("p")),
         }
     )
-    result = result.withColumn("kept", (F.col("lang") != UNKNOWN) & (F.col("probability") >= keep))
+    kept = (F.col("lang") != UNKNOWN) & (F.col("probability") >= keep)
+    if model.languages:
+        kept |= ~empty & (seen == "(other)")
+    result = result.withColumn("kept", kept)
     return result.select("own.*", *added)
 
 

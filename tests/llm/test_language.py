@@ -132,6 +132,21 @@ def test_equals_plain_python(spark, documents, labelled):
         assert found[i].probability == pytest.approx(max(after), abs=1e-6)
 
 
+def test_rare_languages_are_fitted_and_unfitted_ones_are_not_rejected(spark):
+    rng = random.Random(9)
+    greek, georgian = "και το να με που σπίτι νερό πρωί βράδυ καιρός", "და რომ ეს არ სახლი წყალი დილა საღამო ამინდი"
+    many = spark.range(30_000).selectExpr("id", f"'{WORDS['en']}' text", "'en' declared", "'a.example.org' host")
+    few = [(40_000 + i, " ".join(rng.choices(greek.split(), k=40)), "el", "a.example.org") for i in range(250)]
+    few += [(50_000 + i, " ".join(rng.choices(georgian.split(), k=40)), "ka", "a.example.org") for i in range(5)]
+    few += [(60_000, " ".join(rng.choices(greek.split(), k=40)), None, None), (60_001, "123", "ka", None)]
+    rows = many.unionByName(rows_of(spark, few))
+    model = fit_text_model(rows, "text", "declared", "id")
+    assert model.languages == ["el", "en"]
+    found = {r.id: r for r in identify(rows, model).where("id >= 40000").collect()}
+    assert all(r.lang == "el" and r.kept for i, r in found.items() if i < 50_000 or i == 60_000)
+    assert all(found[50_000 + i].kept for i in range(5)) and not found[60_001].kept
+
+
 def test_pages(spark):
     pages = spark.createDataFrame(
         [
