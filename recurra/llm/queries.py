@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recurra.llm import hnsw
 from recurra.llm.brown import scores
+from recurra.llm.centroids import centroid_clusters, clusters_sql
 from recurra.llm.chunks import repeated_passages
 from recurra.llm.common import table
 from recurra.llm.encode import tokenizer_file
@@ -19,6 +20,7 @@ from recurra.llm.packing import pack
 from recurra.llm.shards import balanced_shards
 from recurra.llm.simhash import near_duplicates
 from recurra.llm.tiling import leaks
+from recurra.llm.transducer import token_counts
 from recurra.settings import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +76,14 @@ def op10_hnsw(spark: SparkSession, folder: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, folder, "embeddings"), threshold=0.93)
 
 
+def op12_transducer(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"), limit=4096)
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroid_clusters(table(spark, folder, "embeddings"), k=8, rounds=10, salt="3")
+
+
 QUERIES: dict[str, Query] = {
     "op1_tiling": op1_tiling,
     "op2_language": op2_language,
@@ -85,6 +95,8 @@ QUERIES: dict[str, Query] = {
     "op8_token_frames": op8_token_frames,
     "op9_simhash": op9_simhash,
     "op10_hnsw": op10_hnsw,
+    "op12_transducer": op12_transducer,
+    "op13_centroids": op13_centroids,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op13_centroids": clusters_sql(k=8, rounds=10, salt="3")}

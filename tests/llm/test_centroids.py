@@ -1,0 +1,97 @@
+from __future__ import annotations
+
+import hashlib
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from recurra.llm.centroids import centroid_clusters, nearest
+from recurra.llm.queries import ORACLE, op13_centroids
+from tests.comparison import assert_same, sql_connection
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def brute(rows, k=8, rounds=10, dims=64, scale=1024):
+    def sound(v):
+        return v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)
+
+    kept = [(i, [math.floor(scale * float(np.float32(x))) for x in v]) for i, v, _ in rows if sound(v)]
+
+    def order(row):
+        return (row[0] is None, hashlib.sha256(f"3:{row[0]}".encode()).hexdigest(), row[1])
+
+    centroids = [v for _, v in sorted(kept, key=order)[:k]]
+
+    def assign(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c)), i) for i, c in enumerate(centroids))
+
+    for _ in range(rounds):
+        near = [assign(v)[1] for _, v in kept]
+        for i in range(len(centroids)):
+            own = [v for (_, v), c in zip(kept, near) if c == i]
+            if own:
+                centroids[i] = [sum(x) // len(own) for x in zip(*own)]
+    last = [(i, *assign(v)) for i, v in kept]
+    total = sum(d for _, d, _ in last)
+    digest = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    return [(i, c, d, sum(e for _, e, o in last if o == c), total, digest[c]) for i, d, c in last]
+
+
+def key(row):
+    return tuple((x is None, x) for x in row)
+
+
+def check(df, rows, **options):
+    found = sorted(map(tuple, centroid_clusters(df, **options).collect()), key=key)
+    assert found == sorted(brute(rows, **options), key=key)
+
+
+def vectors(n, dims, seed=3):
+    rng = np.random.default_rng(seed)
+    return (rng.normal(size=(n, dims)) * 0.3).astype(np.float32).tolist()
+
+
+def test_equals_brute_force(spark):
+    rows = [(i, v, i % 3) for i, v in enumerate(vectors(150, 6))]
+    rows += [rows[0]] * 4 + [(None, rows[5][1], 1), (None, rows[5][1], 1), (900, rows[7][1], None), (0, rows[9][1], 1)]
+    rows += [(901, None, 1), (902, [], 1), (903, [1.0] * 5, 1), (904, [1.0] * 7, 1), (905, [float("nan")] * 6, 1)]
+    rows += [(906, [1.0, None, 1.0, 1.0, 1.0, 1.0], 1), (907, [float("-inf")] * 6, 1), (908, [-0.0] * 6, 1), (909, [-1e-9] * 6, 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for clash in ("id", "v", "x", "cluster", "distance", "near"):
+        df = df.withColumn(clash, F.lit("clash"))
+    check(df.repartition(5), rows, dims=6)
+
+
+def test_ties_and_an_empty_cluster(spark):
+    """Equal first centroids: the first takes all ties, the others stay empty and where they are."""
+    rows = [(1, [0.5, 0.25], 0)] * 9 + [(2, [0.75, 0.25], 0), (3, [3.0, 3.0], 0)]
+    check(spark.createDataFrame(rows, SCHEMA), rows, dims=2, k=4, rounds=3)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5])
+def test_fewer_vectors_than_clusters(spark, n):
+    rows = [(i, v, 0) for i, v in enumerate(vectors(n, 4))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    check(df, rows, dims=4)
+    assert [c for c, _ in centroid_clusters(df, dims=4).dtypes] == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+
+
+def test_large_components_are_exact(spark):
+    rows = [(i, [x * 130_000 for x in v], 0) for i, v in enumerate(vectors(40, 8))]
+    rows = [(i, [float(np.float32(max(-131_071, min(131_071, x)))) for x in v], c) for i, v, c in rows]
+    check(spark.createDataFrame(rows, SCHEMA), rows, dims=8, k=3, rounds=4)
+
+
+def test_query_equals_sql(spark):
+    folder = "/root/testdata/sf0.01"
+    with sql_connection(folder) as con:
+        assert_same(op13_centroids(spark, folder), con, ORACLE["op13_centroids"])
+
+
+def test_no_python_in_the_plan(spark):
+    df = spark.createDataFrame([(1, [0.5, 0.25], 0)], SCHEMA).withColumn("v", F.array(F.lit(1).cast("long")))
+    plan = df.select(nearest("v", [(1,), (2,)]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "array_min" in plan
