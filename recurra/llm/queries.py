@@ -16,6 +16,7 @@ from recurra.llm.encode import tokenizer_file
 from recurra.llm.frames import read_tokens, token_index, write_tokens
 from recurra.llm.language import documents_as_rows, fit_text_model, identify, pages_as_rows
 from recurra.llm.lines import line_classes
+from recurra.llm.negatives import hard_negatives, negatives_sql
 from recurra.llm.packing import pack
 from recurra.llm.shards import balanced_shards
 from recurra.llm.simhash import near_duplicates
@@ -76,6 +77,10 @@ def op10_hnsw(spark: SparkSession, folder: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, folder, "embeddings"), threshold=0.93)
 
 
+def op11_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives(table(spark, folder, "embeddings"))
+
+
 def op12_transducer(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), limit=4096)
 
@@ -95,8 +100,12 @@ QUERIES: dict[str, Query] = {
     "op8_token_frames": op8_token_frames,
     "op9_simhash": op9_simhash,
     "op10_hnsw": op10_hnsw,
+    "op11_negatives": op11_negatives,
     "op12_transducer": op12_transducer,
     "op13_centroids": op13_centroids,
 }
 
-ORACLE: dict[str, str] = {"op13_centroids": clusters_sql(k=8, rounds=10, salt="3")}
+ORACLE: dict[str, str] = {
+    "op11_negatives": negatives_sql(),
+    "op13_centroids": clusters_sql(k=8, rounds=10, salt="3"),
+}
