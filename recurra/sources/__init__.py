@@ -4,7 +4,16 @@ from recurra.sources.tables import (
     read_episode_files,
     read_rejects,
     read_table,
+    reject_counts,
     write_table,
 )
 
-__all__ = ["attribute_schema", "read_attribute_file", "read_episode_files", "read_rejects", "read_table", "write_table"]
+__all__ = [
+    "attribute_schema",
+    "read_attribute_file",
+    "read_episode_files",
+    "read_rejects",
+    "read_table",
+    "reject_counts",
+    "write_table",
+]

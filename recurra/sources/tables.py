@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,12 @@ MISSING = "NA"
 CSV_DAY = "yyyy-MM-dd'T'00:00:00'Z'"
 
 RECORD, REASON = "record", "reason"
+ORDER = "record_order"
+_PLACE, _VALUE = "_place", "_value_"
 _DAY_TEXT = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}Z)?$"
+_LINE_BREAK = "[\r\n]"
+KEPT = "kept"
+_WRONG_NUMBER = "wrong number of fields"
 
 
 def _read_text(
@@ -28,7 +33,7 @@ def _read_text(
     """
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, RECORD]])
     reader = spark.read.schema(schema).option("columnPruning", False)
-    raw = reader.csv(
+    return reader.csv(
         path,
         header=True,
         enforceSchema=False,
@@ -41,27 +46,60 @@ def _read_text(
         nullValue=MISSING,
         pathGlobFilter=files,
     )
-    return raw.withColumns({n: F.nullif(F.col(n), F.lit("")) for n in names}) if trim else raw
+
+
+def _is_text(field: T.StructField) -> bool:
+    return isinstance(field.dataType, T.StringType)
 
 
 def _typed(field: T.StructField) -> Column:
     """The value of a text field, null where it is none."""
     text = F.col(field.name)
-    if isinstance(field.dataType, T.StringType):
-        return text
     if isinstance(field.dataType, T.DateType):
         return F.when(text.rlike(_DAY_TEXT), F.try_to_date(F.substring(text, 1, 10)))
     return text.try_cast(field.dataType)
 
 
-def _reason(schema: T.StructType) -> Column:
-    """Why a record is rejected, null for good ones."""
-    reason = F.when(F.col(RECORD).isNotNull(), "wrong number of fields")
+def _wrong_kind(field: T.StructField) -> str:
+    return f"{field.name} is no {field.dataType.simpleString()}"
+
+
+def reject_reasons(schema: T.StructType) -> list[str]:
+    """All reasons for which records of a schema may be left out."""
+    return [_WRONG_NUMBER, *[_wrong_kind(f) for f in schema.fields if not _is_text(f)]]
+
+
+def _parsed(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool, trim: bool, files: str | None
+) -> DataFrame:
+    """Text fields, the values of the others as ``_value_*``, the reason for which a record is rejected, and its order.
+
+    Values are computed once, below the place of the record, which no filter above may be pushed through; the filter that
+    keeps the good records and the columns that come out both take them from there. Files are read in blocks from their
+    first record to their last, so the file, the block and the place within the task put records in file order.
+    """
+    raw = _read_text(spark, path, schema.names, multi_line, trim, files)
+    if trim:
+        raw = raw.withColumns({n: F.nullif(F.col(n), F.lit("")) for n in schema.names})
+    values = {_VALUE + f.name: _typed(f) for f in schema.fields if not _is_text(f)}
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    parsed = raw.select(*schema.names, RECORD, *block, *[v.alias(n) for n, v in values.items()], F.monotonically_increasing_id().alias(_PLACE))
+    # The record alone is not to be asked for: Spark parses it only beside a field. No text has a negative length.
+    some_field = F.coalesce(F.length(schema.names[0]), F.lit(0)) >= 0
+    reason = F.when(F.col(RECORD).isNotNull() & some_field, _WRONG_NUMBER)
     for field in schema.fields:
-        if not isinstance(field.dataType, T.StringType):
-            wrong = F.col(field.name).isNotNull() & _typed(field).isNull()
-            reason = reason.when(wrong, f"{field.name} is no {field.dataType.simpleString()}")
-    return reason
+        if not _is_text(field):
+            wrong = F.col(field.name).isNotNull() & F.col(_VALUE + field.name).isNull()
+            reason = reason.when(wrong, _wrong_kind(field))
+    order = F.struct("file", "block", F.col(_PLACE).alias("place"))
+    return parsed.withColumns({REASON: reason, ORDER: order})
+
+
+def _good(parsed: DataFrame, schema: T.StructType, order: bool) -> DataFrame:
+    values = [F.col(f.name if _is_text(f) else _VALUE + f.name).alias(f.name) for f in schema.fields]
+    # The place is never negative, but it keeps the filter above it.
+    kept = parsed.where(F.col(REASON).isNull() & (F.col(_PLACE) >= 0))
+    return kept.select(*values, ORDER) if order else kept.select(*values)
 
 
 def _read_csv(
@@ -71,9 +109,15 @@ def _read_csv(
     multi_line: bool = True,
     trim: bool = True,
     files: str | None = None,
+    order: bool = False,
+    counts: Observation | None = None,
 ) -> DataFrame:
-    raw = _read_text(spark, path, schema.names, multi_line, trim, files)
-    return raw.where(_reason(schema).isNull()).select(*[_typed(f).alias(f.name) for f in schema.fields])
+    parsed = _parsed(spark, path, schema, multi_line, trim, files)
+    if counts is not None:
+        each = {r: F.count_if(F.col(REASON) == r).alias(r) for r in reject_reasons(schema)}
+        kept = F.count_if(F.col(REASON).isNull()).alias(KEPT)
+        parsed = parsed.observe(counts, kept, *each.values())
+    return _good(parsed, schema, order)
 
 
 def read_rejects(
@@ -89,9 +133,19 @@ def read_rejects(
     A record is left out if its number of fields differs from the schema's or a field that is no text cannot be read; it
     never turns into a row with nulls in place of what stood there.
     """
-    raw = _read_text(spark, path, schema.names, multi_line, trim, files).withColumn(REASON, _reason(schema))
+    parsed = _parsed(spark, path, schema, multi_line, trim, files)
     record = F.coalesce(F.rtrim(F.col(RECORD), F.lit("\r\n")), F.to_csv(F.struct(*schema.names)))
-    return raw.where(F.col(REASON).isNotNull()).select(record.alias(RECORD), REASON)
+    return parsed.where(F.col(REASON).isNotNull() & (F.col(_PLACE) >= 0)).select(record.alias(RECORD), REASON)
+
+
+def reject_counts(spark: SparkSession, counts: Observation) -> DataFrame:
+    """(reason, n) of the records that a reader left out, for the ``counts`` it was given.
+
+    They are counted while the records pass, so an action on the whole table, such as its write, has to come first; the
+    files are not read again. A read that an action cuts short, or that is repeated, counts what that action has seen.
+    """
+    found = [(reason, n) for reason, n in counts.get.items() if n and reason != KEPT]
+    return spark.createDataFrame(found, T.StructType().add(REASON, T.StringType()).add("n", T.LongType()))
 
 
 def attribute_schema(spec: EpisodeSpec, value: str) -> T.StructType:
@@ -99,36 +153,55 @@ def attribute_schema(spec: EpisodeSpec, value: str) -> T.StructType:
 
 
 def read_episode_files(
-    spark: SparkSession, folder: str, spec: EpisodeSpec, files: str = EPISODE_FILES, multi_line: bool = True
+    spark: SparkSession,
+    folder: str,
+    spec: EpisodeSpec,
+    files: str = EPISODE_FILES,
+    multi_line: bool = True,
+    order: bool = False,
+    counts: Observation | None = None,
 ) -> DataFrame:
     """All CSV files of a folder whose name matches ``files``, as one table; dates are still text.
 
     The schema is declared, so nothing is scanned to guess types, and headers are checked against it. Fields may hold
     doubled quotes and line breaks in quotes (CRLF there is read as a line feed if lines end with CRLF). A file with such
     breaks cannot be split, so each file is one task; pass ``multi_line=False`` for large files known to hold none.
-    Records that cannot be read are in ``read_rejects``.
+    Records that cannot be read are in ``read_rejects``; an Observation given as ``counts`` counts them on the way (see
+    ``reject_counts``). ``order`` adds the struct ``record_order``, which puts records in the order of file names and, within
+    a file, of lines, however the files are split (see ``first_records``).
     """
-    return _read_csv(spark, folder, spec.text_schema(), multi_line, files=files)
+    return _read_csv(spark, folder, spec.text_schema(), multi_line, files=files, order=order, counts=counts)
 
 
 def read_attribute_file(
-    spark: SparkSession, path: str, spec: EpisodeSpec, value: str, multi_line: bool = True
+    spark: SparkSession,
+    path: str,
+    spec: EpisodeSpec,
+    value: str,
+    multi_line: bool = True,
+    order: bool = False,
+    counts: Observation | None = None,
 ) -> DataFrame:
-    """A CSV file (or folder) of (entity, value) records."""
-    return _read_csv(spark, path, attribute_schema(spec, value), multi_line)
+    """A CSV file (or folder) of (entity, value) records; options as above."""
+    return _read_csv(spark, path, attribute_schema(spec, value), multi_line, order=order, counts=counts)
 
 
-def write_table(df: DataFrame, path: str, form: str = "parquet", mode: str = "errorifexists") -> None:
+def write_table(
+    df: DataFrame, path: str, form: str = "parquet", mode: str = "errorifexists", multi_line: bool = True
+) -> None:
     """Write a dataset as a folder of Parquet or CSV parts.
 
     CSV parts have a header; dates are written as UTC date-times and nulls as ``NA``, which is also what the text "NA" is
-    read as. Other text comes back from ``read_table`` as it was, with quotes, line breaks and padding.
+    read as. Other text comes back from ``read_table`` as it was, with quotes, line breaks and padding. CSV that is written
+    with ``multi_line=False`` holds no line breaks in fields (one there is an error), so it may be read in splits.
     """
     if form == "parquet":
         df.write.mode(mode).parquet(path)
     elif form == "csv":
         days = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DateType)]
         text = df.withColumns({c: F.date_format(c, CSV_DAY) for c in days})
+        if not multi_line:
+            text = text.withColumns({f.name: _one_line(f.name) for f in df.schema.fields if _is_text(f)})
         text.write.mode(mode).csv(
             path,
             header=True,
@@ -142,10 +215,26 @@ def write_table(df: DataFrame, path: str, form: str = "parquet", mode: str = "er
         raise ValueError(f"unknown form {form!r}")
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, form: str = "parquet") -> DataFrame:
-    """Read what ``write_table`` wrote. CSV needs the schema of the written table."""
+def _one_line(name: str) -> Column:
+    error = F.raise_error(F.lit(f"column {name} holds a line break, write it with multi_line=True"))
+    return F.when(F.col(name).rlike(_LINE_BREAK), error.cast("string")).otherwise(F.col(name))
+
+
+def read_table(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    form: str = "parquet",
+    multi_line: bool = True,
+    order: bool = False,
+) -> DataFrame:
+    """Read what ``write_table`` wrote. CSV needs the schema of the written table.
+
+    CSV that was written with ``multi_line=False`` can be read so too; its files then are split over tasks. ``order`` adds
+    ``record_order`` (CSV only).
+    """
     if form == "parquet":
         return spark.read.parquet(path)
     if form != "csv" or schema is None:
         raise ValueError("CSV tables need a schema" if form == "csv" else f"unknown form {form!r}")
-    return _read_csv(spark, path, schema, trim=False)
+    return _read_csv(spark, path, schema, multi_line, trim=False, order=order)

@@ -3,6 +3,8 @@ from __future__ import annotations
 from datetime import date
 
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import types as T
 
 from recurra import (
     EpisodeSpec,
@@ -12,6 +14,7 @@ from recurra import (
     read_episode_files,
     read_rejects,
     read_table,
+    reject_counts,
     write_table,
 )
 from recurra.__main__ import main
@@ -185,3 +188,59 @@ def test_clean_accepts_dates_that_are_parsed_already(spark):
     df = spark.createDataFrame([(1, date(2010, 1, 1), date(2010, 1, 2), "a", "b")],
                                "pers_id bigint, sentence_date date, release_date date, crime_type string, ed_level string")
     assert clean_episodes(df, SPEC).count() == 1
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_tables_of_text_only_can_be_counted(spark, tmp_path, multi_line):
+    (tmp_path / "r.csv").write_text('pers_id,risk\na,b\nc\nd,"x, y"\n,\n')
+    text = EpisodeSpec(entity_type=T.StringType())
+    schema = attribute_schema(text, "risk")
+    rows = [("a", "b"), ("d", "x, y"), (None, None)]
+    for read in (
+        read_attribute_file(spark, str(tmp_path / "r.csv"), text, "risk", multi_line),
+        read_table(spark, str(tmp_path / "r.csv"), schema, "csv", multi_line),
+    ):
+        assert read.count() == 3 and not read.isEmpty()
+        assert sorted(map(tuple, read.collect()), key=str) == sorted(rows, key=str)
+    bad = read_rejects(spark, str(tmp_path / "r.csv"), schema, multi_line)
+    assert bad.count() == 1 and not bad.isEmpty() and tuple(bad.first()) == ("c", "wrong number of fields")
+    (tmp_path / "releases.csv").write_text(HEADER + "\na,b,c,d,e\nf\n")
+    assert read_episode_files(spark, str(tmp_path), text, multi_line=multi_line).count() == 1
+
+
+def test_lines_without_breaks_are_read_in_splits(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text, {i}") for i in range(5000)], "k bigint, text string").coalesce(1)
+    write_table(df, str(tmp_path / "t"), "csv", multi_line=False)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        read = read_table(spark, str(tmp_path / "t"), df.schema, "csv", multi_line=False)
+        assert read.rdd.getNumPartitions() > 3
+        assert sorted(map(tuple, read.collect())) == sorted(map(tuple, df.collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    broken = spark.createDataFrame([("a\nb",)], "text string")
+    with pytest.raises(Exception, match="line break"):
+        write_table(broken, str(tmp_path / "u"), "csv", multi_line=False)
+
+
+def test_values_are_computed_once(spark, tmp_path):
+    df = spark.createDataFrame([(date(2010, 1, 2), 1.5)], "day date, x double")
+    write_table(df, str(tmp_path / "t"), "csv")
+    read = read_table(spark, str(tmp_path / "t"), df.schema, "csv")
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1 and plan.lower().count("as double") == 1
+
+
+def test_rejects_are_counted_while_a_table_is_written(spark, tmp_path):
+    lines = ["pers_id,risk", "1,a", "x,b", "2", "3,c,d", "y,e", "4,"]
+    (tmp_path / "r.csv").write_text("\n".join(lines) + "\n")
+    counts = Observation("rejects")
+    good = read_attribute_file(spark, str(tmp_path / "r.csv"), SPEC, "risk", counts=counts)
+    write_table(good, str(tmp_path / "out"))
+    found = set(map(tuple, reject_counts(spark, counts).collect()))
+    rejects = read_rejects(spark, str(tmp_path / "r.csv"), attribute_schema(SPEC, "risk"))
+    assert found == set(map(tuple, rejects.groupBy("reason").count().collect())) == {
+        ("wrong number of fields", 2),
+        ("pers_id is no bigint", 2),
+    }
+    assert counts.get["kept"] == spark.read.parquet(str(tmp_path / "out")).count() == 2
