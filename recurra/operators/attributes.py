@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,41 @@ def consistent_attribute(df: DataFrame, key: str, value: str) -> DataFrame:
     return seen.where("_values = 1").select(key, value)
 
 
+def first_records(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The first record of every key by the column ``order``, with all other columns; null keys are one key.
+
+    ``order`` may be a struct, such as ``record_order`` of the CSV readers, and should differ from record to record. A key's
+    records are reduced to one by every task before anything is shuffled, however many there are.
+    """
+    rest = [c for c in df.columns if c not in (*keys, order)]
+    if not rest:
+        return df.select(*keys).distinct()
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_first"))
+    return first.select(*[c if c in keys else F.col("_first")[c].alias(c) for c in df.columns if c != order])
+
+
+def consistent_records(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """The first record, with all columns, of every key whose records agree in ``value``.
+
+    Null is a value of its own, as in ``consistent_attribute``. Values agree if they are all null, or if none is and the
+    least is the largest, so one aggregation, combined before its shuffle, finds the keys and their first records.
+    """
+    rest = [c for c in df.columns if c not in (key, order)]
+    seen = df.groupBy(key).agg(
+        F.min_by(F.struct(*rest), order).alias("_first"),
+        F.count(F.lit(1)).alias("_rows"),
+        F.count(value).alias("_known"),
+        (F.min(value) == F.max(value)).alias("_same"),
+    )
+    agree = (F.col("_known") == 0) | ((F.col("_known") == F.col("_rows")) & F.col("_same"))
+    return seen.where(agree).select(*[c if c == key else F.col("_first")[c].alias(c) for c in df.columns if c != order])
+
+
+def add_distinct_values(df: DataFrame, key: str, value: str, name: str = "distinct_values") -> DataFrame:
+    """Every record beside the number of distinct values of its key, null counting as a value."""
+    return join_per_key(df, distinct_values(df, key, value, name), [key])
+
+
 def add_entity_attribute(per_entity: DataFrame, attribute: DataFrame, spec: EpisodeSpec) -> DataFrame:
     """Left join of an attribute table with one row per entity; entities without a record get null.
 

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from recurra.functions.dates import add_years
 from recurra.operators.attributes import add_entity_attribute
 from recurra.operators.ids import ROWS_IN_KEY
+from recurra.operators.reduce import with_keys_of
 from recurra.operators.skew import join_per_key
+from recurra.settings import scratch_table
 from recurra.spec import HORIZONS, INDEX_ROWS, CohortWindow, EpisodeSpec
 
 TIES = ("all", "weighted", "one")
@@ -86,16 +88,22 @@ def start_history(
 
 
 def stacked_start_history(
-    episodes: DataFrame, spec: EpisodeSpec, window: CohortWindow, dims: Sequence[str]
+    episodes: DataFrame, spec: EpisodeSpec, window: CohortWindow, dims: Sequence[str], rows: bool = False
 ) -> DataFrame:
     """The same with the dimensions apart, as (dim, level): rows grow with the sum of levels, not with their product.
 
-    The dimension "all" has the single level null and at most one row per entity and day.
+    The dimension "all" has the single level null and at most one row per entity and day. ``rows`` adds ``index_rows``, the
+    number of rows that end first among those of the day; for that each end is counted before.
     """
     levels = [F.struct(F.lit(ALL).alias("dim"), F.lit(None).cast("string").alias("level"))]
     levels += [F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("level")) for d in dims]
     stacked = episodes.select(spec.entity, spec.start, spec.end, F.inline(F.array(*levels)))
-    days = stacked.groupBy(spec.entity, "dim", "level", spec.start).agg(F.min(spec.end).alias(_DAY_END))
+    key = [spec.entity, "dim", "level", spec.start]
+    if rows:
+        ends = stacked.groupBy(*key, spec.end).agg(F.count(F.lit(1)).alias(INDEX_ROWS))
+        days = ends.groupBy(*key).agg(F.min(spec.end).alias(_DAY_END), F.min_by(INDEX_ROWS, spec.end).alias(INDEX_ROWS))
+    else:
+        days = stacked.groupBy(*key).agg(F.min(spec.end).alias(_DAY_END))
     return _with_first_end(days, spec, window, dims)
 
 
@@ -198,10 +206,15 @@ def cohort_episodes(
 
     An entity may have *k* tied index rows; ``ties="weighted"`` says so with *k* in ``index_rows``. ``"all"`` returns each of
     its episodes *k* times, the product of two row counts; ask for it only where that is wanted.
+
+    The cohort is computed and written first (``remove_tables`` removes it). A filter made from its entities then goes to the
+    scan of the episodes, so that not all of them are shuffled to meet a few entities.
     """
     facts = starts_for(index_starts(episodes, spec, window), spec, ties)
     for attribute in entity_attributes:
         facts = add_entity_attribute(facts, attribute, spec)
+    facts = scratch_table(facts)
+    episodes = with_keys_of(episodes, facts, [spec.entity])
     joined = join_per_key(episodes, facts, [spec.entity], "inner", spec.entity_nullable)
     cut = add_horizons(joined, spec, horizons)
     return repeat_tied(cut) if ties == "all" else cut

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ SPEC = EpisodeSpec(
     attributes=("priority", "segment"),
     entity_nullable=False,
 )
+# The same where the segment is left to be joined later.
+UNSEGMENTED = replace(SPEC, attributes=("priority",))
 YEAR = 1996
 # The cohort year in which index episodes reach every duration band.
 DURATION_YEAR = 1998
@@ -64,9 +68,9 @@ def segmented_episodes(spark: SparkSession, folder: str) -> DataFrame:
     return orders.join(_lines(spark, folder), "orderkey").select(*SPEC.columns)
 
 
-def status_records(spark: SparkSession, folder: str) -> DataFrame:
+def status_records(spark: SparkSession, folder: str, *more: str) -> DataFrame:
     """An attribute that is recorded with every order and may conflict: what the customer's balance says, missing below
-    zero, but WATCH where an urgent order is large.
+    zero, but WATCH where an urgent order is large. ``more`` names columns of the order to be kept.
     """
     orders = table(spark, folder, "orders")
     customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
@@ -74,7 +78,7 @@ def status_records(spark: SparkSession, folder: str) -> DataFrame:
     large = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 400_000)
     status = F.when(large, "WATCH").otherwise(balance)
     joined = orders.join(customers, "o_custkey", "left")
-    return joined.select(F.col("o_custkey").alias("custkey"), status.alias("status"))
+    return joined.select(F.col("o_custkey").alias("custkey"), status.alias("status"), *more)
 
 
 def clean_status(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import replace
+from datetime import date
+
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recurra import operators as ops
@@ -11,25 +14,33 @@ from recurra.orders.episodes import (
     DURATION_YEAR,
     SEGMENTS,
     SPEC,
+    UNSEGMENTED,
     YEAR,
     clean_status,
     order_episodes,
     segmented_episodes,
+    segments,
     status_records,
     study,
     table,
 )
 from recurra.plans import classify_prepared, prepare_cohort, prepared_mix, prepared_rates
-from recurra.settings import new_folder
+from recurra.settings import new_folder, scratch_table
 from recurra.sources import (
     attribute_schema,
     read_attribute_file,
+    read_bucketed,
     read_episode_files,
     read_rejects,
     read_table,
+    read_years,
+    reject_counts,
+    replace_years,
+    write_bucketed,
     write_table,
+    write_years,
 )
-from recurra.spec import BAND_ORDER, DURATION_BANDS, HORIZONS, CohortWindow
+from recurra.spec import BAND_ORDER, COHORT, DURATION_BANDS, HORIZONS, CohortWindow
 
 WINDOW = CohortWindow.of_year(YEAR)
 
@@ -78,8 +89,19 @@ def csv_attribute_file(spark, folder):
 def csv_table(spark, folder):
     path = new_folder(spark, "tables")
     episodes = segmented_episodes(spark, folder)
-    write_table(episodes, path, "csv")
-    return read_table(spark, path, episodes.schema, "csv")
+    write_table(episodes, path, "csv", multi_line=False)
+    return read_table(spark, path, episodes.schema, "csv", multi_line=False)
+
+
+def csv_text_table(spark, folder):
+    """Number of records and of records without a status in a CSV table that holds text only."""
+    path = new_folder(spark, "tables")
+    keys = status_records(spark, folder).select(F.col("custkey").cast("string").alias("custkey"), "status")
+    write_table(keys, path, "csv")
+    read = read_table(spark, path, keys.schema, "csv")
+    # The first count needs no column at all.
+    n = F.lit(read.count()).cast("long").alias("n")
+    return read.agg(F.count_if(F.col("status").isNull()).alias("missing")).select(n, "missing")
 
 
 def csv_quoted_text(spark, folder):
@@ -91,8 +113,8 @@ def csv_quoted_text(spark, folder):
     return read_table(spark, path, documents.schema, "csv")
 
 
-def csv_rejects(spark, folder):
-    """Order records as raw lines of text, some of them broken; what cannot be read comes back with the reason."""
+def _broken_records(spark, folder):
+    """Order records as raw lines of text, some of them broken."""
     path = new_folder(spark, "tables")
     orders = table(spark, folder, "orders")
     key, kind = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 50
@@ -106,7 +128,56 @@ def csv_rejects(spark, folder):
     # Every part needs the header, which the CSV writer puts there; its text goes out unquoted as it is.
     lines = orders.select(line.alias("custkey,status"))
     lines.write.csv(path, header=True, quote="", sep="\x01")
-    return read_rejects(spark, path, attribute_schema(SPEC, "status"))
+    return path
+
+
+def csv_rejects(spark, folder):
+    """What cannot be read comes back with the reason."""
+    return read_rejects(spark, _broken_records(spark, folder), attribute_schema(SPEC, "status"))
+
+
+def counted_rejects(spark, folder):
+    """The same counted by reason while the good records are read and written."""
+    counts = Observation("records")
+    good = read_attribute_file(spark, _broken_records(spark, folder), SPEC, "status", multi_line=False, counts=counts)
+    write_table(good, new_folder(spark, "tables"))
+    return reject_counts(spark, counts)
+
+
+def counted_invalid(spark, folder):
+    """Episodes dropped for their dates, counted by reason while the valid ones are written."""
+    counts = Observation("episodes")
+    write_table(ops.valid_episodes(order_episodes(spark, folder), SPEC, counts), new_folder(spark, "tables"))
+    return reject_counts(spark, counts)
+
+
+def _ordered_records(spark, folder):
+    """Records of orders as CSV parts, the latest order first; of a customer, order, day, priority and status differ."""
+    path = new_folder(spark, "tables")
+    status = status_records(spark, folder, "o_orderkey", "o_orderdate", "o_orderpriority")
+    records = status.select(
+        "custkey",
+        "status",
+        F.col("o_orderkey").alias("orderkey"),
+        F.to_date("o_orderdate").alias("order_date"),
+        F.nullif(F.col("o_orderpriority"), F.lit("4-NOT SPECIFIED")).alias("priority"),
+    )
+    write_table(records.orderBy(F.desc("order_date"), "orderkey"), path, "csv", multi_line=False)
+    return read_table(spark, path, records.schema, "csv", multi_line=False, order=True)
+
+
+def first_order_records(spark, folder):
+    """The first record of every customer in the order of files and lines, with all columns, though records disagree."""
+    return ops.first_records(_ordered_records(spark, folder), ["custkey"], "record_order")
+
+
+def first_consistent_records(spark, folder):
+    """The first record of the customers whose records agree in the status."""
+    return ops.consistent_records(_ordered_records(spark, folder), "custkey", "status", "record_order")
+
+
+def records_with_distinct_status(spark, folder):
+    return ops.add_distinct_values(status_records(spark, folder), "custkey", "status")
 
 
 def sorted_rows(spark, folder):
@@ -211,13 +282,18 @@ def cohort(ties):
     return lambda spark, folder: ops.build_cohort(_valid(spark, folder), SPEC, WINDOW, ties=ties)
 
 
+def _rows_of_cohort(spark, folder, episodes):
+    """Rows of the cohort; the segment is one of the customer and joined to the cohort's customers only."""
+    return ops.cohort_episodes(episodes, SPEC, WINDOW, ties="weighted", entity_attributes=[segments(spark, folder)])
+
+
 def cohort_episodes(spark, folder):
-    return ops.cohort_episodes(_valid_segmented(spark, folder), SPEC, WINDOW, ties="weighted")
+    return _rows_of_cohort(spark, folder, _valid(spark, folder))
 
 
 def _monthly(spark, folder):
     """Valid episodes that end with the month of their ship date, so that many of a customer tie."""
-    ends = segmented_episodes(spark, folder).withColumn("ship_date", F.last_day("ship_date"))
+    ends = order_episodes(spark, folder).withColumn("ship_date", F.last_day("ship_date"))
     return ops.valid_episodes(ends, SPEC)
 
 
@@ -226,11 +302,46 @@ def monthly_cohort(spark, folder):
 
 
 def monthly_cohort_episodes(spark, folder):
-    return ops.cohort_episodes(_monthly(spark, folder), SPEC, WINDOW, ties="weighted")
+    return _rows_of_cohort(spark, folder, _monthly(spark, folder))
 
 
 def prepared_cohort(spark, folder):
-    return prepare_cohort(segmented_episodes(spark, folder), SPEC, WINDOW, ties="weighted")
+    prepared = prepare_cohort(order_episodes(spark, folder), UNSEGMENTED, WINDOW, ties="weighted")
+    return ops.add_episode_attribute(prepared, segments(spark, folder), SPEC)
+
+
+def replaced_year_cohort(spark, folder):
+    """The cohort from a table by end year in which the episodes of one year were replaced by those with a priority."""
+    path = new_folder(spark, "tables")
+    write_years(_valid(spark, folder), path, SPEC)
+    corrected = _valid(spark, folder).where((F.year("ship_date") == YEAR) & F.col("priority").isNotNull())
+    replace_years(corrected, path, SPEC)
+    return ops.build_cohort(read_years(spark, path, last=YEAR), SPEC, WINDOW, ties="weighted")
+
+
+def _merged_state(spark, folder):
+    """State of the episodes file by file, a file being those that end in a year, the last year's first."""
+    valid = _valid(spark, folder)
+    ends = [None, *range(1995, 1999), None]
+    parts = [valid.where(_between(low, high)) for low, high in zip(ends, ends[1:])]
+    state = scratch_table(ops.entity_state(parts[-1], SPEC))
+    for part in parts[:-1]:
+        state = scratch_table(ops.merge_states(state, ops.entity_state(part, SPEC), spec=SPEC))
+    return state
+
+
+def _between(low, high):
+    """End years from ``low`` on and before ``high``; None is no bound."""
+    year = F.year("ship_date")
+    return (F.lit(True) if low is None else year >= low) & (F.lit(True) if high is None else year < high)
+
+
+def merged_state_flags(spark, folder):
+    return ops.flags_of_state(_merged_state(spark, folder), SPEC, WINDOW)
+
+
+def merged_state_cohort(spark, folder):
+    return ops.cohort_of_state(_merged_state(spark, folder), SPEC, WINDOW, ties="weighted")
 
 
 # -- rates and mix ------------------------------------------------------------------------------------------------
@@ -250,18 +361,33 @@ def rates_by_each(spark, folder):
     return ops.in_report_order(rates, "dim", "level")
 
 
+def rates_by_cohort(spark, folder):
+    """Cohorts of four years and their segments in one pass."""
+    window = CohortWindow(date(YEAR - 1, 1, 1), date(YEAR + 2, 12, 31))
+    both = replace(study(spark, folder, segment=True), window=window)
+    return ops.in_report_order(both.rates_by_cohort("segment"), COHORT, "segment")
+
+
+def all_reports(spark, folder):
+    reports = study(spark, folder, DURATION_YEAR, segment=True, status=True)
+    return reports.all_reports("segment", "priority", "status", within="status", of="priority")
+
+
 def status_priority_mix(spark, folder):
     mix = study(spark, folder, status=True).mix("status", "priority")
     return ops.in_report_order(with_automatic_labels(mix, "prop"), "status", "priority")
 
 
+BUCKETS = 8
+
+
 def saved_cohort_rates(spark, folder):
-    """The two-step way: write the cohort and the attribute, read them again, report."""
+    """The two-step way: save the cohort and the attribute in buckets by customer, read them again, report."""
     base = new_folder(spark, "tables")
-    write_table(ops.cohort_episodes(_valid(spark, folder), SPEC, WINDOW, ties="weighted"), f"{base}/cohort")
-    write_table(clean_status(spark, folder), f"{base}/status")
-    saved = classify_prepared(read_table(spark, f"{base}/cohort"), read_table(spark, f"{base}/status"), SPEC)
-    return prepared_rates(saved, SPEC, "priority")
+    write_bucketed(ops.cohort_episodes(_valid(spark, folder), SPEC, WINDOW), f"{base}/cohort", ["custkey"], BUCKETS)
+    write_bucketed(clean_status(spark, folder), f"{base}/status", ["custkey"], BUCKETS)
+    saved, status = read_bucketed(spark, f"{base}/cohort"), read_bucketed(spark, f"{base}/status")
+    return prepared_rates(classify_prepared(saved, status, SPEC, bucketed=True), SPEC, "status")
 
 
 def saved_cohort_mix(spark, folder):
@@ -275,8 +401,11 @@ QUERIES = {
     "csv_episode_files": csv_episode_files,
     "csv_attribute_file": csv_attribute_file,
     "csv_table": csv_table,
+    "csv_text_table": csv_text_table,
     "csv_quoted_text": csv_quoted_text,
     "csv_rejects": csv_rejects,
+    "counted_rejects": counted_rejects,
+    "counted_invalid": counted_invalid,
     "sorted_rows": sorted_rows,
     "parquet_table": parquet_table,
     "parsed_text_dates": parsed_text_dates,
@@ -290,6 +419,9 @@ QUERIES = {
     "consistent_status": clean_status,
     "consistent_return_flag": consistent_return_flag,
     "distinct_priorities": distinct_priorities,
+    "records_with_distinct_status": records_with_distinct_status,
+    "first_order_records": first_order_records,
+    "first_consistent_records": first_consistent_records,
     "cohort_all_ties": cohort("all"),
     "cohort_weighted": cohort("weighted"),
     "cohort_one_start": cohort("one"),
@@ -297,6 +429,9 @@ QUERIES = {
     "monthly_cohort": monthly_cohort,
     "monthly_cohort_episodes": monthly_cohort_episodes,
     "prepared_cohort": prepared_cohort,
+    "replaced_year_cohort": replaced_year_cohort,
+    "merged_state_flags": merged_state_flags,
+    "merged_state_cohort": merged_state_cohort,
     "classified_episodes": lambda spark, folder: study(spark, folder, status=True).classified_episodes("status"),
     "return_flags": lambda spark, folder: study(spark, folder, status=True).flags("status"),
     "rates_overall": lambda spark, folder: study(spark, folder).rates(),
@@ -306,6 +441,8 @@ QUERIES = {
     "rates_by_status": lambda spark, folder: study(spark, folder, status=True).rates("status"),
     "rates_by_duration": rates_by_duration,
     "rates_by_each": rates_by_each,
+    "rates_by_cohort": rates_by_cohort,
+    "all_reports": all_reports,
     "rates_by_priority_long": lambda spark, folder: ops.rates_long(study(spark, folder).rates("priority")),
     "chart_overall": lambda spark, folder: ops.chart_table(study(spark, folder).rates()),
     "chart_by_segment": lambda spark, folder: ops.chart_table(

@@ -46,7 +46,7 @@ def _plus(day: str, n: int) -> str:
     return f"CASE WHEN day({later}) = day({day}) THEN CAST({later} AS DATE) END"
 
 
-def _cohort(year: int, valid: str = _VALID) -> str:
+def _cohort(year: int, valid: str = _VALID, years: int = 1) -> str:
     plus = ",\n         ".join(f"{_plus('f.od', n)} AS original_ship_date_plus_{n}" for n in HORIZONS)
     return f"""{valid},
 firsts AS (SELECT custkey, min(ship_date) AS od FROM valid GROUP BY custkey),
@@ -54,7 +54,7 @@ cohort AS (
   SELECT v.custkey, v.order_date AS original_order_date, f.od AS original_ship_date,
          {plus}
   FROM valid v JOIN firsts f ON f.custkey = v.custkey AND f.od = v.ship_date
-  WHERE year(f.od) = {year}
+  WHERE year(f.od) BETWEEN {year} AND {year + years - 1}
 )"""
 
 
@@ -71,8 +71,8 @@ _CLASS = """
               ELSE 4 END AS years_since_original_release"""
 
 
-def _classified(year: int = YEAR) -> str:
-    return f"""{_cohort(year)},
+def _classified(year: int = YEAR, years: int = 1) -> str:
+    return f"""{_cohort(year, years=years)},
 {_STATUS.strip()},
 classified AS (
   SELECT v.*, {_COHORT_COLUMNS}, s.status, {_CLASS}
@@ -151,6 +151,29 @@ def _each(*dims: str) -> str:
     return " UNION ALL ".join(parts)
 
 
+# Orders as records, of which the latest comes first, and the first of every customer.
+_FIRST_RECORDS = """
+first_records AS (
+  SELECT o_custkey AS custkey, o_orderkey AS orderkey, CAST(o_orderdate AS DATE) AS order_date,
+         nullif(o_orderpriority, '4-NOT SPECIFIED') AS priority,
+         CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice > 400000 THEN 'WATCH'
+              WHEN c_acctbal >= 5000 THEN 'HIGH' WHEN c_acctbal >= 0 THEN 'LOW' END AS status
+  FROM orders LEFT JOIN customer ON c_custkey = o_custkey
+  QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey) = 1
+)"""
+
+_CORRECTED = _EPISODES + f""",
+valid AS (SELECT * FROM episodes WHERE ship_date > order_date AND (year(ship_date) <> {YEAR} OR priority IS NOT NULL))"""
+
+_ALL = f"""
+SELECT 'rates' AS report, dim, level, NULL::VARCHAR AS other_level, NULL::BIGINT AS n, NULL::DOUBLE AS prop,
+       * EXCLUDE (dim, level) FROM ({_each('segment', 'priority', 'status')})
+UNION ALL BY NAME
+SELECT 'duration' AS report, 'bin_time_incarcerated' AS dim, bin_time_incarcerated AS level,
+       * EXCLUDE (bin_time_incarcerated, bin_time_incarcerated_order) FROM ({_DURATION})
+UNION ALL BY NAME
+SELECT 'mix' AS report, 'status' AS dim, status AS level, priority AS other_level, n, prop FROM ({_MIX})"""
+
 _GAP = "(SELECT 100 * min(gap) FROM (SELECT prop - lag(prop) OVER (ORDER BY prop) AS gap FROM (SELECT DISTINCT prop FROM mix)))"
 _AUTOMATIC = "CASE " + " ".join(
     f"WHEN {_GAP} IS NULL OR {_GAP} >= {10.0**-d} * (1 - 1e-9) THEN printf('%.{d}f%%', round_even(prop * 100, {d}))"
@@ -164,6 +187,16 @@ ORACLE = {
     "csv_table": f"WITH {_EPISODES} SELECT * FROM episodes",
     "csv_quoted_text": """
 SELECT doc_id, '  "' || text || '",' || chr(10) || chr(9) AS text, source FROM documents""",
+    "csv_text_table": f"""WITH {_RECORDS}
+SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (status IS NULL) AS BIGINT) AS missing FROM records""",
+    "counted_rejects": """
+SELECT CASE o_orderkey % 50 WHEN 3 THEN 'custkey is no bigint' ELSE 'wrong number of fields' END AS reason,
+       CAST(count(*) AS BIGINT) AS n
+FROM orders WHERE o_orderkey % 50 IN (1, 2, 3) GROUP BY reason""",
+    "counted_invalid": f"""WITH {_EPISODES}
+SELECT CASE WHEN ship_date < order_date THEN 'end before start' WHEN ship_date = order_date THEN 'zero length'
+            ELSE 'missing date' END AS reason, CAST(count(*) AS BIGINT) AS n
+FROM episodes WHERE NOT coalesce(ship_date > order_date, FALSE) GROUP BY reason""",
     "csv_rejects": """
 SELECT CASE o_orderkey % 50 WHEN 1 THEN o_custkey || ',P,extra' WHEN 2 THEN CAST(o_custkey AS VARCHAR)
             ELSE 'c' || o_custkey || ',P' END AS record,
@@ -203,6 +236,14 @@ GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) + max(CASE WHEN l_return
 SELECT custkey,
        CAST(count(DISTINCT priority) + max(CASE WHEN priority IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS distinct_values
 FROM episodes GROUP BY custkey""",
+    "records_with_distinct_status": f"""WITH {_RECORDS}
+SELECT records.*, distinct_values
+FROM records JOIN (
+  SELECT custkey, CAST(count(DISTINCT status) + max(CASE WHEN status IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS distinct_values
+  FROM records GROUP BY custkey) USING (custkey)""",
+    "first_order_records": f"WITH {_FIRST_RECORDS} SELECT * FROM first_records",
+    "first_consistent_records": f"""WITH {_FIRST_RECORDS}, {_STATUS.strip()}
+SELECT * FROM first_records WHERE custkey IN (SELECT custkey FROM clean_status)""",
     "cohort_all_ties": f"WITH {_cohort(YEAR)} SELECT * FROM cohort",
     "cohort_weighted": f"WITH {_cohort(YEAR)} {_WEIGHTED}",
     "cohort_one_start": f"""WITH {_cohort(YEAR)}
@@ -215,6 +256,9 @@ SELECT v.*, w.* EXCLUDE (custkey) FROM valid v JOIN ({_WEIGHTED}) w ON w.custkey
     "prepared_cohort": f"""WITH {_cohort(YEAR)}, numbered AS ({_CASE_IDS.format('priority, segment')})
 SELECT v.*, w.* EXCLUDE (custkey) FROM numbered v JOIN ({_WEIGHTED}) w ON w.custkey = v.custkey
 WHERE v.ship_date > v.order_date""",
+    "replaced_year_cohort": f"WITH {_cohort(YEAR, _CORRECTED)} {_WEIGHTED}",
+    "merged_state_flags": f"WITH {_classified()} SELECT custkey, {_FLAGS} FROM classified GROUP BY custkey",
+    "merged_state_cohort": f"WITH {_cohort(YEAR)} {_WEIGHTED}",
     "classified_episodes": f"""WITH {_cohort(YEAR)}, {_STATUS}, weighted AS ({_WEIGHTED})
 SELECT v.custkey, order_date, ship_date, priority, {_COHORT_COLUMNS}, index_rows, status, {_CLASS}
 FROM valid v JOIN weighted k ON k.custkey = v.custkey
@@ -227,6 +271,10 @@ LEFT JOIN clean_status s ON s.custkey = v.custkey""",
     "rates_by_status": f"WITH {_classified()} {_rates('status')}",
     "rates_by_duration": f"WITH {_classified(DURATION_YEAR)} {_DURATION}",
     "rates_by_each": f"WITH {_classified()} {_each('segment', 'priority', 'status')}",
+    "rates_by_cohort": f"""WITH {_classified(YEAR - 1, 4)}
+SELECT CAST(year(original_ship_date) AS INTEGER) AS cohort, segment, {_RATES}
+FROM (SELECT custkey, original_ship_date, segment, {_FLAGS} FROM classified GROUP BY ALL) GROUP BY cohort, segment""",
+    "all_reports": f"WITH {_classified(DURATION_YEAR)} {_ALL}",
     "rates_by_priority_long": f"{_with_rates('priority')} {_long('rates', 'priority')}",
     "chart_overall": f"{_with_rates(None)} {_long('rates', None, _LABEL)}",
     "chart_by_segment": f"""{_with_rates('segment')}
@@ -235,6 +283,6 @@ FROM ({_long('rates', 'segment', _LABEL)})""",
     "chart_by_status": f"""{_with_rates('status')}
 SELECT * FROM ({_long('rates', 'status', _LABEL)}) WHERE status IS NOT NULL""",
     "status_priority_mix": f"WITH {_classified()}, mix AS ({_MIX}) SELECT *, {_AUTOMATIC} FROM mix",
-    "saved_cohort_rates": f"WITH {_classified()} {_rates('priority')}",
+    "saved_cohort_rates": f"WITH {_classified()} {_rates('status')}",
     "saved_cohort_mix": f"WITH {_classified()} {_MIX}",
 }

@@ -8,13 +8,15 @@ from pyspark.sql import types as T
 
 from recurra.functions.dates import average_months
 from recurra.functions.labels import band, band_order
-from recurra.operators.attributes import add_episode_attribute, consistent_attribute
+from recurra.operators.attributes import add_entity_attribute, add_episode_attribute, consistent_attribute
 from recurra.operators.clean import parse_date_columns, valid_episodes
 from recurra.operators.cohort import add_horizons, index_starts_of_cases, repeat_tied, starts_for
 from recurra.operators.ids import ROWS_IN_KEY, number_keys
 from recurra.operators.mix import category_counts, category_shares
+from recurra.operators.reduce import with_keys_of
 from recurra.operators.returns import classify_return, return_flags, return_rates
 from recurra.operators.skew import join_per_key
+from recurra.settings import scratch_table
 from recurra.spec import (
     BAND,
     BAND_ORDER,
@@ -52,13 +54,16 @@ def prepare_cohort(
     """Raw episodes to the cohort's numbered episodes with index dates and cut points.
 
     Cases are numbered over all raw episodes. A case is an entity with a start and an end, so the numbered cases also tell
-    the index episodes, and only they meet the cohort by entity; the episodes are joined once, by case.
+    the index episodes, and only they meet the cohort by entity; the episodes are joined once, by case. The cohort's cases
+    are written first, and a filter made from their entities keeps the other episodes out of that join's shuffle.
     """
     parsed = parse_date_columns(raw)
     cases = valid_episodes(number_keys(parsed, spec.key), spec)
     starts = starts_for(index_starts_of_cases(cases, spec, window), spec, ties)
     facts = join_per_key(cases.drop(ROWS_IN_KEY), starts, [spec.entity], "inner", spec.entity_nullable)
-    rows = join_per_key(valid_episodes(parsed, spec), facts, spec.key, "inner", spec.entity_nullable)
+    facts = scratch_table(facts)
+    episodes = with_keys_of(valid_episodes(parsed, spec), facts, [spec.entity])
+    rows = join_per_key(episodes, facts, spec.key, "inner", spec.entity_nullable)
     rows = add_horizons(rows, spec, horizons)
     rows = repeat_tied(rows) if ties == "all" else rows
     weight = [INDEX_ROWS] if ties == "weighted" else []
@@ -71,14 +76,20 @@ def prepare_attribute(raw: DataFrame, spec: EpisodeSpec, value: str) -> DataFram
 
 
 def classify_prepared(
-    prepared: DataFrame, attribute: DataFrame, spec: EpisodeSpec, horizons: tuple[int, ...] = HORIZONS
+    prepared: DataFrame,
+    attribute: DataFrame,
+    spec: EpisodeSpec,
+    horizons: tuple[int, ...] = HORIZONS,
+    bucketed: bool = False,
 ) -> DataFrame:
     """Saved prepared episodes with the entity attribute and the return class, ready for the rates below.
 
-    The attribute is joined to every saved row. For a cohort that is still a plan, ``ReturnStudy.classified_episodes`` joins
+    The attribute is joined to every saved row. ``bucketed`` says that both tables are read from buckets by entity
+    (``read_bucketed``): with ``entity_nullable=False`` they meet where they lie, and rates are computed there. For a cohort that is still a plan, ``ReturnStudy.classified_episodes`` joins
     it to the cohort's entities before.
     """
-    joined = add_episode_attribute(prepared, attribute, spec)
+    add = add_entity_attribute if bucketed else add_episode_attribute
+    joined = add(prepared, attribute, spec)
     return classify_return(joined, spec, horizons)
 
 

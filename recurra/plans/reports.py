@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recurra.functions.dates import average_months
@@ -22,9 +22,11 @@ from recurra.operators.returns import (
     stack_attributes,
 )
 from recurra.operators.skew import join_per_key
+from recurra.settings import scratch_table
 from recurra.spec import (
     BAND,
     BAND_ORDER,
+    COHORT,
     DURATION_BANDS,
     HORIZONS,
     INDEX_ROWS,
@@ -146,6 +148,75 @@ class ReturnStudy:
             first = join_per_key(first, table, [entity], "left", self.spec.entity_nullable)
         return self._rates(stack_attributes(first, of_entity, c.ALL), "dim", "level")
 
+    def rates_by_cohort(self, by: str | None = None, cohort: Column | None = None) -> DataFrame:
+        """Return rates of many cohorts in one pass: one row per cohort (and level of an entity attribute ``by``).
+
+        The study's window spans all of them. ``cohort`` is an expression of the first end date, its year unless given, and
+        becomes the column ``cohort``; each entity belongs to one and is followed from its own first end. The window's dates
+        bound the scan as a whole, and days beyond the last horizon of the entity's own cohort are left out before its rows
+        are classified.
+        """
+        if by is not None and by not in self.entity_attributes:
+            raise ValueError(f"{by!r} is no entity attribute")
+        spec = self.spec
+        history = c.start_history(self._decisive(), spec, self.window)
+        reach = F.date_add(F.col(spec.index_end), 366 * max(self.horizons))
+        history = history.where(F.col(spec.start) <= reach)
+        classified = classify_return(c.add_horizons(history, spec, self.horizons), spec, self.horizons)
+        key = F.year(spec.index_end) if cohort is None else cohort
+        first = first_class(classified.withColumn(COHORT, key), [spec.entity, COHORT])
+        dims = [] if by is None else [by]
+        return self._rates(self._with_attributes(first, *dims), COHORT, *dims)
+
+    # -- everything at once ----------------------------------------------------------------------------------------
+
+    def all_reports(self, *dims: str, within: str, of: str, bands: Bands = DURATION_BANDS) -> DataFrame:
+        """All reports as one table, from one scan of the episodes.
+
+        ``report`` says which: "rates" has the overall rates and those by each of ``dims`` as (dim, level), equal to
+        ``rates_by_each``; "duration" the rates by band, equal to ``rates_by_duration``; "mix" the number ``n`` and share
+        ``prop`` of ``other_level`` of the episode attribute ``of`` at each level of the entity attribute ``within``, equal to
+        ``mix``. The day history that all of them group is computed once and written (``remove_tables`` removes it).
+        """
+        spec, entity = self.spec, self.spec.entity
+        of_episode, of_entity = self._split(*dims)
+        if within not in self.entity_attributes or of in self.entity_attributes:
+            raise ValueError("the mix is one of an episode attribute within an entity attribute")
+        needed = [*of_episode, *([of] if of not in of_episode else [])]
+        history = c.stacked_start_history(self.episodes, spec, self.window, needed, rows=True)
+        history = classify_return(c.add_horizons(history, spec, self.horizons), spec, self.horizons)
+        index_day = c.is_index_day(spec)
+        history = scratch_table(history.withColumn("_index_day", index_day))
+        key = [entity, "dim", "level"]
+        first = history.groupBy(*key).agg(
+            F.min(RETURN_CLASS).alias(FIRST_CLASS), F.sum(F.when(F.col("_index_day"), F.col(INDEX_ROWS))).alias(INDEX_ROWS)
+        )
+        for name in dict.fromkeys([*of_entity, within]):
+            first = join_per_key(first, self.entity_attributes[name], [entity], "left", spec.entity_nullable)
+        first = scratch_table(first)
+
+        shown = first.drop(INDEX_ROWS, *([within] if within not in of_entity else []))
+        shown = shown.where(F.col("dim").isin(c.ALL, *of_episode))
+        rates = self._rates(stack_attributes(shown, of_entity, c.ALL), "dim", "level")
+
+        whole = first.where(F.col("dim") == c.ALL).select(entity, FIRST_CLASS, F.col(INDEX_ROWS).alias(c.TIED_ROWS))
+        days = history.where((F.col("dim") == c.ALL) & F.col("_index_day")).select(entity, spec.start, spec.index_end)
+        days = join_per_key(days, whole, [entity], "inner", spec.entity_nullable)
+        months = average_months(F.col(spec.start), F.col(spec.index_end))
+        banded = days.withColumn(MONTHS, months).withColumn("level", band(F.col(MONTHS), bands))
+        duration = self._rates(banded, "level").withColumn("dim", F.lit(BAND))
+
+        levels = first.where((F.col("dim") == of) & F.col(INDEX_ROWS).isNotNull() & F.col(within).isNotNull())
+        levels = join_per_key(levels, whole.drop(FIRST_CLASS), [entity], "inner", spec.entity_nullable)
+        levels = levels.withColumn(INDEX_ROWS, F.col(INDEX_ROWS) * F.col(c.TIED_ROWS))
+        counts = category_counts(levels.withColumnRenamed("level", "other_level"), within, "other_level", INDEX_ROWS)
+        mix = category_shares(counts, within).withColumnRenamed(within, "level").withColumn("dim", F.lit(within))
+
+        parts = [t.withColumn("report", F.lit(n)) for n, t in (("rates", rates), ("duration", duration), ("mix", mix))]
+        stacked = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+        rest = [x for x in stacked.columns if x not in ("report", "dim", "level", "other_level", "n", "prop")]
+        return stacked.select("report", "dim", "level", "other_level", "n", "prop", *rest)
+
     # -- mix -----------------------------------------------------------------------------------------------------
 
     def mix(self, within: str, of: str) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
-# Folders of tables written on the way, by application.
+# Folders of tables written on the way and names given to tables, by application.
 _written: dict[str, list[str]] = {}
+_named: dict[str, list[str]] = {}
 
 
 def _named_folder(spark: SparkSession) -> str | None:
@@ -47,8 +48,15 @@ def scratch_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def note_name(spark: SparkSession, name: str) -> None:
+    """Let ``remove_tables`` forget a table of this session; its files are not its own."""
+    _named.setdefault(spark.sparkContext.applicationId, []).append(name)
+
+
 def remove_tables(spark: SparkSession) -> None:
     """Remove all tables this application wrote on the way. Results that were computed from them must be saved before."""
+    for name in _named.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     for path in _written.pop(spark.sparkContext.applicationId, []):
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

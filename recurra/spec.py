@@ -21,6 +21,8 @@ MONTHS = "time_incarcerated"
 BAND = "bin_time_incarcerated"
 BAND_ORDER = f"{BAND}_order"
 
+COHORT = "cohort"
+
 # Display order of the education levels. The apostrophe that ends the last one is part of the data.
 EDUCATION_LEVELS = (
     "Less than high school",

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections import Counter
+from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from recurra import (
     CohortWindow,
@@ -165,3 +167,44 @@ def test_classified_episodes(case):
     for row in case.study.classified_episodes("risk").select(*columns, "index_rows").collect():
         weighted[tuple(row)[:-1]] += row["index_rows"]
     assert weighted == expected
+
+
+@pytest.mark.parametrize("by", [None, "risk"])
+def test_cohorts_of_all_years_at_once(case, by):
+    years = range(2008, 2014)
+    both = ReturnStudy(case.episodes, SPEC, CohortWindow(date(2008, 1, 1), date(2013, 12, 31)), entity_attributes={"risk": case.risk})
+    found = both.rates_by_cohort(by)
+    names = ["cohort", *([by] if by else [])]
+    rows = {tuple(r[n] for n in names): tuple(r[f"prop_recidivism_year_{n}"] for n in bf.HORIZONS) for r in found.collect()}
+    expected = {}
+    for year in years:
+        prepared = bf.prepared(case.rows, year, case.risks)
+        for level, rates in bf.rates(prepared, ["pers_id", "risk"], lambda k: k["risk"] if by else None).items():
+            expected[(year, level) if by else (year,)] = rates
+    assert rows == expected and len({k[0] for k in rows}) > 2
+
+
+def test_cohorts_by_another_period(case):
+    both = ReturnStudy(case.episodes, SPEC, WINDOW)
+    quarter = F.quarter("original_release_date")
+    found = both.rates_by_cohort(cohort=quarter)
+    whole = both.rates()
+    first = case.study.flags().count()
+    assert {r["cohort"] for r in found.collect()} <= {1, 2, 3, 4}
+    assert found.columns[1:] == whole.columns and first > 0
+    with pytest.raises(ValueError):
+        both.rates_by_cohort("crime_type")
+
+
+def test_all_reports_equal_single_ones(case):
+    both = case.study.all_reports("crime_type", "risk", within="risk", of="ed_level")
+    rates = [c for c in both.columns if c.startswith("prop_")]
+    each = case.study.rates_by_each("crime_type", "risk")
+    assert Counter(both.where("report = 'rates'").select(*each.columns).collect()) == Counter(each.collect())
+    duration = case.study.rates_by_duration().select("bin_time_incarcerated", *rates)
+    assert Counter(map(tuple, both.where("report = 'duration'").select("level", *rates).collect())) == Counter(map(tuple, duration.collect()))
+    mix = case.study.mix("risk", "ed_level").select("risk", "ed_level", "n", "prop")
+    found = both.where("report = 'mix'").select("level", "other_level", "n", "prop")
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, mix.collect())) and mix.count() >= 2
+    with pytest.raises(ValueError):
+        case.study.all_reports("risk", within="crime_type", of="ed_level")
