@@ -27,10 +27,11 @@ _BLOCK = 4 << 20
 _SLICE = 2 << 20
 _GEAR = np.array([xxhash.xxh64_intdigest(bytes([b])) & 0xFFFF for b in range(256)], np.uint16)
 _BOUND = np.uint16(65536 // SPACING)
+_TEXT = ("doc_id", "text_hash")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-CHUNK = "doc_id long, ordinal int, start int, size int, words int, digest long"
+CHUNK = "doc_id long, text_hash long, ordinal int, start int, size int, words int, digest long"
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -106,8 +107,8 @@ def _chunk_rows(batches: Batches) -> Batches:
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids = batch.column(0).to_numpy()
-        for at, raw, edges in _text_slices(batch.column(1)):
+        ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for at, raw, edges in _text_slices(batch.column(2)):
             data = np.frombuffer(raw, np.uint8)
             space = _SPACE[data]
             starts = ~space
@@ -128,6 +129,7 @@ def _chunk_rows(batches: Batches) -> Batches:
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": np.repeat(ids[at : at + len(cuts)], counts),
+                    "text_hash": np.repeat(hashes[at : at + len(cuts)], counts),
                     "ordinal": (np.arange(n) - np.repeat(first, counts)).astype(np.int32),
                     "start": (begins - np.repeat(edges[:-1], counts)).astype(np.int32),
                     "size": (ends - begins).astype(np.int32),
@@ -143,62 +145,79 @@ def chunks(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
 
     Rows without id and empty texts have no chunk.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    named = [F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash")]
+    rows = docs.select(*named, F.col(text).alias("text"))
     return map_arrow(rows.where("doc_id is not null and text != ''"), _chunk_rows, CHUNK)
 
 
 def repeated_passages(
     docs: DataFrame, min_words: int = 30, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row (doc_id, start, end, words, first_doc_id) per passage that other documents hold too.
-
-    start and end are UTF-8 byte positions. Every run of repeated chunks with ``min_words`` has a row. Parts of it that share
-    their first document and have ``min_words`` are rows with that document as first_doc_id, which may be the document itself.
-    Chunks beside them are joined whatever their first documents: those that earlier documents hold to rows with the
-    smallest of these as first_doc_id, then what remains to rows that name the document itself, as no earlier document holds
-    ``min_words`` in a row of it. Less than ``min_words`` beside a row of the same run is left out.
+    """One row (doc_id, text_hash, start, end, words, first_doc_id) per passage that other documents hold too.
+
+    start and end are UTF-8 byte positions. Every run of repeated chunks with ``min_words`` is reported, in one or more rows.
+    Parts of it that share their first document and have ``min_words`` are rows with that document as first_doc_id, which
+    may be the document itself. Chunks beside them that earlier documents hold are joined whatever these are: with
+    ``min_words`` to rows with the smallest of them as first_doc_id, shorter ones to the row before them, or else after them,
+    that an earlier document holds too. What remains is held by no earlier document in ``min_words``; rows that name the
+    document itself show it where it has as many.
     A passage of n words is seen without the few words up to the first and after the last cut in it.
-    Documents that repeat nothing have no row. Rows with equal ids are one document and repeat nothing from each other;
-    rows without id, null and empty texts have no passage. Other columns are ignored; an empty table gives no rows.
+    Documents that repeat nothing have no row. Texts are known by id and text_hash, the XXH64 of the text: each text under an
+    id has rows of its own, equal rows are counted once, and texts with equal ids repeat nothing from each other. Rows without
+    id, null and empty texts have no passage. Other columns are ignored; an empty table gives no rows.
     """
     rows = fixed(chunks(docs, id_column, text))
     ends = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
     repeated = ends.where("first_doc_id != last_doc_id").select(F.col("digest").alias("known"), "first_doc_id")
     found = rows.join(fixed(repeated), F.col("digest") == F.col("known"))
-    found = found.select("doc_id", "ordinal", "start", "size", "words", "first_doc_id")
+    # Copies of a row are counted once, before they meet: one row may stand for a large part of the table.
+    names = ["start", "size", "words", "first_doc_id"]
+    found = found.groupBy(*_TEXT, "ordinal").agg(*[F.first(n).alias(n) for n in names])
 
     def island(*keys: str) -> Column:
-        return F.col("ordinal") - F.dense_rank().over(Window.partitionBy("doc_id", *keys).orderBy("ordinal"))
+        return F.col("ordinal") - F.dense_rank().over(Window.partitionBy(*_TEXT, *keys).orderBy("ordinal"))
 
     def enough(*keys: str) -> Column:
-        return F.sum("words").over(Window.partitionBy("doc_id", *keys)) >= min_words
+        return F.sum("words").over(Window.partitionBy(*_TEXT, *keys)) >= min_words
 
     runs = found.withColumn("run", island()).withColumn("long", enough("run")).where("long")
     parts = runs.withColumn("part", island("first_doc_id")).withColumn("one", enough("first_doc_id", "part"))
     parts = parts.withColumn("early", F.col("first_doc_id") < F.col("doc_id"))
     parts = parts.withColumn("stretch", island("one", "early"))
     parts = parts.withColumn("joined", ~F.col("one") & F.col("early") & enough("one", "early", "stretch"))
-    parts = parts.withColumn("kind", F.when(F.col("one"), F.col("first_doc_id")))
-    pieces = parts.withColumn("piece", island("one", "joined", "kind")).groupBy("doc_id", "one", "joined", "kind", "piece")
+    own = F.struct(F.lit(0).alias("how"), F.col("first_doc_id").alias("of"))
+    shared = F.struct(F.lit(1).alias("how"), F.lit(None).cast("long").alias("of"))
+    parts = parts.withColumn("row", F.when(F.col("one"), own).when(F.col("joined"), shared))
+    # What is too short for a row of its own belongs to the one beside it in the same stretch of earlier documents' chunks.
+    parts = parts.withColumn("reach", island("early"))
+    stretch = Window.partitionBy(*_TEXT, "early", "reach").orderBy("ordinal")
+    before = F.last("row", ignorenulls=True).over(stretch.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("row", ignorenulls=True).over(stretch.rowsBetween(0, Window.unboundedFollowing))
+    parts = parts.withColumn("row", F.when(F.col("early"), F.coalesce(before, after)).otherwise(F.col("row")))
+    pieces = parts.withColumn("piece", island("row")).groupBy(*_TEXT, "row", "piece")
     passages = pieces.agg(
         F.min("start").alias("start"),
         F.max(F.col("start") + F.col("size")).alias("end"),
         F.sum("words").alias("words"),
         F.min("first_doc_id").alias("first"),
     )
-    first = F.when(F.col("one") | F.col("joined"), F.col("first")).otherwise(F.col("doc_id"))
-    passages = passages.where(F.col("words") >= min_words)
-    return passages.select("doc_id", "start", "end", "words", first.alias("first_doc_id"))
+    first = F.when(F.col("row").isNull(), F.col("doc_id")).when(F.col("row.how") == 0, F.col("row.of")).otherwise(F.col("first"))
+    passages = passages.where(F.col("row").isNotNull() | (F.col("words") >= min_words))
+    return passages.select(*_TEXT, "start", "end", "words", first.alias("first_doc_id"))
 
 
 def without_repeats(
     docs: DataFrame, passages: DataFrame, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``docs`` without the passages that an earlier document holds; columns, and rows without such, stay as they are."""
-    later = passages.where("doc_id != first_doc_id").groupBy("doc_id")
+    """``docs`` without the passages that an earlier document holds; columns, and rows without such, stay as they are.
+
+    A passage is cut out of the texts it was found in, known by id and hash, and of all their copies.
+    """
+    later = passages.where("doc_id != first_doc_id").groupBy(*_TEXT)
     spans = later.agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    spans = spans.withColumnRenamed("doc_id", "_doc")
-    met = docs.join(spans, F.col(id_column) == F.col("_doc"), "left").drop("_doc")
+    spans = spans.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
+    same = (F.col(id_column) == F.col("_doc")) & (F.xxhash64(text) == F.col("_hash"))
+    met = docs.join(spans, same, "left").drop("_doc", "_hash")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:

@@ -49,7 +49,7 @@ def op4_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return repeated_passages(table(spark, folder, "documents"))
+    return repeated_passages(table(spark, folder, "documents")).drop("text_hash")
 
 
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
