@@ -226,3 +226,30 @@ def near_duplicates(
     joined = rows.join(named, "fingerprint")
     shown = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
     return joined.select(id_column, shown.alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4
+) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that with the smallest id, and of these the smallest text hash.
+
+    A row is known by its id and the hash of its text, so rows that share an id, or have none, are told apart by their texts;
+    null ids come after all others. Of rows equal in both one stays. Null and empty texts are a group, as in
+    ``near_duplicates``. Columns stay as they are; an empty table gives an empty result.
+    """
+    hashed = F.coalesce(F.xxhash64(text), F.lit(0).cast("long"))
+    row = F.struct(F.col(id_column).isNull().alias("nameless"), F.col(id_column).alias("id"), hashed.alias("hash"))
+    rows = docs.select(row.alias("row"), F.col(text).alias("text"))
+    groups = near_duplicates(rows, "row", "text", shingle, distance)
+    counted = fixed(groups.groupBy("row").agg(F.min("component_id").alias("first"), F.count(F.lit(1)).alias("copies")))
+
+    def named(which: DataFrame) -> DataFrame:
+        return which.select(F.col("row.id").alias("_id"), F.col("row.hash").alias("_hash"))
+
+    same = F.col(id_column).eqNullSafe(F.col("_id")) & (hashed == F.col("_hash"))
+    kept = docs.join(named(counted.where("row != first")), same, "left_anti")
+    again = fixed(named(counted.where("row = first and copies > 1")))
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, same, "left_semi").withColumn("_hash", hashed).dropDuplicates([id_column, "_hash"])
+    return kept.join(again, same, "left_anti").unionByName(once.drop("_hash"))

@@ -68,5 +68,20 @@ def test_odd_rows(spark, documents, name):
     assert found.count() <= 2 * len(rows)
     if name == "simhash_dedup":
         assert sorted(r.doc_id for r in found.collect()) == [1, 2, 5]
+        check_one_of_each_group(spark, documents)
     empty = STAGE[name](spark, documents([]), DATA)
     assert empty.count() == 0
+
+
+def check_one_of_each_group(spark, documents):
+    """Rows are told apart by id and text: unique texts stay under a null id and under an id that others share."""
+    base, other, third = ["".join(f"{w}{i} " for i in range(900)) for w in ("alpha", "beta", "gamma")]
+    near = base.replace("alpha7 ", "changed ")
+    rows = [(1, base), (None, base), (None, other), (3, third), (3, base), (3, near), (7, third + "z"), (7, "unique words of one row")]
+    rows += [(8, "words of a row given twice"), (8, "words of a row given twice"), (None, other)]
+    found = STAGE["simhash_dedup"](spark, documents(rows), DATA)
+    groups = test_simhash.expected([(i, t) for i, (_, t) in enumerate(rows)])
+    assert {c for *_, c in groups} == {0, 2, 3, 7, 8}
+    assert sorted(((r.doc_id, r.text) for r in found.collect()), key=str) == sorted(
+        [(1, base), (None, other), (3, third), (7, "unique words of one row"), (8, "words of a row given twice")], key=str
+    )
