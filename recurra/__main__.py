@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import types as T
 
 from recurra.functions.labels import with_automatic_labels
@@ -25,20 +25,31 @@ from recurra.plans import (
 )
 from recurra.settings import remove_tables, use_local_folder
 from recurra.sources import read_attribute_file, read_episode_files, read_table, write_table
+from recurra.sources.tables import KEPT
 from recurra.spec import BAND, BAND_ORDER, CASE_ID, EDUCATION_LEVELS, RETURN_CLASS, CohortWindow, EpisodeSpec
 
 SPEC = EpisodeSpec()
 RISK = "risk"
 
 
+def _say_left_out(name: str, counts: Observation) -> None:
+    """Print how many records a reader left out, and why."""
+    for reason, n in counts.get.items():
+        if n and reason != KEPT:
+            print(f"{name}: {n} left out, {reason}")
+
+
 def prepare(spark: SparkSession, args: argparse.Namespace) -> None:
-    episodes = read_episode_files(spark, args.episodes, SPEC)
+    seen, seen_risk = Observation("episodes"), Observation(RISK)
+    episodes = read_episode_files(spark, args.episodes, SPEC, counts=seen)
     cohort = prepare_cohort(episodes, SPEC, CohortWindow.of_year(args.year), ties=args.ties)
     if args.sort:
         cohort = in_row_order(cohort, SPEC.entity, CASE_ID)
     write_table(cohort, f"{args.out}/cohort", args.form)
-    risk = prepare_attribute(read_attribute_file(spark, args.risk, SPEC, RISK), SPEC, RISK)
+    risk = prepare_attribute(read_attribute_file(spark, args.risk, SPEC, RISK, counts=seen_risk), SPEC, RISK)
     write_table(risk, f"{args.out}/{RISK}", args.form)
+    _say_left_out("episodes", seen)
+    _say_left_out(RISK, seen_risk)
 
 
 def reports(rows: DataFrame) -> dict[str, DataFrame]:

@@ -150,3 +150,35 @@ def test_all_reports_read_no_episodes_again(spark, study):
 def test_saved_tables_are_not_shuffled_by_customer(spark, study):
     text = plan(QUERIES["saved_cohort_rates"](spark, ORDERS))
     assert "SortMergeJoin" in text and "hashpartitioning(custkey" not in text
+
+
+def shuffled(node) -> list[tuple[str, int]]:
+    """(partitioning, rows written) of the exchanges of a plan that ran."""
+    name = node.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return shuffled(node.executedPlan())
+    if "QueryStage" in name:
+        return shuffled(node.plan())
+    found = []
+    if name == "Exchange":
+        found.append((node.outputPartitioning().toString(), node.metrics().apply("shuffleRecordsWritten").value()))
+    children = node.children()
+    for i in range(children.size()):
+        found += shuffled(children.apply(i))
+    return found
+
+
+@pytest.mark.skipif(not Path(ORDERS).exists(), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["cohort_episodes", "classified_episodes"])
+def test_hardly_more_episodes_are_shuffled_than_the_cohort_has(spark, study, name):
+    folder = "/root/testdata/sf0.01"
+    df = QUERIES[name](spark, folder)
+    rows = len(df.collect())
+    found = shuffled(df._jdf.queryExecution().executedPlan())
+    by_customer = [n for by, n in found if "custkey" in by]
+    whole = QUERIES["parquet_table"](spark, folder).count()
+    # The larger of the two sides is that of the episodes.
+    assert max(by_customer) < 1.05 * rows < whole / 2
+    by_order = [n for by, n in found if "orderkey" in by]
+    orders = spark.read.parquet(f"{folder}/orders.parquet").count()
+    assert min(by_order) < orders / 2

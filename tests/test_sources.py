@@ -91,11 +91,21 @@ def test_unknown_form(spark, tmp_path):
 
 
 @pytest.mark.parametrize("form, ties", [("csv", "all"), ("parquet", "weighted")])
-def test_commands(spark, raw_folder, tmp_path, form, ties):
+def test_commands(spark, raw_folder, tmp_path, form, ties, capsys):
+    with open(raw_folder / "releases_2010.csv", "a", newline="") as file:
+        file.write("5,01jan2009\r\nx,01jan2009,15mar2010,Drug,Some college\r\ny,,,,\r\n")
+    with open(raw_folder / "risk_score.csv", "a") as file:
+        file.write("9\n")
     prepared, out = str(tmp_path / "prepared"), str(tmp_path / "out")
     common = ["--form", form, "--ties", ties]
     risk = str(raw_folder / "risk_score.csv")
     main(["prepare", "--episodes", str(raw_folder), "--risk", risk, "--out", prepared, "--sort", *common])
+    said = capsys.readouterr().out.splitlines()
+    assert sorted(line for line in said if "left out" in line) == [
+        "episodes: 1 left out, wrong number of fields",
+        "episodes: 2 left out, pers_id is no bigint",
+        "risk: 1 left out, wrong number of fields",
+    ]
     main(["report", "--prepared", prepared, "--out", out, *common])
 
     def rows(name):
