@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,43 @@ def fixed(df: DataFrame) -> DataFrame:
     return scratch_table(df)
 
 
+# What workers keep from task to task, with the modules whose functions use it.
+_KEPT: list[tuple[Callable, tuple[str, ...]]] = []
+
+
+def kept_by(*modules: str) -> Callable[[Callable], Callable]:
+    """Decorate a function so that a worker keeps its last results until it runs a function of another module."""
+
+    def decorate(function: Callable) -> Callable:
+        cached = lru_cache(maxsize=2)(function)
+        _KEPT.append((cached, modules))
+        return cached
+
+    return decorate
+
+
+def release_memory() -> None:
+    """Give unused memory of this process back: Spark's workers live as long as the session and run every stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        # Other C libraries give it back by themselves, or not at all.
+        pass
+
+
+def _run(function: Callable[[Batches], Batches], batches: Batches) -> Batches:
+    for cached, modules in _KEPT:
+        if function.__module__ not in modules:
+            cached.cache_clear()
+    yield from function(batches)
+    release_memory()
+
+
 def map_arrow(df: DataFrame, function: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
-    return df.mapInArrow(function, schema)
+    """``mapInArrow`` that drops what other modules' functions left in the worker, and gives memory back at the end."""
+    return df.mapInArrow(lambda batches: _run(function, batches), schema)
 
 
 def words(text: str | None) -> list[bytes]:

@@ -10,7 +10,6 @@ may call home: about 14 of 131,072 in a part of 21 bits. Each anchor compares th
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recurra.llm.common import Batches, fixed, map_arrow, spanning_forest, whole_groups, words
+from recurra.llm.common import Batches, fixed, kept_by, map_arrow, spanning_forest, whole_groups, words
 from recurra.llm.graph import components
 
 BITS = 64
@@ -71,7 +70,7 @@ def parts_of(distance: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-@lru_cache(maxsize=1)
+@kept_by("recurra.llm.simhash")
 def _decoded() -> np.ndarray:
     """The nearest codeword of the Hamming code of length 15 for each of its 32,768 words."""
     values = np.arange(1 << _CODE_BITS, dtype=np.int64)

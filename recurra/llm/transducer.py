@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from ast import literal_eval
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from recurra.llm.common import Batches, fixed, map_arrow
+from recurra.llm.common import Batches, fixed, kept_by, map_arrow
 from recurra.settings import new_folder, use_local_folder
 
 SPACE = "▁"
@@ -258,7 +257,7 @@ class Transducer:
         return now
 
 
-@lru_cache(maxsize=1)
+@kept_by("recurra.llm.transducer")
 def transducer(path: str) -> Transducer:
     """One per process, which Spark's Python workers keep from task to task."""
     return Transducer(*read_pieces(path))
