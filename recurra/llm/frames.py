@@ -104,7 +104,8 @@ def write_tokens(
 ) -> DataFrame:
     """Encode every text, write files in ascending order of the id, return their manifest (``MANIFEST``).
 
-    Null and empty texts have the end id alone. Null ids come first; rows with equal ids follow each other in any order.
+    Null and empty texts have the end id alone. Null ids come first; rows with equal ids follow each other in the order of
+    their texts' hashes, equal texts in any order. Ids that many rows share are dealt to several files like others.
     Other columns are ignored; an empty table gives no file. A task that runs again writes a file of another name; only
     files of tasks that succeeded are in the manifest, which is written as a table.
     """
@@ -139,9 +140,10 @@ def write_tokens(
                 }
             )
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text)
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return fixed(map_arrow(dealt, run, MANIFEST))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "spread": F.monotonically_increasing_id()})
+    dealt = rows.repartitionByRange("doc_id", "hash", "spread").sortWithinPartitions("doc_id", "hash")
+    return fixed(map_arrow(dealt.select("doc_id", "text"), run, MANIFEST))
 
 
 def token_index(manifest: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from recurra.llm.common import Batches, fixed, map_arrow
 from recurra.llm.encode import encoder
 
 _ROUNDS = 256
+_BLOCKS = 4096
 # The counters of so many queues and batches are broadcast; more are joined by shuffling.
 BROADCAST_COUNTERS = 500_000
 _PACKET = "batch long, source string, doc_id long, start long, before long, n long, doc_tokens long, ids binary"
@@ -100,6 +101,16 @@ def _widen(pieces: DataFrame, kind: np.dtype) -> DataFrame:
     return map_arrow(pieces, run, pieces.schema)
 
 
+def _first_places(blocks: DataFrame) -> DataFrame:
+    """(block, first): the ids in all blocks before. One row per ``_BLOCKS`` blocks meets in one task, the others don't."""
+    grouped = blocks.withColumn("group", F.floor(F.col("block") / _BLOCKS))
+    inside = F.sum("n").over(Window.partitionBy("group").orderBy("block")) - F.col("n")
+    totals = grouped.groupBy("group").agg(F.sum("n").alias("all"))
+    outside = totals.select("group", (F.sum("all").over(Window.orderBy("group")) - F.col("all")).alias("outside"))
+    placed = grouped.withColumn("inside", inside).join(outside, "group")
+    return placed.select("block", (F.col("inside") + F.col("outside")).alias("first"))
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -141,8 +152,7 @@ def pack(
         quanta, (F.col("batch") == F.col("q_batch")) & F.col("source").eqNullSafe(F.col("q_source"))
     )
     blocks = slim.groupBy(F.floor(turn / _ROUNDS).alias("block")).agg(F.sum("n").alias("n"))
-    first = F.sum("n").over(Window.orderBy("block")) - F.col("n")
-    blocks = fixed(blocks.select("block", first.alias("first")))
+    blocks = fixed(_first_places(fixed(blocks)))
     placed = placed.join(blocks, "block").withColumn("place", F.col("place") + F.col("first"))
 
     size = F.lit(window).cast("long")

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import io
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -148,3 +148,75 @@ def test_packing_of_empty_table_and_repeated_ids(spark, documents):
     assert pack(documents([]), tokenizer_file()).count() == 0
     twice = pack(documents([(1, "one two"), (1, "one two"), (None, "x")]), tokenizer_file())
     assert sorted((r.doc_id or -1, r.length) for r in twice.collect()) == [(-1, 2), (1, 3), (1, 3)]
+
+
+def test_the_word_table_forgets_and_finds():
+    import numpy as np
+
+    from recurra.llm.encode import WordTable
+
+    rng = np.random.default_rng(2)
+    table, words = WordTable(300, np.uint16), {}
+    for _ in range(40):
+        hashes = np.unique(rng.integers(0, 2000, 60)).astype(np.uint64)
+        table.forget()
+        places = table.find(hashes)
+        table.again[places[places >= 0]] = True
+        new = hashes[places < 0]
+        made = [rng.integers(0, 49_000, rng.integers(0, 5)) for _ in new]
+        words |= dict(zip(new.tolist(), made))
+        table.add(new, np.array([len(m) for m in made], np.int32), np.concatenate([np.zeros(0, int), *made]))
+        assert len(table.hashes) <= 360 and (np.diff(table.hashes.astype(np.int64)) > 0).all()
+        known = hashes[table.find(hashes) >= 0]
+        ends, ids = table.take(table.find(known))
+        assert [a.tolist() for a in np.split(ids, ends[:-1])] == [words[h].tolist() for h in known.tolist()]
+        assert set(new.tolist()) <= set(known.tolist())
+
+
+def test_ids_do_not_depend_on_the_words_remembered(some_texts):
+    import pyarrow as pa
+
+    from recurra.llm import encode
+    from recurra.llm.encode import WordTable, tokenizer_file
+
+    maker = encode.Encoder(tokenizer_file(), 2)
+    maker._words = WordTable(50, maker._words.kind)
+    found = {}
+    for _ in range(2):
+        for at in range(0, len(some_texts), 7):
+            for first, edges, ids in maker.encode(pa.array(some_texts[at : at + 7], pa.string())):
+                for i, (a, b) in enumerate(zip(edges, edges[1:])):
+                    found.setdefault(at + first + i, []).append(ids[a:b].tolist())
+    expected = plain_ids(some_texts)
+    assert all(len(v) == 2 and v[0] == v[1] for v in found.values())
+    assert [found[i][0] for i in range(len(some_texts))] == [list(e) for e in expected]
+
+
+def test_one_id_on_a_third_of_the_rows_is_dealt_to_several_files(spark, documents, some_texts, tmp_path):
+    rows = [(i, t) for i, t in enumerate(some_texts[:40])] + [(20, some_texts[i % 40]) for i in range(15)] + [(20, some_texts[3])] * 400
+    # Files this small would be made one by adaptive execution.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = write_tokens(documents(rows).repartition(6), f"{tmp_path}/files", tokenizer_file())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = manifest.collect()
+    assert len(files) > 4 and max(f.n_docs for f in files) < 300
+    found = read_tokens(token_index(manifest)).collect()
+    ids = plain_ids([t for _, t in rows])
+    assert Counter((r.doc_id, bytes(r.ids)) for r in found) == Counter(
+        (i, np.array(own, "<u4").tobytes()) for (i, _), own in zip(rows, ids)
+    )
+    ordered = sorted(found, key=lambda r: r.start)
+    assert [r.doc_id for r in ordered] == sorted(i for i, _ in rows)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(ordered, ordered[1:]))
+
+
+def test_first_places_of_blocks(spark, monkeypatch):
+    from recurra.llm import packing
+
+    monkeypatch.setattr(packing, "_BLOCKS", 5)
+    sizes = {b: (b * 37) % 11 + 1 for b in range(0, 60) if b % 7}
+    blocks = spark.createDataFrame(list(sizes.items()), "block long, n long")
+    found = {r["block"]: r["first"] for r in packing._first_places(blocks).collect()}
+    assert found == {b: sum(n for a, n in sizes.items() if a < b) for b in sizes}
