@@ -2,11 +2,14 @@
 
 log P(text) is the sum over its tokens of log P(class | class before) + log P(token | class).
 
-Words are clustered as units: every word with a share of at least 1/2048 of the training tokens is a unit of its own, all
-other words fall into units by a hash of their last three bytes, so that rare and unknown words have classes too. Units are
-bounded in number, and so is the table of unit bigrams, which Spark counts over the whole training text; exchange
-clustering then moves units between classes as long as the likelihood of the bigrams grows. Emissions are counts of all
-words. A word's count reaches the documents in two ways: words with at least a millionth of the tokens, of which there are
+Clustering has two steps. The most frequent words, those with at least 1/2048 of the training tokens, are units of their own
+beside units of all other words by a hash of their last three bytes; units are bounded in number, and so is the table of
+their bigrams, which Spark counts over the whole training text, so exchange clustering can move one unit after the other
+as long as the likelihood of the bigrams grows. Then every word with at least 2**-18 of the tokens, of which there are at
+most 2**18, becomes a unit, in the class of its former unit. Batch exchange passes over the whole text count the classes
+before and after each of them, in Spark, and move all of them at once to the class that fits these best; a pass that lowers
+the likelihood is undone. Rarer and unknown words keep the class of their last bytes. Emissions are counts of all words.
+A word's count reaches the documents in two ways: words with at least a millionth of the tokens, of which there are
 at most 2**20, are broadcast, all others are joined. Words are known by their 64-bit XXH64.
 """
 
@@ -23,13 +26,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recurra.llm.common import Batches, fixed, map_arrow
+from recurra.llm.common import Batches, fixed, map_arrow, whole_groups
 
 CLASSES = 64
 PASSES = 6
 # A word with this share of the training tokens is a unit; other words share so many units.
 UNIT_SHARE = 1 / 2048
 GROUPS = 512
+# After these the words with this share, 2**18 at most, are units too, and move in batch passes.
+CLUSTER_SHARE = 1 / (1 << 18)
+BATCH_PASSES = 2
+_SMOOTH = 0.5
 # A word with this share is broadcast with its count: 2**20 words at most.
 BROADCAST_SHARE = 1 / (1 << 20)
 FOLDS, HELD_OUT = 5, 1
@@ -216,6 +223,103 @@ def exchange(bigrams: np.ndarray, n: int = CLASSES, passes: int = PASSES) -> np.
     return classes
 
 
+def _neighbours(texts: DataFrame, units: _Units, classes: np.ndarray, n: int, of_words: bool) -> DataFrame:
+    """(unit, slot, n): how often a class stands behind a word (slot) or before it (slot - n); unit -1 has class bigrams.
+
+    Groups and the end are no words here; without ``of_words`` there are class bigrams only.
+    """
+    words, width = len(units.own), 2 * n
+
+    def run(batches: Batches) -> Batches:
+        cells = np.zeros(words * width if of_words else 0, np.int32)
+        table = np.zeros(n * n, np.int64)
+        for batch in batches:
+            for s in _slices(batch.column(0)):
+                before, unit, _ = units.path(s)
+                left, right = classes[before], classes[unit]
+                table += np.bincount(left * n + right, minlength=n * n)
+                if of_words:
+                    own = (before > END) & (before <= words)
+                    held = [(before[own] - 1) * width + right[own]]
+                    own = (unit > END) & (unit <= words)
+                    held.append((unit[own] - 1) * width + n + left[own])
+                    found, times = np.unique(np.concatenate(held), return_counts=True)
+                    cells[found] += times.astype(np.int32)
+        for first, counts in ((-n * n, table), (0, cells)):
+            cell = np.flatnonzero(counts)
+            arrays = [pa.array(cell + first), pa.array(counts[cell].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["cell", "n"])
+
+    return map_arrow(texts, run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def _class_table(cells: DataFrame, n: int) -> np.ndarray:
+    table = np.zeros(n * n)
+    for r in cells.where("cell < 0").collect():
+        table[r["cell"] + n * n] = r["n"]
+    return table.reshape(n, n)
+
+
+def _table_likelihood(table: np.ndarray) -> float:
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+
+
+def best_classes(behind: np.ndarray, before: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class whose row and column of the table fit each word's counts of classes behind and before it best.
+
+    To the first order this is the change of the likelihood as the word's counts join the class; class 0 is the end's alone,
+    and ties go to the first class.
+    """
+    smooth = table + _SMOOTH
+    follow = np.log(smooth) - np.log(smooth.sum(1, keepdims=True))
+    lead = np.log(smooth) - np.log(smooth.sum(0, keepdims=True))
+    fit = behind @ follow.T + before @ lead
+    fit[:, 0] = -np.inf
+    return np.argmax(fit, axis=1)
+
+
+def _moves(cells: DataFrame, table: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words (numbers from 0) with counts and their best classes; each word's cells meet in one task, 2n at most."""
+    width = 2 * n
+
+    def run(batches: Batches) -> Batches:
+        for group in whole_groups(batches, "word"):
+            word, at = np.unique(group.column("word").to_numpy(), return_inverse=True)
+            counts = np.zeros((len(word), width))
+            counts[at, group.column("slot").to_numpy()] = group.column("n").to_numpy()
+            best = best_classes(counts[:, :n], counts[:, n:], table)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(best)], names=["word", "class"])
+
+    own = cells.where("cell >= 0")
+    own = own.select(F.floor(F.col("cell") / width).alias("word"), F.pmod("cell", F.lit(width)).cast("long").alias("slot"), "n")
+    dealt = own.repartition("word").sortWithinPartitions("word")
+    found = map_arrow(dealt, run, "word long, class long").toPandas()
+    return found["word"].to_numpy(np.int64), found["class"].to_numpy(np.int64)
+
+
+def exchange_words(
+    texts: DataFrame, units: _Units, classes: np.ndarray, table: np.ndarray, passes: int = BATCH_PASSES
+) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all units, and the table of class bigrams, after batch passes that move every word at once.
+
+    ``table`` belongs to ``classes``. A pass after which the likelihood is lower is undone and is the last.
+    """
+    n = len(table)
+    if not len(units.own) or not passes:
+        return classes, table
+    cells = fixed(_neighbours(texts, units, classes, n, True))
+    for number in range(passes):
+        word, best = _moves(cells, table, n)
+        moved = classes.copy()
+        moved[1 + word] = best
+        cells = fixed(_neighbours(texts, units, moved, n, number + 1 < passes))
+        after = _class_table(cells, n)
+        if _table_likelihood(after) <= _table_likelihood(table):
+            break
+        classes, table = moved, after
+    return classes, table
+
+
 @dataclass
 class ClassModel:
     units: _Units
@@ -236,10 +340,14 @@ def fit(texts: DataFrame, vocabulary: DataFrame, classes: int = CLASSES) -> Clas
     common = vocabulary.where(F.col("n") >= tokens * BROADCAST_SHARE).select("hash", "grp", "n").toPandas()
     common = common.sort_values("hash", ignore_index=True)
     hashes, counts = common["hash"].to_numpy(np.int64), common["n"].to_numpy(np.int64)
-    own = counts >= tokens * UNIT_SHARE
+    few = _Units(hashes[counts >= tokens * UNIT_SHARE])
+    bigrams = _count_bigrams(texts, few)
+    seeds = exchange(bigrams, classes)
+    own = counts >= tokens * max(CLUSTER_SHARE, BROADCAST_SHARE)
     units = _Units(hashes[own])
-    bigrams = _count_bigrams(texts, units)
-    found = exchange(bigrams, classes)
+    start = few.of(hashes[own], common["grp"].to_numpy(np.int64)[own])
+    found = np.concatenate([seeds[:1], seeds[start], seeds[1 + len(few.own) :]])
+    found, table = exchange_words(texts, units, found, _by_class(bigrams, seeds, classes))
 
     # Different words of each class: those of the groups, less the words that are units of their own.
     per_group = np.zeros(GROUPS)
@@ -247,7 +355,6 @@ def fit(texts: DataFrame, vocabulary: DataFrame, classes: int = CLASSES) -> Clas
         per_group[r["grp"]] = r["count"]
     np.subtract.at(per_group, common["grp"].to_numpy(np.int64)[own], 1)
     types = np.concatenate([[ends > 0], np.ones(own.sum()), per_group])
-    table = _by_class(bigrams, found, classes)
     of_class, types = table.sum(0), np.bincount(found, types, classes)
     share = (of_class + 1) / (of_class.sum() + classes)
     step = (table + _TRANSITION * share) / (table.sum(1, keepdims=True) + _TRANSITION)

@@ -136,6 +136,57 @@ def test_query_beats_single_words_on_held_out_texts(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def class_table(texts, classes_of, n):
+    table = np.zeros((n, n))
+    for text in texts:
+        own = [None, *tokens(text)]
+        for a, b in zip(own, own[1:]):
+            table[classes_of(a), classes_of(b)] += 1
+    return table
+
+
+def test_batch_passes_never_lower_the_likelihood(spark, monkeypatch):
+    """Words of two kinds take turns; few of them are seeds, the others are put to a class by chance and find their own."""
+    rng = np.random.default_rng(4)
+    kinds = [[f"{c}{i:03d}{rng.integers(100, 999)}" for i in range(150)] for c in "ab"]
+    texts = [" ".join(kinds[i % 2][rng.integers(0, 150)] for i in range(60)) for _ in range(300)]
+    monkeypatch.setattr(brown, "UNIT_SHARE", 1 / 290)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    vocabulary = count_words(df).cache()
+    last = -np.inf
+    for passes in (0, 1, 2, 3):
+        monkeypatch.setattr(brown.exchange_words, "__defaults__", (passes,))
+        model = fit(df, vocabulary, 3)
+        hashes = {w: np.array([xxhash.xxh64_intdigest(w.encode(), 42)], np.uint64).view(np.int64) for k in kinds for w in k}
+
+        def class_of(t):
+            if t is None:
+                return int(model.classes[0])
+            group = np.array([xxhash.xxh32_intdigest(t.encode()[-3:]) % brown.GROUPS])
+            return int(model.classes[model.units.of(hashes[t], group)[0]])
+
+        now = brown._table_likelihood(class_table(texts, class_of, 3))
+        assert now >= last - 1e-6
+        last = now
+    assert model.units.size - brown.GROUPS > 290
+    for kind in kinds:
+        own = np.array([class_of(w) for w in kind])
+        assert (own == np.bincount(own).argmax()).mean() > 0.95
+
+
+def test_best_classes_by_definition():
+    rng = np.random.default_rng(6)
+    behind, before, table = rng.integers(0, 9, (20, 5)), rng.integers(0, 9, (20, 5)), rng.integers(0, 50, (5, 5)).astype(float)
+    found = brown.best_classes(behind, before, table)
+    t = table + 0.5
+    for word in range(20):
+        fit_of = [-math.inf]
+        for c in range(1, 5):
+            one = sum(behind[word, d] * math.log(t[c, d] / t[c].sum()) for d in range(5))
+            fit_of.append(one + sum(before[word, d] * math.log(t[d, c] / t[:, c].sum()) for d in range(5)))
+        assert found[word] == int(np.argmax(fit_of))
+
+
 def test_empty_tables(spark, documents):
     assert scores(documents([])).count() == 0
     one = scores(documents([(1, None)])).first()
