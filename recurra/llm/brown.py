@@ -11,6 +11,8 @@ before and after each of them, in Spark, and move all of them at once to the cla
 the likelihood is undone. Rarer and unknown words keep the class of their last bytes. Emissions are counts of all words.
 A word's count reaches the documents in two ways: words with at least a millionth of the tokens, of which there are
 at most 2**20, are broadcast, all others are joined. Words are known by their 64-bit XXH64.
+
+Texts are cut into words twice: to count these, and to write every text as its unit numbers, which all passes read.
 """
 
 from __future__ import annotations
@@ -42,12 +44,13 @@ BROADCAST_SHARE = 1 / (1 << 20)
 FOLDS, HELD_OUT = 5, 1
 _TRANSITION = 10.0
 _SLICE_BYTES = 4 << 20
+_SLICE_UNITS = 1 << 20
 _MERGE = 1_000_000
 END = 0
 
-ROW = (
-    "row long, doc_id long, held_out boolean, n_tokens long, n_known long, counted double, path double, "
-    "rare array<long>, times array<int>"
+CODED = (
+    "row long, doc_id long, held_out boolean, n_tokens long, n_known long, counted double, "
+    "rare array<long>, times array<int>, units array<int>"
 )
 
 
@@ -72,19 +75,26 @@ def _slices(column: pa.Array) -> Iterator[_Slice]:
         coded = split.flatten().dictionary_encode()
         word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         edges = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
-        different = coded.dictionary.cast(pa.binary()).to_pylist()
-        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in different], np.uint64).view(np.int64)
-        groups = np.array([xxhash.xxh32_intdigest(w[-3:]) % GROUPS for w in different], np.int64)
+        different = coded.dictionary.cast(pa.binary())
+        each = different.to_numpy(zero_copy_only=False)
+        hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in each], np.uint64).view(np.int64)
         # White space at the ends of a text makes empty words, which don't count.
-        empty = np.array([not w for w in different], bool)
+        empty = pc.binary_length(different).to_numpy() == 0
         if empty.any():
             real = ~empty[word]
             edges = np.concatenate([[0], np.cumsum(real)])[edges]
             word = word[real]
-        yield _Slice(at, edges, word, hashes, groups)
+        yield _Slice(at, edges, word, hashes, _groups(different))
         at = to
 
 
+def _groups(words: pa.Array) -> np.ndarray:
+    """The groups of words by their last three bytes; each different ending is hashed once."""
+    coded = pc.binary_slice(words, -3).dictionary_encode()
+    of_ending = np.array([xxhash.xxh32_intdigest(w) % GROUPS for w in coded.dictionary.to_pylist()], np.int64)
+    return of_ending[coded.indices.to_numpy()]
+
+
 def _sum_by(keys: np.ndarray, values: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     unique, first, at = np.unique(keys, return_index=True, return_inverse=True)
     return unique, np.bincount(at, values, len(unique)).astype(np.int64), extra[first]
@@ -94,7 +104,11 @@ def count_words(texts: DataFrame) -> DataFrame:
     """(hash, grp, n) for every different word; ``texts`` has one column."""
 
     def run(batches: Batches) -> Batches:
-        held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+        none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+        held, size = [none], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return _sum_by(*(np.concatenate(x) for x in zip(*held)))
 
         def out(sums) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in sums], names=["hash", "n", "grp"])
@@ -103,11 +117,15 @@ def count_words(texts: DataFrame) -> DataFrame:
             for s in _slices(batch.column(0)):
                 n = np.bincount(s.word, minlength=len(s.hashes))
                 some = n > 0
-                held = _sum_by(*(np.concatenate(x) for x in zip(held, (s.hashes[some], n[some], s.groups[some]))))
-                if len(held[0]) >= _MERGE:
-                    yield out(held)
-                    held = tuple(x[:0] for x in held)
-        yield out(held)
+                held.append((s.hashes[some], n[some], s.groups[some]))
+                size += int(some.sum())
+                if size >= _MERGE:
+                    held = [merged()]
+                    if len(held[0][0]) >= _MERGE // 2:
+                        yield out(held[0])
+                        held = [none]
+                    size = len(held[0][0])
+        yield out(merged())
 
     counted = map_arrow(texts, run, "hash long, n long, grp long")
     return counted.groupBy("hash").agg(F.min("grp").alias("grp"), F.sum("n").alias("n"))
@@ -127,32 +145,44 @@ class _Units:
             units = np.where(self.own[at] == hashes, 1 + at, units)
         return units
 
-    def path(self, s: _Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(unit before, unit, text) of every token, END behind each text and before its first word."""
-        units = np.insert(self.of(s.hashes, s.groups)[s.word], s.edges[1:], END)
-        n = np.diff(s.edges) + 1
-        before = np.empty_like(units)
-        before[1:] = units[:-1]
-        before[np.cumsum(n) - n] = END
-        return before, units, np.repeat(np.arange(len(n)), n)
+    def coded(self, s: _Slice) -> np.ndarray:
+        """The unit of every token, END behind each text."""
+        return np.insert(self.of(s.hashes, s.groups)[s.word], s.edges[1:], END)
 
 
-def _count_bigrams(texts: DataFrame, units: _Units) -> np.ndarray:
-    """Bigrams of units over all texts, as a matrix of bounded size."""
+def _paths(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, unit before, unit, places of the texts) of a column of coded texts, about a million tokens at a time.
+
+    Every text ends with END, so END also stands before the first token of each.
+    """
+    edges = column.offsets.to_numpy().astype(np.int64)
+    units = column.values.to_numpy()
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + _SLICE_UNITS, "right")) - 1)
+        unit = units[edges[at] : edges[to]].astype(np.int64)
+        before = np.empty_like(unit)
+        before[1:] = unit[:-1]
+        before[:1] = END
+        yield at, before, unit, edges[at : to + 1] - edges[at]
+        at = to
+
+
+def _count_bigrams(coded: DataFrame, coarse: np.ndarray, size: int) -> np.ndarray:
+    """Bigrams over all coded texts, as a matrix of bounded size; ``coarse`` names the row of every unit."""
 
     def run(batches: Batches) -> Batches:
-        total = np.zeros(units.size**2, np.int64)
+        total = np.zeros(size**2, np.int64)
         for batch in batches:
-            for s in _slices(batch.column(0)):
-                before, unit, _ = units.path(s)
-                total += np.bincount(before * units.size + unit, minlength=units.size**2)
+            for _, before, unit, _ in _paths(batch.column(0)):
+                total += np.bincount(coarse[before] * size + coarse[unit], minlength=size**2)
         pair = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], names=["pair", "n"])
 
-    sums = map_arrow(texts, run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    matrix = np.zeros(units.size**2)
+    sums = map_arrow(coded, run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    matrix = np.zeros(size**2)
     matrix[sums["pair"].to_numpy(np.int64)] = sums["n"].to_numpy(np.float64)
-    return matrix.reshape(units.size, units.size)
+    return matrix.reshape(size, size)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -223,7 +253,7 @@ def exchange(bigrams: np.ndarray, n: int = CLASSES, passes: int = PASSES) -> np.
     return classes
 
 
-def _neighbours(texts: DataFrame, units: _Units, classes: np.ndarray, n: int, of_words: bool) -> DataFrame:
+def _neighbours(coded: DataFrame, units: _Units, classes: np.ndarray, n: int, of_words: bool) -> DataFrame:
     """(unit, slot, n): how often a class stands behind a word (slot) or before it (slot - n); unit -1 has class bigrams.
 
     Groups and the end are no words here; without ``of_words`` there are class bigrams only.
@@ -234,8 +264,7 @@ def _neighbours(texts: DataFrame, units: _Units, classes: np.ndarray, n: int, of
         cells = np.zeros(words * width if of_words else 0, np.int32)
         table = np.zeros(n * n, np.int64)
         for batch in batches:
-            for s in _slices(batch.column(0)):
-                before, unit, _ = units.path(s)
+            for _, before, unit, _ in _paths(batch.column(0)):
                 left, right = classes[before], classes[unit]
                 table += np.bincount(left * n + right, minlength=n * n)
                 if of_words:
@@ -250,7 +279,7 @@ def _neighbours(texts: DataFrame, units: _Units, classes: np.ndarray, n: int, of
             arrays = [pa.array(cell + first), pa.array(counts[cell].astype(np.int64))]
             yield pa.RecordBatch.from_arrays(arrays, names=["cell", "n"])
 
-    return map_arrow(texts, run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return map_arrow(coded, run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def _class_table(cells: DataFrame, n: int) -> np.ndarray:
@@ -298,7 +327,7 @@ def _moves(cells: DataFrame, table: np.ndarray, n: int) -> tuple[np.ndarray, np.
 
 
 def exchange_words(
-    texts: DataFrame, units: _Units, classes: np.ndarray, table: np.ndarray, passes: int = BATCH_PASSES
+    coded: DataFrame, units: _Units, classes: np.ndarray, table: np.ndarray, passes: int = BATCH_PASSES
 ) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all units, and the table of class bigrams, after batch passes that move every word at once.
 
@@ -307,12 +336,12 @@ def exchange_words(
     n = len(table)
     if not len(units.own) or not passes:
         return classes, table
-    cells = fixed(_neighbours(texts, units, classes, n, True))
+    cells = fixed(_neighbours(coded, units, classes, n, True))
     for number in range(passes):
         word, best = _moves(cells, table, n)
         moved = classes.copy()
         moved[1 + word] = best
-        cells = fixed(_neighbours(texts, units, moved, n, number + 1 < passes))
+        cells = fixed(_neighbours(coded, units, moved, n, number + 1 < passes))
         after = _class_table(cells, n)
         if _table_likelihood(after) <= _table_likelihood(table):
             break
@@ -321,67 +350,52 @@ def exchange_words(
 
 
 @dataclass
-class ClassModel:
-    units: _Units
-    classes: np.ndarray
-    step: np.ndarray  # log10 of P(class | class before) / (class tokens + (class words + 1) / 2)
-    hashes: np.ndarray  # broadcast words, sorted, and their counts
+class _Words:
+    """What is known of the training words before they have classes."""
+
+    hashes: np.ndarray  # broadcast words, sorted, their counts and groups
     counts: np.ndarray
+    groups: np.ndarray
     ends: int
     tokens: int
     words: int
 
+    def with_share(self, share: float) -> np.ndarray:
+        return self.counts >= self.tokens * share
 
-def fit(texts: DataFrame, vocabulary: DataFrame, classes: int = CLASSES) -> ClassModel:
-    """Classes and transitions of all texts; ``vocabulary`` has their word counts (``count_words``)."""
+    def units(self) -> _Units:
+        return _Units(self.hashes[self.with_share(max(CLUSTER_SHARE, BROADCAST_SHARE))])
+
+
+def _known_words(texts: DataFrame, vocabulary: DataFrame) -> _Words:
     ends = texts.count()
     tokens, words = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, words = tokens + ends, words + (ends > 0)
     common = vocabulary.where(F.col("n") >= tokens * BROADCAST_SHARE).select("hash", "grp", "n").toPandas()
     common = common.sort_values("hash", ignore_index=True)
-    hashes, counts = common["hash"].to_numpy(np.int64), common["n"].to_numpy(np.int64)
-    few = _Units(hashes[counts >= tokens * UNIT_SHARE])
-    bigrams = _count_bigrams(texts, few)
-    seeds = exchange(bigrams, classes)
-    own = counts >= tokens * max(CLUSTER_SHARE, BROADCAST_SHARE)
-    units = _Units(hashes[own])
-    start = few.of(hashes[own], common["grp"].to_numpy(np.int64)[own])
-    found = np.concatenate([seeds[:1], seeds[start], seeds[1 + len(few.own) :]])
-    found, table = exchange_words(texts, units, found, _by_class(bigrams, seeds, classes))
-
-    # Different words of each class: those of the groups, less the words that are units of their own.
-    per_group = np.zeros(GROUPS)
-    for r in vocabulary.groupBy("grp").count().collect():
-        per_group[r["grp"]] = r["count"]
-    np.subtract.at(per_group, common["grp"].to_numpy(np.int64)[own], 1)
-    types = np.concatenate([[ends > 0], np.ones(own.sum()), per_group])
-    of_class, types = table.sum(0), np.bincount(found, types, classes)
-    share = (of_class + 1) / (of_class.sum() + classes)
-    step = (table + _TRANSITION * share) / (table.sum(1, keepdims=True) + _TRANSITION)
-    step = np.log10(step) - np.log10(of_class + 0.5 * (types + 1))
-    return ClassModel(units, found, step, hashes, counts, ends, tokens, words)
+    hashes, counts, groups = (common[name].to_numpy(np.int64) for name in ("hash", "n", "grp"))
+    return _Words(hashes, counts, groups, ends, tokens, words)
 
 
-def _score_rows(rows: DataFrame, model: ClassModel) -> DataFrame:
-    """One row (``ROW``) per text: its path through the classes, what broadcast counts give, and its other words."""
-    log_ends = float(np.log10(model.ends + 0.5))
-    logs = np.log10(model.counts + 0.5)
+def _code(rows: DataFrame, known: _Words) -> DataFrame:
+    """One row (``CODED``) per text: its units, what broadcast counts give, and its other words."""
+    units = known.units()
+    log_ends = float(np.log10(known.ends + 0.5))
+    logs = np.log10(known.counts + 0.5)
 
     def run(batches: Batches) -> Batches:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for s in _slices(batch.column("text")):
                 n = len(s.edges) - 1
-                before, unit, text = model.units.path(s)
-                path = np.bincount(text, model.step[model.classes[before], model.classes[unit]], n)
                 found = np.zeros(len(s.hashes), bool)
                 log = np.zeros(len(s.hashes))
-                if len(model.hashes):
-                    at = np.minimum(np.searchsorted(model.hashes, s.hashes), len(model.hashes) - 1)
-                    found = model.hashes[at] == s.hashes
+                if len(known.hashes):
+                    at = np.minimum(np.searchsorted(known.hashes, s.hashes), len(known.hashes) - 1)
+                    found = known.hashes[at] == s.hashes
                     log = np.where(found, logs[at], 0.0)
                 owner = np.repeat(np.arange(n), np.diff(s.edges))
-                known = np.bincount(owner, found[s.word], n).astype(np.int64) + (model.ends > 0)
+                n_known = np.bincount(owner, found[s.word], n).astype(np.int64) + (known.ends > 0)
                 counted = np.bincount(owner, log[s.word], n) + log_ends
                 rare = ~found[s.word]
                 pair, times = np.unique(owner[rare] * len(s.hashes) + s.word[rare], return_counts=True)
@@ -390,9 +404,11 @@ def _score_rows(rows: DataFrame, model: ClassModel) -> DataFrame:
                 else:
                     owners = word = pair
                 offsets = pa.array(np.searchsorted(owners, np.arange(n + 1)).astype(np.int32))
+                coded = units.coded(s).astype(np.int32)
                 lists = [
                     pa.ListArray.from_arrays(offsets, pa.array(s.hashes[word])),
                     pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array((s.edges + np.arange(n + 1)).astype(np.int32)), pa.array(coded)),
                 ]
                 some = slice(s.first, s.first + n)
                 arrays = [
@@ -400,16 +416,69 @@ def _score_rows(rows: DataFrame, model: ClassModel) -> DataFrame:
                     batch.column("doc_id")[some],
                     batch.column("held_out")[some],
                     pa.array(np.diff(s.edges) + 1),
-                    pa.array(known),
+                    pa.array(n_known),
                     pa.array(counted),
-                    pa.array(path),
                     *lists,
                 ]
                 number += n
-                names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "counted", "path", "rare", "times"]
+                names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "counted", "rare", "times", "units"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return map_arrow(rows.select("doc_id", "held_out", "text"), run, ROW)
+    return map_arrow(rows.select("doc_id", "held_out", "text"), run, CODED)
+
+
+@dataclass
+class ClassModel:
+    units: _Units
+    classes: np.ndarray
+    step: np.ndarray  # log10 of P(class | class before) / (class tokens + (class words + 1) / 2)
+
+
+def fit(texts: DataFrame, vocabulary: DataFrame, classes: int = CLASSES) -> ClassModel:
+    """Classes and transitions of all texts; ``vocabulary`` has their word counts (``count_words``)."""
+    known = _known_words(texts, vocabulary)
+    text = F.col(texts.columns[0]).alias("text")
+    rows = texts.select(F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), text)
+    return _fit_coded(fixed(_code(rows, known)).select("units"), vocabulary, known, classes)
+
+
+def _fit_coded(coded: DataFrame, vocabulary: DataFrame, known: _Words, classes: int) -> ClassModel:
+    few = _Units(known.hashes[known.with_share(UNIT_SHARE)])
+    units = known.units()
+    own = np.isin(known.hashes, units.own)
+    # The unit of the first step that every unit belongs to.
+    start = np.concatenate([[END], few.of(units.own, known.groups[own]), 1 + len(few.own) + np.arange(GROUPS)])
+    bigrams = _count_bigrams(coded, start, few.size)
+    seeds = exchange(bigrams, classes)
+    found, table = exchange_words(coded, units, seeds[start], _by_class(bigrams, seeds, classes))
+
+    # Different words of each class: those of the groups, less the words that are units of their own.
+    per_group = np.zeros(GROUPS)
+    for r in vocabulary.groupBy("grp").count().collect():
+        per_group[r["grp"]] = r["count"]
+    np.subtract.at(per_group, known.groups[own], 1)
+    types = np.concatenate([[known.ends > 0], np.ones(len(units.own)), per_group])
+    of_class, types = table.sum(0), np.bincount(found, types, classes)
+    share = (of_class + 1) / (of_class.sum() + classes)
+    step = (table + _TRANSITION * share) / (table.sum(1, keepdims=True) + _TRANSITION)
+    step = np.log10(step) - np.log10(of_class + 0.5 * (types + 1))
+    return ClassModel(units, found, step)
+
+
+def _follow_paths(coded: DataFrame, model: ClassModel) -> DataFrame:
+    """``coded`` with the score of each text's path through the classes (path) in place of its units."""
+    names = [name for name in coded.columns if name != "units"]
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            paths = [np.empty(0)]
+            for _, before, unit, edges in _paths(batch.column("units")):
+                n = len(edges) - 1
+                text = np.repeat(np.arange(n), np.diff(edges))
+                paths.append(np.bincount(text, model.step[model.classes[before], model.classes[unit]], n))
+            yield batch.select(names).append_column("path", pa.array(np.concatenate(paths)))
+
+    return map_arrow(coded, run, coded.select(names).withColumn("path", F.lit(0.0)).schema)
 
 
 def scores(docs: DataFrame, classes: int = CLASSES, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -430,25 +499,27 @@ def scores(docs: DataFrame, classes: int = CLASSES, id_column: str = "doc_id", t
     )
     training = rows.where("not held_out").select("text")
     vocabulary = fixed(count_words(training))
-    model = fit(training, vocabulary, classes)
-    scored = fixed(_score_rows(rows, model))
+    known_words = _known_words(training, vocabulary)
+    coded = fixed(_code(rows, known_words))
+    model = _fit_coded(coded.where("not held_out").select("units"), vocabulary, known_words, classes)
 
     pairs = F.explode(F.arrays_zip("rare", "times"))
-    rare = scored.select("row", pairs.alias("x")).select("row", F.col("x.rare").alias("hash"), F.col("x.times").alias("times"))
-    uncommon = vocabulary.where(F.col("n") < model.tokens * BROADCAST_SHARE).select("hash", "n")
+    rare = coded.select("row", pairs.alias("x")).select("row", F.col("x.rare").alias("hash"), F.col("x.times").alias("times"))
+    uncommon = vocabulary.where(F.col("n") < known_words.tokens * BROADCAST_SHARE).select("hash", "n")
     met = rare.join(fixed(uncommon), "hash", "left")
     gained = F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("gained")
     known = F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known")
     per_row = met.groupBy("row").agg(gained, known)
-    total = scored.drop("rare", "times").join(fixed(per_row), "row", "left")
+    scored = _follow_paths(coded.drop("rare", "times"), model)
+    total = scored.join(fixed(per_row), "row", "left")
     counted = F.col("counted") + F.coalesce("gained", F.lit(0.0))
-    whole = float(np.log10(model.tokens + 0.5 * (model.words + 1)))
+    whole = float(np.log10(known_words.tokens + 0.5 * (known_words.words + 1)))
     return total.select(
         F.col("doc_id").alias(id_column),
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.lit(known_words.tokens).cast("long").alias("train_tokens"),
         (counted - F.col("n_tokens") * whole).alias("base_score"),
         (counted + F.col("path")).alias("score"),
     )

@@ -5,12 +5,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from recurra.llm import brown
 from recurra.llm.brown import count_words, exchange, fit, likelihood, scores
+from recurra.llm.common import map_arrow
 from recurra.llm.queries import op3_brown
 from tests.llm.conftest import DATA
 
@@ -191,3 +193,69 @@ def test_empty_tables(spark, documents):
     assert scores(documents([])).count() == 0
     one = scores(documents([(1, None)])).first()
     assert (one.n_tokens, one.base_score) == (1, pytest.approx(math.log10(1.5 / 2) if not one.held_out else 0.0))
+
+
+def test_texts_are_cut_into_words_twice(documents, some_texts, monkeypatch):
+    """To count the words and to code the texts; the passes and the scores read the codes."""
+    read = []
+
+    def spy(df, *others):
+        read.append(df.columns)
+        return map_arrow(df, *others)
+
+    monkeypatch.setattr(brown, "map_arrow", spy)
+    docs = documents(list(enumerate(some_texts)))
+    assert scores(docs, classes=6).count() == len(some_texts)
+    assert sum("text" in columns for columns in read) == 2
+    assert sum("units" in columns for columns in read) >= 4
+
+
+def test_words_have_the_group_of_their_last_bytes(some_texts):
+    column = pa.array([*some_texts, " a ab abc Abcd 漢", None])
+    slices = list(brown._slices(column))
+    assert sum(len(s.edges) - 1 for s in slices) == len(column)
+    known = {w.encode() for t in column.to_pylist() for w in tokens(t) if w}
+    group = {xxhash.xxh64_intdigest(w, 42): xxhash.xxh32_intdigest(w[-3:]) % brown.GROUPS for w in known}
+    found = {}
+    for s in slices:
+        used = np.unique(s.word)
+        found.update(zip(s.hashes[used].view(np.uint64).tolist(), s.groups[used].tolist()))
+    assert found == group
+
+
+@pytest.mark.parametrize("most", [1, 4, 1000])
+def test_paths_of_coded_texts_in_parts(monkeypatch, most):
+    """Whatever the size of the parts, also in a part of a column: END stands before the first token of every text."""
+    monkeypatch.setattr(brown, "_SLICE_UNITS", most)
+    coded = [[9, 0], [3, 4, 0], [0], [5, 0], [6, 7, 8, 6, 7, 0], [0]]
+    column = pa.array(coded, pa.list_(pa.int32())).slice(1)
+    found = []
+    for first, before, unit, edges in brown._paths(column):
+        assert first == len(found)
+        found += [list(zip(before[a:b].tolist(), unit[a:b].tolist())) for a, b in zip(edges, edges[1:])]
+    assert found == [list(zip([0, *text], text)) for text in coded[1:]]
+    assert not list(brown._paths(column.slice(0, 0)))
+
+
+@pytest.mark.parametrize("most", [1, 100, 350, 10**6])
+def test_words_are_counted_whole_in_parts(documents, some_texts, monkeypatch, most):
+    """Sums that leave a task before its end add up to all counts."""
+    functions = []
+
+    def spy(df, function, schema):
+        functions.append(function)
+        return map_arrow(df, function, schema)
+
+    monkeypatch.setattr(brown, "map_arrow", spy)
+    monkeypatch.setattr(brown, "_MERGE", most)
+    monkeypatch.setattr(brown, "_SLICE_BYTES", 1000)
+    count_words(documents([]).select("text"))
+    found = Counter()
+    for batch in functions[0](iter([pa.record_batch([pa.array(some_texts)], names=["text"])])):
+        for r in batch.to_pylist():
+            found[r["hash"]] += r["n"]
+    expected = Counter()
+    for t in some_texts:
+        for w in tokens(t)[:-1]:
+            expected[int(np.uint64(xxhash.xxh64_intdigest(w.encode(), 42)).astype(np.int64))] += 1
+    assert found == expected
