@@ -13,6 +13,7 @@ A word's count reaches the documents in two ways: words with at least a milliont
 at most 2**20, are broadcast, all others are joined. Words are known by their 64-bit XXH64.
 
 Texts are cut into words twice: to count these, and to write every text as its unit numbers, which all passes read.
+Only the counts and the coded texts are written to tables, each partition of which is a file; sums over them are not.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -336,16 +337,21 @@ def exchange_words(
     n = len(table)
     if not len(units.own) or not passes:
         return classes, table
-    cells = fixed(_neighbours(coded, units, classes, n, True))
-    for number in range(passes):
-        word, best = _moves(cells, table, n)
-        moved = classes.copy()
-        moved[1 + word] = best
-        cells = fixed(_neighbours(coded, units, moved, n, number + 1 < passes))
-        after = _class_table(cells, n)
-        if _table_likelihood(after) <= _table_likelihood(table):
-            break
-        classes, table = moved, after
+    # Whole numbers over a fixed table: what is lost with an executor and counted again is the same.
+    cells = _neighbours(coded, units, classes, n, True).persist(StorageLevel.DISK_ONLY)
+    try:
+        for number in range(passes):
+            word, best = _moves(cells, table, n)
+            cells.unpersist()
+            moved = classes.copy()
+            moved[1 + word] = best
+            cells = _neighbours(coded, units, moved, n, number + 1 < passes).persist(StorageLevel.DISK_ONLY)
+            after = _class_table(cells, n)
+            if _table_likelihood(after) <= _table_likelihood(table):
+                break
+            classes, table = moved, after
+    finally:
+        cells.unpersist()
     return classes, table
 
 
@@ -506,12 +512,12 @@ def scores(docs: DataFrame, classes: int = CLASSES, id_column: str = "doc_id", t
     pairs = F.explode(F.arrays_zip("rare", "times"))
     rare = coded.select("row", pairs.alias("x")).select("row", F.col("x.rare").alias("hash"), F.col("x.times").alias("times"))
     uncommon = vocabulary.where(F.col("n") < known_words.tokens * BROADCAST_SHARE).select("hash", "n")
-    met = rare.join(fixed(uncommon), "hash", "left")
+    met = rare.join(uncommon, "hash", "left")
     gained = F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("gained")
     known = F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known")
     per_row = met.groupBy("row").agg(gained, known)
     scored = _follow_paths(coded.drop("rare", "times"), model)
-    total = scored.join(fixed(per_row), "row", "left")
+    total = scored.join(per_row, "row", "left")
     counted = F.col("counted") + F.coalesce("gained", F.lit(0.0))
     whole = float(np.log10(known_words.tokens + 0.5 * (known_words.words + 1)))
     return total.select(

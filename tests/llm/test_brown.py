@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from recurra.llm import brown
 from recurra.llm.brown import count_words, exchange, fit, likelihood, scores
-from recurra.llm.common import map_arrow
+from recurra.llm.common import fixed, map_arrow
 from recurra.llm.queries import op3_brown
 from tests.llm.conftest import DATA
 
@@ -210,6 +210,22 @@ def test_texts_are_cut_into_words_twice(documents, some_texts, monkeypatch):
     assert sum("units" in columns for columns in read) >= 4
 
 
+def test_only_words_and_codes_are_written(spark, documents, some_texts, monkeypatch):
+    """Every partition of a table is a file, for each of which Hadoop starts processes; nothing stays persisted."""
+    written = []
+
+    def spy(df):
+        written.append(df.columns)
+        return fixed(df)
+
+    monkeypatch.setattr(brown, "fixed", spy)
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    docs = documents(list(enumerate(some_texts)))
+    assert scores(docs, classes=6).count() == len(some_texts)
+    assert [columns[0] for columns in written] == ["hash", "row"]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+
+
 def test_words_have_the_group_of_their_last_bytes(some_texts):
     column = pa.array([*some_texts, " a ab abc Abcd 漢", None])
     slices = list(brown._slices(column))
